@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The characters that Python's str.strip() removes.
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
-    "         　"
-)
+# Code points of the characters that Python's str.strip() removes.
+WHITESPACE = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
 
 # Cell texts that stand for a missing value, compared after strip and lower-case.
 MISSING_TOKENS = ("", "na", "n/a", "null", "none", "nan", "-", "--", "?")
@@ -137,8 +137,8 @@ def label_from_description(c: Column | str) -> Column:
 def words(c: Column | str) -> Column:
     """K2: lower-case word tokens; a token with underscores is followed by its parts."""
     text = F.lower(F.coalesce(col_of(c), F.lit("")))
-    text = F.regexp_replace(text, "[￾�]", " ")
-    text = F.regexp_replace(text, "­", "")
+    text = F.translate(text, chr(0xFFFE) + chr(0xFFFD), "  ")
+    text = F.translate(text, chr(0xAD), "")
     text = F.regexp_replace(text, r"[\-/]", " ")
     tokens = F.regexp_extract_all(text, F.lit("([a-z0-9_äöüß]+)"), 1)
     with_parts = F.transform(
