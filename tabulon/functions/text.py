@@ -73,19 +73,27 @@ def driver_label(feature: Column | str, value: Column | str, n: Column | str) ->
     )
 
 
+def fixed(c: Column | str, digits: int, signed: bool = False) -> Column:
+    """A fixed number of decimals, halves to even; ``signed`` writes the plus."""
+    x = col_of(c).cast("double")
+    text = F.translate(F.format_number(F.abs(x), digits), ",", "")
+    plus = F.lit("+") if signed else F.lit("")
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(plus), text)
+
+
 def signed_percent_points(c: Column | str) -> Column:
     """``+1.2pp``."""
-    return F.concat(F.format_string("%+.1f", col_of(c).cast("double")), F.lit("pp"))
+    return F.concat(fixed(c, 1, signed=True), F.lit("pp"))
 
 
 def short_number(c: Column | str) -> Column:
     """Thousands and two decimals from 1000, two decimals from 10, else four without zeros."""
     x = col_of(c).cast("double")
-    small = F.regexp_replace(F.format_string("%.4f", x), r"\.?0+$", "")
+    small = F.regexp_replace(fixed(x, 4), r"\.?0+$", "")
     return (
         F.when(x.isNull() | F.isnan(x), F.lit("—"))
         .when(F.abs(x) >= 1000, F.format_number(x, 2))
-        .when(F.abs(x) >= 10, F.format_string("%.2f", x))
+        .when(F.abs(x) >= 10, fixed(x, 2))
         .otherwise(small)
     )
 

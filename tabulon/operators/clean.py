@@ -208,19 +208,13 @@ def level_summary(counts: DataFrame) -> DataFrame:
 def quality_report(df: DataFrame, keys: list[str] | None = None, max_columns: int = 25) -> DataFrame:
     """C11: (scope, column, measure, value) rows: missing, unique, duplicates, outliers, cardinality."""
     counts = level_summary(level_counts(df, df.columns))
-    base = F.array(
-        F.struct(F.lit("missing_rate").alias("measure"), F.col("missing_rate").alias("value")),
-        F.struct(F.lit("n_unique"), F.col("n_distinct").cast("double")),
-        F.struct(F.lit("unique_rate"), F.col("unique_rate")),
-    )
-    out = counts.select(F.lit("column").alias("scope"), "column", F.inline(base))
+    base = {"missing_rate": F.col("missing_rate"), "n_unique": F.col("n_distinct").cast("double"), "unique_rate": F.col("unique_rate")}
+    out = to_long(counts.withColumn("scope", F.lit("column")), ["scope", "column"], base, "measure", "value")
     labels = text_columns(df)[:max_columns]
     if labels:
-        cat = F.array(
-            F.struct(F.lit("cardinality").alias("measure"), F.col("n_distinct").cast("double").alias("value")),
-            F.struct(F.lit("top_share"), F.col("top_share")),
-        )
-        out = out.unionByName(counts.filter(F.col("column").isin(*labels)).select(F.lit("text").alias("scope"), "column", F.inline(cat)))
+        cat = {"cardinality": F.col("n_distinct").cast("double"), "top_share": F.col("top_share")}
+        texts = counts.filter(F.col("column").isin(*labels)).withColumn("scope", F.lit("text"))
+        out = out.unionByName(to_long(texts, ["scope", "column"], cat, "measure", "value"))
     numeric = roles.numeric_columns(df)[:max_columns]
     if numeric:
         rates = outlier_rates(df, numeric).filter("outlier_rate is not null")
@@ -228,12 +222,9 @@ def quality_report(df: DataFrame, keys: list[str] | None = None, max_columns: in
             F.lit("numeric").alias("scope"), "column", F.lit("outlier_rate_iqr").alias("measure"), F.col("outlier_rate").alias("value")
         ))
     found = present(df, keys) if keys is not None else key_candidates(df)
-    dup = duplicate_share(df, df.columns)
-    pairs = F.array(
-        F.struct(F.lit("duplicate_rows").alias("measure"), F.col("n_duplicates").cast("double").alias("value")),
-        F.struct(F.lit("duplicate_rate_all"), F.col("dup_rate")),
-    )
-    out = out.unionByName(dup.select(F.lit("table").alias("scope"), F.lit("*").alias("column"), F.inline(pairs)))
+    dup = duplicate_share(df, df.columns).select("*", F.lit("table").alias("scope"), F.lit("*").alias("column"))
+    repeats = {"duplicate_rows": F.col("n_duplicates").cast("double"), "duplicate_rate_all": F.col("dup_rate")}
+    out = out.unionByName(to_long(dup, ["scope", "column"], repeats, "measure", "value"))
     if found:
         out = out.unionByName(duplicate_share(df, found).select(
             F.lit("table").alias("scope"), F.lit(",".join(found)).alias("column"),

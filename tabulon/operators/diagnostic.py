@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabulon.functions import roles
 from tabulon.functions.numbers import number, one_row, paired_corr, to_long
 from tabulon.functions.quantiles import quantiles
-from tabulon.functions.text import driver_label, signed_percent_points, strip
+from tabulon.functions.text import driver_label, fixed, signed_percent_points, strip
 from tabulon.operators.clean import text_columns
 from tabulon.operators.columns import usable_labels
 from tabulon.operators.descriptive import binned
@@ -195,7 +195,7 @@ def numeric_contrast(flagged: DataFrame, y: str, columns: list[str] | None = Non
     long = to_long(wide, [], {c: F.col(f"`{c}`") for c in names}, "feature", "s").select("feature", "s.*")
     return (
         long.filter((F.col("n") >= min_n) & F.col("r").isNotNull())
-        .withColumn("label", F.concat("feature", F.lit(" (r="), F.format_string("%+.2f", "r"), F.lit(")")))
+        .withColumn("label", F.concat("feature", F.lit(" (r="), fixed("r", 2, signed=True), F.lit(")")))
         .orderBy(F.abs("r").desc(), "feature").limit(k)
     )
 

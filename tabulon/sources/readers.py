@@ -9,13 +9,13 @@ from tabulon.operators.textops import chunk_text
 MAX_CHUNKS = 5000
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",", multi_line: bool = False) -> DataFrame:
-    """Delimited text with header; lines with too many fields are skipped, short ones padded with nulls.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",", header: bool = True, multi_line: bool = False) -> DataFrame:
+    """Delimited text; lines with too many fields are skipped, short ones padded with nulls.
 
     One field more than the schema is asked for: only an over-long line can fill it. Without a
     schema the types are inferred in a first pass.
     """
-    options = {"header": True, "sep": sep, "multiLine": multi_line}
+    options = {"header": header, "sep": sep, "multiLine": multi_line}
     if schema is None:
         schema = spark.read.options(**options, inferSchema=True).csv(path).schema
     wide = T.StructType([*schema.fields, T.StructField("__extra", T.StringType())])
