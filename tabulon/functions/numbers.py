@@ -74,6 +74,15 @@ def one_row(stats: DataFrame) -> Column:
     return stats.select(F.struct(*[F.col(f"`{c}`") for c in stats.columns])).scalar()
 
 
+def known(stats: DataFrame) -> dict[str, Column]:
+    """A one-row frame as literals, for statistics that later expressions use many times.
+
+    One row of numbers reaches the driver; the plans that use it stay flat and can push it down.
+    """
+    row = stats.first()
+    return {f.name: F.lit(row[f.name]).cast(f.dataType) for f in stats.schema}
+
+
 def to_long(df: DataFrame, keys: list[str], columns: dict[str, Column], name: str, value: str) -> DataFrame:
     """Several expressions of one row as (name, value) rows; cheap on one-row statistics."""
     pairs = F.array(*[F.struct(F.lit(k).alias(name), v.alias(value)) for k, v in columns.items()])

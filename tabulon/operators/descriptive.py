@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulon.functions.numbers import number, one_row, paired_corr, ratio, to_long, whole
+from tabulon.functions.numbers import known, number, one_row, paired_corr, ratio, to_long, whole
 from tabulon.functions.quantiles import join_on_keys, quantiles
 from tabulon.functions.text import strip
 from tabulon.operators.aggregate import number_stats, top_groups_by_mean, value_counts
@@ -21,7 +21,7 @@ def fences(df: DataFrame, column: str, k: float = 1.5, min_n: int = 30, accuracy
     """
     x = number(df, column)
     base = df.select(x.alias("x"))
-    q = one_row(quantiles(df.select(f"`{column}`"), [column], [0.25, 0.75], accuracy=accuracy))[column]
+    q = known(quantiles(df.select(f"`{column}`"), [column], [0.25, 0.75], accuracy=accuracy))[column]
     iqr = q[1] - q[0]
     spread = iqr > 0
     low = F.when(spread, q[0] - k * iqr).otherwise(q[0])
@@ -44,7 +44,7 @@ def fences(df: DataFrame, column: str, k: float = 1.5, min_n: int = 30, accuracy
 
 def without_rare_outliers(df: DataFrame, column: str, k: float = 1.5, max_share: float = 0.02, min_n: int = 30) -> DataFrame:
     """Rows outside the fences go only if there are some and they are at most 2%."""
-    f = one_row(fences(df, column, k, min_n))
+    f = known(fences(df, column, k, min_n))
     x = number(df, column)
     applies = F.coalesce(f["ok"] & (f["outlier_count"] > 0) & (f["outlier_frac"] <= max_share), F.lit(False))
     return df.filter(~applies | F.coalesce((x >= f["low"]) & (x <= f["high"]), F.lit(False)))
@@ -55,63 +55,66 @@ def view_range(df: DataFrame, column: str, k: float = 1.5, min_n: int = 30) -> D
 
     Whole-number data is rounded outward first; then the nearest values on the sides that hold
     outliers are taken in, found as one max below and one min above instead of a list of values.
+    The decisions need one row of numbers per pass; the second pass runs only for a single value.
     """
     base = df.select(number(df, column).alias("x")).filter("x is not null")
-    f = one_row(fences(df, column, k, min_n))
-    use = F.coalesce(f["ok"] & (f["n_between"] > 0), F.lit(False))
-    low = F.when(use, f["low"]).otherwise(f["min"])
-    high = F.when(use, f["high"]).otherwise(f["max"])
     x = F.col("x")
+    f = fences(df, column, k, min_n).first()
+    use = bool(f["ok"] and f["n_between"])
+    low, high = (f["low"], f["high"]) if use else (f["min"], f["max"])
+    if low is not None:
+        low, high = _widened(base, low, high)
+
+    def shown(c):
+        return F.when(x.between(F.lit(low), F.lit(high)), c)
+
+    return base.agg(
+        F.lit(low).cast("double").alias("low_view"), F.lit(high).cast("double").alias("high_view"),
+        F.count(shown(x)).alias("n_in_view"),
+        F.count_if(x < F.lit(low)).alias("n_below"), F.count_if(x > F.lit(high)).alias("n_above"),
+        F.avg(shown(x)).alias("mean_in_view"), F.bool_and(shown(whole(x))).alias("whole_in_view"),
+        F.min(shown(x)).alias("min_in_view"), F.max(shown(x)).alias("max_in_view"),
+    )
 
-    def inside(lo, hi):
-        seen = F.when((x >= lo) & (x <= hi), x)
-        return F.struct(F.min(seen).alias("min"), F.max(seen).alias("max"))
 
-    first = one_row(base.agg(
-        F.max(low).alias("low"), F.max(high).alias("high"), inside(low, high).alias("tight"),
-        inside(F.floor(low), F.ceil(high)).alias("round"), F.bool_and(whole(x)).alias("whole"),
-        F.min("x").alias("min"), F.max("x").alias("max"),
-    ))
-    single = (first["min"] < first["max"]) & (first["tight"]["min"] == first["tight"]["max"])
-    rounded = single & first["whole"]
-    lo1 = F.when(rounded, F.floor(first["low"]).cast("double")).otherwise(first["low"])
-    hi1 = F.when(rounded, F.ceil(first["high"]).cast("double")).otherwise(first["high"])
-    still = single & F.when(rounded, first["round"]["min"] == first["round"]["max"]).otherwise(F.lit(True))
-    anchor = F.when(rounded, first["round"]["min"]).otherwise(first["tight"]["min"])
-    near = one_row(base.agg(
-        F.max(lo1).alias("low"), F.max(hi1).alias("high"), F.bool_or(still).alias("still"), F.max(anchor).alias("anchor"),
+def _widened(base: DataFrame, low: float, high: float) -> tuple[float, float]:
+    x = F.col("x")
+    lo_r, hi_r = float(np.floor(low)), float(np.ceil(high))
+    tight, loose = x.between(low, high), x.between(lo_r, hi_r)
+    s = base.agg(
+        F.min("x").alias("min"), F.max("x").alias("max"), F.bool_and(whole(x)).alias("whole"),
+        F.min(F.when(tight, x)).alias("tight_min"), F.max(F.when(tight, x)).alias("tight_max"),
+        F.min(F.when(loose, x)).alias("loose_min"), F.max(F.when(loose, x)).alias("loose_max"),
+    ).first()
+    if s["min"] == s["max"] or s["tight_min"] != s["tight_max"]:
+        return low, high
+    anchor = s["tight_min"]
+    if s["whole"]:
+        low, high, anchor = lo_r, hi_r, s["loose_min"]
+        if s["loose_min"] != s["loose_max"]:
+            return low, high
+    near = base.agg(
         F.max(F.when(x < anchor, x)).alias("below"), F.min(F.when(x > anchor, x)).alias("above"),
-        F.count_if(x < lo1).alias("n_below"), F.count_if(x > hi1).alias("n_above"),
-    ))
-    lo2 = F.when((near["n_below"] > 0) & near["below"].isNotNull(), F.least(near["low"], near["below"])).otherwise(near["low"])
-    hi2 = F.when((near["n_above"] > 0) & near["above"].isNotNull(), F.greatest(near["high"], near["above"])).otherwise(near["high"])
-    unchanged = (lo2 == near["low"]) & (hi2 == near["high"])
-    closer_below = near["below"].isNotNull() & (
-        near["above"].isNull() | (near["anchor"] - near["below"] <= near["above"] - near["anchor"])
-    )
-    lo3 = F.when(unchanged & closer_below, F.least(lo2, near["below"])).otherwise(lo2)
-    hi3 = F.when(unchanged & ~closer_below & near["above"].isNotNull(), F.greatest(hi2, near["above"])).otherwise(hi2)
-    low_view = F.when(near["still"], lo3).otherwise(near["low"])
-    high_view = F.when(near["still"], hi3).otherwise(near["high"])
-    shown = base.agg(
-        F.max(low_view).alias("low_view"), F.max(high_view).alias("high_view"),
-        F.count_if((x >= low_view) & (x <= high_view)).alias("n_in_view"),
-        F.count_if(x < low_view).alias("n_below"), F.count_if(x > high_view).alias("n_above"),
-        F.avg(F.when((x >= low_view) & (x <= high_view), x)).alias("mean_in_view"),
-        F.bool_and(F.when((x >= low_view) & (x <= high_view), whole(x))).alias("whole_in_view"),
-        F.min(F.when((x >= low_view) & (x <= high_view), x)).alias("min_in_view"),
-        F.max(F.when((x >= low_view) & (x <= high_view), x)).alias("max_in_view"),
-    )
-    return shown
+        F.count_if(x < low).alias("n_below"), F.count_if(x > high).alias("n_above"),
+    ).first()
+    below, above = near["below"], near["above"]
+    new_low = min(low, below) if near["n_below"] and below is not None else low
+    new_high = max(high, above) if near["n_above"] and above is not None else high
+    if (new_low, new_high) == (low, high):
+        if below is not None and (above is None or anchor - below <= above - anchor):
+            new_low = min(low, below)
+        elif above is not None:
+            new_high = max(high, above)
+    return new_low, new_high
 
 
 def view_summary(df: DataFrame, column: str, k: float = 1.5, min_n: int = 30) -> DataFrame:
     """Values hidden below and above the view, mean and median of the shown ones."""
     v = view_range(df, column, k, min_n)
-    r = one_row(v)
+    r = known(v)
     x = number(df, column)
     seen = df.select(F.when((x >= r["low_view"]) & (x <= r["high_view"]), x).alias("x"))
-    middle = one_row(quantiles(seen, ["x"], [0.5], sized_by=df))["x"][0]
+    middle = known(quantiles(seen, ["x"], [0.5], sized_by=df))["x"][0]
     return v.select("low_view", "high_view", "n_in_view", "n_below", "n_above", "mean_in_view", middle.alias("median_in_view"))
 
 
@@ -152,7 +155,7 @@ def with_empty_bins(counts: DataFrame, edges: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, k: float = 1.5, min_n: int = 30) -> DataFrame:
     """Histogram of the view; whole numbers get unit bins, else equal bins."""
     edges = bin_edges(view_range(df, column, k, min_n))
-    e = one_row(edges)
+    e = known(edges)
     x = number(df, column)
     shown = df.filter((x >= e["low_view"]) & (x <= e["high_view"]))
     return with_empty_bins(binned(shown, x, e["lo"], e["hi"], e["k"]), edges)
@@ -267,8 +270,8 @@ def _axis_fences(base: DataFrame, name: str, q, n, k: float, min_n: int):
 def paired_view(df: DataFrame, x: str, y: str, k: float = 1.5, min_n: int = 30) -> tuple[DataFrame, DataFrame]:
     """The complete pairs with their view flag, and the bounds of the view."""
     base = df.select(number(df, x).alias("x"), number(df, y).alias("y")).filter("x is not null and y is not null")
-    q = one_row(quantiles(base, ["x", "y"], [0.25, 0.75], sized_by=df))
-    n = one_row(base.agg(
+    q = known(quantiles(base, ["x", "y"], [0.25, 0.75], sized_by=df))
+    n = known(base.agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"),
         F.min("y").alias("y_min"), F.max("y").alias("y_max"),
     ))
@@ -279,14 +282,14 @@ def paired_view(df: DataFrame, x: str, y: str, k: float = 1.5, min_n: int = 30)
         F.max(xl).alias("x_low"), F.max(xh).alias("x_high"), F.max(yl).alias("y_low"), F.max(yh).alias("y_high"),
         F.count_if(inside).alias("n_inside"),
     )
-    few = one_row(bounds)["n_inside"] < 3
+    few = known(bounds)["n_inside"] < 3
     return base.withColumn("in_view", inside | few), bounds
 
 
 def scatter_stats(df: DataFrame, x: str, y: str, k: float = 1.5, min_n: int = 30) -> DataFrame:
     """Bounds, pairs in view, pairs below or above on either axis, Pearson r in view."""
     pairs, bounds = paired_view(df, x, y, k, min_n)
-    b = one_row(bounds)
+    b = known(bounds)
     xi, yi = F.when(F.col("in_view"), F.col("x")), F.when(F.col("in_view"), F.col("y"))
     return pairs.agg(
         F.count(F.lit(1)).alias("n_pairs"), F.count_if("in_view").alias("n_in_view"),
@@ -356,7 +359,7 @@ def scale_choice(df: DataFrame, column: str, log_ratio: float = 20.0) -> DataFra
     """Percent for values in 0..1, log for positive values over a wide range; by extremes and by p05/p95."""
     x = number(df, column)
     base = df.select(x.alias("x"), F.when(x > 0, x).alias("pos"))
-    s = one_row(base.agg(
+    s = known(base.agg(
         F.count("x").alias("n"), F.count("pos").alias("n_pos"), F.min("x").alias("min"), F.max("x").alias("max"),
     ))
     q = quantiles(base, ["x", "pos"], [0.05, 0.95], sized_by=df)
@@ -378,7 +381,7 @@ def axis_range(
     pad_frac: float = 0.03, pad_min_rel: float = 0.01,
 ) -> DataFrame:
     """Padded range of the inliers; a one-sided range starts or ends at zero; log scale pads by 10%."""
-    f = one_row(fences(df, column, k, min_n))
+    f = known(fences(df, column, k, min_n))
     x = number(df, column)
     base = df.select(x.alias("x"))
     clipped = F.coalesce(f["ok"] & (f["outlier_count"] > 0) & (f["n_between"] >= max(3, int(0.5 * min_n))), F.lit(False))

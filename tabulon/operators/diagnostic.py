@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabulon.functions import roles
-from tabulon.functions.numbers import number, one_row, paired_corr, to_long
+from tabulon.functions.numbers import known, number, one_row, paired_corr, to_long
 from tabulon.functions.quantiles import quantiles
 from tabulon.functions.text import driver_label, fixed, signed_percent_points, strip
 from tabulon.operators.clean import text_columns
@@ -87,7 +87,7 @@ def pareto(contributions: DataFrame, top: int = 10, min_n: int = 5) -> DataFrame
     valid = contributions.filter("contribution > 0").select(
         driver_text().alias("driver"), "contribution", "n", (F.col("n") < min_n).alias("low")
     )
-    t = one_row(valid.agg(
+    t = known(valid.agg(
         F.sum("contribution").alias("total"), F.coalesce(F.sum(F.when(F.col("low"), F.col("contribution"))), F.lit(0.0)).alias("low"),
         F.count_if(F.col("low")).alias("n_low"), F.count(F.lit(1)).alias("n"),
     ))
@@ -123,7 +123,7 @@ def outlier_bounds(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) ->
     """The bounds in force, one row: fences, else p01/p99; p05/p95 when fewer than 8 of 40+ lie outside."""
     x = number(df, y)
     base = df.select(x.alias("x")).filter("x is not null")
-    q = one_row(quantiles(base, ["x"], [0.01, 0.05, 0.25, 0.75, 0.95, 0.99], sized_by=df))["x"]
+    q = known(quantiles(base, ["x"], [0.01, 0.05, 0.25, 0.75, 0.95, 0.99], sized_by=df))["x"]
     iqr = q[3] - q[2]
     low = F.when(iqr > 0, q[2] - k * iqr).otherwise(q[2])
     high = F.when(iqr > 0, q[3] + k * iqr).otherwise(q[3])
@@ -144,7 +144,7 @@ def outlier_bounds(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) ->
 
 def flag_outliers(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) -> DataFrame:
     """Rows with a value, with ``is_outlier``; no row is filtered for being one."""
-    b = one_row(outlier_bounds(df, y, mode, k))
+    b = known(outlier_bounds(df, y, mode, k))
     x = number(df, y)
     is_out = {"high": x > b["high"], "low": x < b["low"], "both": (x < b["low"]) | (x > b["high"])}[mode]
     return df.filter(x.isNotNull()).withColumn("is_outlier", is_out)
@@ -213,17 +213,17 @@ def outlier_summary(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) -
 
 def outlier_histograms(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) -> DataFrame:
     """A histogram of the typical range and one of the outliers."""
-    b = one_row(outlier_bounds(df, y, mode, k))
+    b = known(outlier_bounds(df, y, mode, k))
     x = number(df, y)
     base = df.select(x.alias("x")).filter("x is not null")
     within = F.col("x").between(b["low"], b["high"])
-    n_in = one_row(base.agg(F.count_if(within).alias("n")))["n"]
+    n_in = known(base.agg(F.count_if(within).alias("n")))["n"]
     view = F.when((n_in < 20) & (b["n"] >= 40), F.col("x").between(b["p01"], b["p99"])).otherwise(within)
     out = {"high": F.col("x") > b["high"], "low": F.col("x") < b["low"], "both": ~within}[mode]
 
     def part(name: str, cond, most: int) -> DataFrame:
         rows = base.filter(cond)
-        e = one_row(rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")))
+        e = known(rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")))
         flat = e["hi"] <= e["lo"]
         lo = F.when(flat, e["lo"] - 0.5).otherwise(e["lo"])
         hi = F.when(flat, e["hi"] + 0.5).otherwise(e["hi"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from tabulon.functions.numbers import number, one_row
+from tabulon.functions.numbers import known, number, one_row
 from tabulon.functions.quantiles import quantiles
 from tabulon.functions import roles
 from tabulon.operators.aggregate import number_stats
@@ -20,9 +20,9 @@ MAX_KEY_LEVELS = 50
 def robust_outliers(df: DataFrame, column: str, z: float = ROBUST_Z) -> DataFrame:
     """V1: rows with |0.6745 (x - median) / MAD| above the limit; none when the MAD is zero."""
     x = number(df, column)
-    m = one_row(quantiles(df, [column], [0.5]))[column][0]
+    m = known(quantiles(df, [column], [0.5]))[column][0]
     away = df.select(F.abs(x - m).alias("d"))
-    mad = one_row(quantiles(away, ["d"], [0.5], sized_by=df))["d"][0]
+    mad = known(quantiles(away, ["d"], [0.5], sized_by=df))["d"][0]
     return df.withColumn("robust_z", F.try_divide(0.6745 * (x - m), mad)).filter(F.abs("robust_z") > z)
 
 
