@@ -119,11 +119,11 @@ def _ranking():
     return Window.orderBy("part", F.col("contribution").desc(), "driver")
 
 
-def outlier_bounds(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) -> DataFrame:
+def outlier_bounds(df: DataFrame, y: str, mode: str = "both", k: float = 1.5, sized_by: DataFrame | None = None) -> DataFrame:
     """The bounds in force, one row: fences, else p01/p99; p05/p95 when fewer than 8 of 40+ lie outside."""
     x = number(df, y)
     base = df.select(x.alias("x")).filter("x is not null")
-    q = known(quantiles(base, ["x"], [0.01, 0.05, 0.25, 0.75, 0.95, 0.99], sized_by=df))["x"]
+    q = known(quantiles(base, ["x"], [0.01, 0.05, 0.25, 0.75, 0.95, 0.99], sized_by=sized_by if sized_by is not None else df))["x"]
     iqr = q[3] - q[2]
     low = F.when(iqr > 0, q[2] - k * iqr).otherwise(q[2])
     high = F.when(iqr > 0, q[3] + k * iqr).otherwise(q[3])
@@ -142,9 +142,12 @@ def outlier_bounds(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) ->
     )
 
 
-def flag_outliers(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) -> DataFrame:
-    """Rows with a value, with ``is_outlier``; no row is filtered for being one."""
-    b = known(outlier_bounds(df, y, mode, k))
+def flag_outliers(df: DataFrame, y: str, mode: str = "both", k: float = 1.5, sized_by: DataFrame | None = None) -> DataFrame:
+    """Rows with a value, with ``is_outlier``; no row is filtered for being one.
+
+    ``sized_by`` names the frame whose size stands for ``df``, as after joins on unique keys.
+    """
+    b = known(outlier_bounds(df, y, mode, k, sized_by))
     x = number(df, y)
     is_out = {"high": x > b["high"], "low": x < b["low"], "both": (x < b["low"]) | (x > b["high"])}[mode]
     return df.filter(x.isNotNull()).withColumn("is_outlier", is_out)

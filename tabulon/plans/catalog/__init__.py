@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tabulon.plans.catalog.base import ORACLES, QUERIES
 
-SECTIONS = ("tables", "cleaning", "grouping", "analyses")
+SECTIONS = ("tables", "cleaning", "grouping", "analyses", "modelling", "comparing", "texts")
 
 for _name in SECTIONS:
     import_module(f"tabulon.plans.catalog.{_name}")

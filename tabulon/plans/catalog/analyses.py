@@ -246,7 +246,7 @@ FLAG_SQL = f"SELECT *, (cut < low OR cut > high) AS is_outlier FROM ({FLAT_SQL.r
 
 def flagged(t: Tables):
     base = flat(t).withColumn("cut", F.col("l_extendedprice") * F.col("l_discount") * F.col("l_discount"))
-    return G.flag_outliers(base, "cut")
+    return G.flag_outliers(base, "cut", sized_by=t.lineitem)
 
 
 @query("n17_outlier_flag", f"SELECT l_orderkey, l_linenumber, is_outlier FROM ({FLAG_SQL})")
