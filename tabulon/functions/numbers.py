@@ -64,6 +64,46 @@ def paired_corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def correlations(df: DataFrame, pairs: list[tuple[Column, Column]]) -> list[Column]:
+    """Pearson r of many pairs of columns as aggregates over ``df``, pairwise complete, null if a side is constant.
+
+    A first pass finds the means and which columns have gaps. The second pass then sums products of
+    centred values: one sum per pair and one per column, and only for pairs with gaps the sums over
+    their common rows. Plain sums are far cheaper than a covariance and two deviations per pair.
+    """
+    sides: dict[str, Column] = {}
+    for pair in pairs:
+        for c in pair:
+            sides.setdefault(str(c), c)
+    keys = list(sides)
+    m = df.agg(F.count(F.lit(1)).alias("n"), *[
+        F.struct(F.avg(c).alias("mean"), F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"s{i}")
+        for i, c in enumerate(sides.values())
+    ]).first()
+    stats = {k: m[f"s{i}"] for i, k in enumerate(keys)}
+    centred = {k: sides[k] - F.lit(float(stats[k]["mean"] or 0.0)) for k in keys}
+    out = []
+    for a, b in pairs:
+        sa, sb = stats[str(a)], stats[str(b)]
+        x, y = centred[str(a)], centred[str(b)]
+        if sa["lo"] == sa["hi"] or sb["lo"] == sb["hi"]:
+            out.append(F.max(F.lit(None).cast("double")))
+        elif sa["n"] == sb["n"] == m["n"]:
+            out.append(F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))))
+        elif str(a) == str(b):
+            out.append(F.max(F.lit(1.0)))
+        else:
+            both = a.isNotNull() & b.isNotNull()
+            x, y = F.when(both, x), F.when(both, y)
+            n, sx, sy = F.count(x * y), F.sum(x), F.sum(y)
+            n = F.when(n > 0, n)
+            vx = F.greatest(F.sum(x * x) - sx * sx / n, F.lit(0.0))
+            vy = F.greatest(F.sum(y * y) - sy * sy / n, F.lit(0.0))
+            flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+            out.append(F.when(~flat, F.try_divide(F.sum(x * y) - sx * sy / n, F.sqrt(vx) * F.sqrt(vy))))
+    return out
+
+
 def sample_std(c: Column) -> Column:
     """Aggregate: standard deviation with n-1, zero for a single value."""
     return F.when(F.count(c) == 1, F.lit(0.0)).otherwise(F.stddev_samp(c))

@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulon.functions.numbers import known, number, one_row, paired_corr, ratio, to_long, whole
+from tabulon.functions.numbers import correlations, known, number, one_row, paired_corr, ratio, to_long, whole
 from tabulon.functions.quantiles import join_on_keys, quantiles
 from tabulon.functions.text import strip
 from tabulon.operators.aggregate import number_stats, top_groups_by_mean, value_counts
@@ -221,13 +221,14 @@ def group_compare(df: DataFrame, group: str, column: str, k: int = 20) -> DataFr
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], max_columns: int = 10) -> DataFrame:
-    """All ordered pairs, pairwise complete, from one pass over the table."""
+    """All ordered pairs, pairwise complete; 1 on the diagonal, null for a constant column."""
     names = columns[:max_columns]
     pairs = list(combinations_with_replacement(names, 2))
-    wide = df.agg(*[paired_corr(number(df, a), number(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    rs = correlations(df, [(number(df, a), number(df, b)) for a, b in pairs])
+    wide = df.agg(*[r.alias(f"r{i}") for i, r in enumerate(rs)])
     cells = []
     for i, (a, b) in enumerate(pairs):
-        for left, right in {(a, b), (b, a)}:
+        for left, right in sorted({(a, b), (b, a)}):
             cells.append(F.struct(F.lit(left).alias("a"), F.lit(right).alias("b"), F.col(f"r{i}").alias("r")))
     return wide.select(F.inline(F.array(*cells)))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabulon.functions import roles
-from tabulon.functions.numbers import known, number, one_row, paired_corr, to_long
+from tabulon.functions.numbers import correlations, known, number, one_row, to_long
 from tabulon.functions.quantiles import quantiles
 from tabulon.functions.text import driver_label, fixed, signed_percent_points, strip
 from tabulon.operators.clean import text_columns
 from tabulon.operators.columns import usable_labels
 from tabulon.operators.descriptive import binned
 from tabulon.operators.series import cumulative_share
+from tabulon.session import cut_lineage
 
 SHRINK = 20.0
 
@@ -82,11 +83,12 @@ def pareto(contributions: DataFrame, top: int = 10, min_n: int = 5) -> DataFrame
     """The largest stable drivers, the rest and the low-support ones, with running shares.
 
     If every driver is low in support they are ranked anyway. The top list is a distributed top-k;
-    only its at most ``top`` + 2 lines are ranked and summed in order.
+    only its at most ``top`` + 2 lines are ranked and summed in order. The grouped contributions are
+    used four times, so they are checkpointed instead of grouping the table four times.
     """
-    valid = contributions.filter("contribution > 0").select(
+    valid = cut_lineage(contributions.filter("contribution > 0").select(
         driver_text().alias("driver"), "contribution", "n", (F.col("n") < min_n).alias("low")
-    )
+    ))
     t = known(valid.agg(
         F.sum("contribution").alias("total"), F.coalesce(F.sum(F.when(F.col("low"), F.col("contribution"))), F.lit(0.0)).alias("low"),
         F.count_if(F.col("low")).alias("n_low"), F.count(F.lit(1)).alias("n"),
@@ -188,10 +190,11 @@ def numeric_contrast(flagged: DataFrame, y: str, columns: list[str] | None = Non
     ]
     flag = F.when(F.col("is_outlier"), F.lit(1.0)).otherwise(F.lit(0.0))
     aggs = []
-    for c in names:
+    rs = correlations(flagged, [(number(flagged, c), flag) for c in names])
+    for c, r in zip(names, rs):
         x = number(flagged, c)
         aggs.append(F.struct(
-            paired_corr(x, flag).alias("r"), F.avg(F.when(flag == 1, x)).alias("mean_out"),
+            r.alias("r"), F.avg(F.when(flag == 1, x)).alias("mean_out"),
             F.avg(F.when(flag == 0, x)).alias("mean_base"), F.count(x).alias("n"),
         ).alias(c))
     wide = flagged.agg(*aggs)
@@ -250,10 +253,11 @@ def numeric_effects(df: DataFrame, y: str, columns: list[str] | None = None, ids
     ]
     yv = number(df, y)
     aggs = [F.stddev_pop(yv).alias("__sd")]
-    for c in names:
+    rs = correlations(df, [(number(df, c), yv) for c in names])
+    for c, r in zip(names, rs):
         x = number(df, c)
         aggs.append(F.struct(
-            paired_corr(x, yv).alias("corr"), F.count(F.when(x.isNotNull() & yv.isNotNull(), 1)).alias("n")
+            r.alias("corr"), F.count(F.when(x.isNotNull() & yv.isNotNull(), 1)).alias("n")
         ).alias(c))
     wide = df.agg(*aggs)
     long = to_long(wide, ["__sd"], {c: F.col(f"`{c}`") for c in names}, "feature", "s").select("feature", "__sd", "s.*")

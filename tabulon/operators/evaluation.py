@@ -7,8 +7,9 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.expressions import canonical, canonical_set
-from tabulon.functions.numbers import paired_corr
+from tabulon.functions.numbers import correlations, paired_corr
 from tabulon.operators.clean import first_per_key
+from tabulon.session import spread
 from tabulon.operators.reshape import join_baseline, pivot_mean, row_min, same_set, subset
 
 LIST_FIELDS = ("filters", "columns", "prepare", "aggregate")
@@ -45,6 +46,7 @@ def full_stability(stable: DataFrame, system: str, min_n: int = 30) -> DataFrame
 
 def normalize_decisions(log: DataFrame) -> DataFrame:
     """Canonical family and type and canonical list fields next to the originals."""
+    log = spread(log)
     texts = {f"{c}_n": canonical(c) for c in ("family", "type")}
     return log.withColumns(texts | {f"{c}_n": canonical_set(c) for c in LIST_FIELDS})
 
@@ -133,7 +135,8 @@ def metric_correlations(ratings: DataFrame, item: str, metric: str, score: str,
     wide = pivot_mean(ratings, [item], metric, score, order)
     names = [str(m) for m in order]
     pairs = list(combinations_with_replacement(names, 2))
-    one = wide.agg(*[paired_corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    rs = correlations(wide, [(F.col(f"`{a}`"), F.col(f"`{b}`")) for a, b in pairs])
+    one = wide.agg(*[r.alias(f"r{i}") for i, r in enumerate(rs)])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     cells += [F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs) if a != b]
     return one.select(F.inline(F.array(*cells)))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabulon.functions import roles
-from tabulon.functions.numbers import is_numeric, is_time, number, one_row, paired_corr, ratio, to_long
+from tabulon.functions.numbers import correlations, is_numeric, is_time, number, ratio, to_long
 from tabulon.functions.text import normal
 from tabulon.operators.aggregate import as_time, number_stats
 from tabulon.operators.clean import (
@@ -187,7 +187,8 @@ def top_correlations(df: DataFrame, columns: list[str], k: int = 8, max_columns:
     """The pairs with the largest |r|, all from one pass."""
     names = columns[:max_columns]
     pairs = list(combinations(names, 2))
-    wide = df.agg(*[paired_corr(number(df, a), number(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    rs = correlations(df, [(number(df, a), number(df, b)) for a, b in pairs])
+    wide = df.agg(*[r.alias(f"r{i}") for i, r in enumerate(rs)])
     rows = F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)
     ])

@@ -9,6 +9,7 @@ from tabulon.operators import evaluation as E
 from tabulon.operators.clean import first_per_key
 from tabulon.operators.columns import choose_dimension
 from tabulon.plans.catalog.base import Tables, query
+from tabulon.session import spread
 
 COMPONENTS = ["l_returnflag", "l_linestatus", "l_tax"]
 SYSTEMS = ["s0", "s1", "s2"]
@@ -178,7 +179,7 @@ def _(t: Tables):
         F.lit(" & o_orderdate.dt.year == "), F.year("o_orderdate").cast("string"), F.lit(" & o_status in ['O', '"), F.col("o_orderstatus"),
         F.lit("'] (optionally drop gaps)  # note"),
     )
-    return t.orders.select("o_orderkey", canonical(words).alias("canonical"))
+    return spread(t.orders).select("o_orderkey", canonical(words).alias("canonical"))
 
 
 @query("m10_candidate_dimension", "SELECT o_orderstatus AS level, count(*) AS n FROM orders GROUP BY 1")
