@@ -107,11 +107,13 @@ def first_per_key(df: DataFrame, subset: list[str], order_by: list[str] | None =
 
     A minimum over structs is combined before the shuffle, so a hot key costs one row per task.
     """
-    order = [c for c in (order_by or []) if c in df.columns]
-    rest = [c for c in df.columns if c not in order]
+    order = [c for c in (order_by or []) if c in df.columns and c not in subset]
+    rest = [c for c in df.columns if c not in order and c not in subset]
+    if not order and not rest:
+        return df.distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in order + rest])
-    picked = df.groupBy(*subset).agg(F.min(row).alias("__row"))
-    return picked.select(*[F.col("__row")[c].alias(c) for c in df.columns])
+    picked = df.groupBy(*[f"`{c}`" for c in subset]).agg(F.min(row).alias("__row"))
+    return picked.select(*[F.col(f"`{c}`") if c in subset else F.col("__row")[c].alias(c) for c in df.columns])
 
 
 def drop_duplicates(

@@ -112,11 +112,11 @@ def missing_field_counts(compared: DataFrame, baseline: str = "base", variant: s
 
 
 def winners(ratings: DataFrame, item: str, system: str, score: str) -> DataFrame:
-    """Per item the system with the best mean, TIE when several share it; two aggregates, no window."""
+    """Per item the system with the best mean, TIE when several share it; aggregates and one equi-join."""
     means = ratings.groupBy(item, system).agg(F.avg(score).alias("m"))
-    best = means.groupBy(item).agg(F.max("m").alias("top"), F.collect_list(F.struct("m", F.col(system).alias("s"))).alias("all"))
-    tied = F.filter("all", lambda x: x["m"] == F.col("top"))
-    return best.select(item, F.when(F.size(tied) > 1, F.lit("TIE")).otherwise(tied[0]["s"]).alias("winner"))
+    best = means.groupBy(item).agg(F.max("m").alias("m"))
+    top = means.join(best, [item, "m"]).groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.min(system).alias("first"))
+    return top.select(item, F.when(F.col("n") > 1, F.lit("TIE")).otherwise(F.col("first")).alias("winner"))
 
 
 def win_counts(won: DataFrame, item: str) -> DataFrame:

@@ -33,7 +33,7 @@ def _(t: Tables):
 
 @query("a2_plain_aggregate", f"""
 SELECT CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS l_shipdate_week, l_returnflag, count(l_quantity) AS count_l_quantity,
- coalesce(sum(l_quantity), 0) AS qty, avg(l_extendedprice) AS mean_l_extendedprice FROM ({GAPS_SQL}) GROUP BY 1, 2""", {"qty": 2, "mean_l_extendedprice": 4})
+ coalesce(sum(l_quantity), 0) AS qty, avg(l_extendedprice) AS mean_l_extendedprice FROM ({GAPS_SQL}) GROUP BY 1, 2""", {"qty": 2, "mean_l_extendedprice": 6})
 def _(t: Tables):
     return A.aggregate_plain(
         with_gaps(t.lineitem), ["l_returnflag"], [("l_quantity", "count"), ("l_quantity", "sum", "qty"), ("l_extendedprice", "mean")], "l_shipdate"
@@ -41,7 +41,7 @@ def _(t: Tables):
 
 
 def _bucket_query(name: str, grain: str):
-    @query(name, f"SELECT CAST(date_trunc('{grain}', ts) AS TIMESTAMP) AS time_bucket, event_type, avg(value) AS mean_value, count(*) AS n_records FROM events GROUP BY 1, 2", {"mean_value": 4})
+    @query(name, f"SELECT CAST(date_trunc('{grain}', ts) AS TIMESTAMP) AS time_bucket, event_type, avg(value) AS mean_value, count(*) AS n_records FROM events GROUP BY 1, 2", {"mean_value": 6})
     def _(t: Tables):
         return A.aggregate(t.events, A.Plan(["event_type", "ts"], [M("mean_value", "value", "mean")], "ts", grain))
 
@@ -249,7 +249,7 @@ def _(t: Tables):
     return W.scaled_support(A.support_counts(t.events, ["event_type"], "ts", "day"))
 
 
-@query("w9_trend_table", f"SELECT time_bucket, y, l_returnflag, n_records FROM ({MONTHS})", {"y": 4})
+@query("w9_trend_table", f"SELECT time_bucket, y, l_returnflag, n_records FROM ({MONTHS})", {"y": 6})
 def _(t: Tables):
     return W.trend_table(monthly(t), "time_bucket", "y", "l_returnflag")
 
@@ -273,7 +273,7 @@ def _(t: Tables):
 @query("j1_join_support", """
 WITH a AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS time_bucket, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS event_type, avg(value) AS mean_value FROM events GROUP BY 1, 2),
  c AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS time_bucket, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS event_type, count(*) AS n_records FROM events GROUP BY 1, 2)
-SELECT a.time_bucket, a.event_type, a.mean_value, c.n_records FROM a LEFT JOIN c ON a.time_bucket = c.time_bucket AND a.event_type IS NOT DISTINCT FROM c.event_type""", {"mean_value": 4})
+SELECT a.time_bucket, a.event_type, a.mean_value, c.n_records FROM a LEFT JOIN c ON a.time_bucket = c.time_bucket AND a.event_type IS NOT DISTINCT FROM c.event_type""", {"mean_value": 6})
 def _(t: Tables):
     e = t.events.withColumn("event_type", F.when(F.col("event_type") != "error", F.col("event_type")))
     means = A.aggregate(e, A.Plan(["event_type"], [M("mean_value", "value", "mean")], "ts", "day"), add_support=False)

@@ -17,7 +17,7 @@ from tabulon.sources import readers, writers
 @query("z4_monthly_price_by_flag", """
 SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS time_bucket, l_returnflag,
        avg(l_extendedprice) AS mean_l_extendedprice, count(*) AS n_records
-FROM lineitem WHERE l_discount >= 0.02 GROUP BY 1, 2""", {"mean_l_extendedprice": 4})
+FROM lineitem WHERE l_discount >= 0.02 GROUP BY 1, 2""", {"mean_l_extendedprice": 6})
 def _(t: Tables):
     return monthly_price_by_flag(t.lineitem)
 
