@@ -1,21 +1,30 @@
-"""Exact quantiles with linear interpolation, by two routes with the same answer.
-
-The built-in ``percentile`` keeps every distinct value of a group in one task. That is the faster
-route while the input is small, so it is used only when the optimizer's size estimate of the input
-is below ``ONE_TASK_BYTES``. Beyond it, values are counted first (partial aggregation removes
-repeats before the shuffle), counts are summed into order-preserving buckets, running sums over the
-buckets locate the bucket of every wanted rank, and only those buckets are looked into. No task
-sees more than the buckets of one group or the distinct values of one bucket.
+"""Exact quantiles with linear interpolation, by three routes with the same answer.
+
+``builtin``: Spark's ``percentile`` keeps every distinct value of a group in one task. It is used only
+while the optimizer's size estimate of the input is below ``ONE_TASK_BYTES``.
+
+``bracket`` (large input, no keys): the approximate aggregate, a sketch of bounded size, gives two
+values around each wanted rank; a pass of counts proves that the rank lies between them; a last pass
+looks only at the values in between, about 4/ACCURACY of the rows per rank. If the proof fails, the
+counting route answers.
+
+``counting`` (large input with keys): values are counted first (partial aggregation removes repeats
+before the shuffle), counts are summed into order-preserving buckets, running sums over the buckets
+locate the bucket of every wanted rank, and only those buckets are looked into. No task sees more
+than the buckets of one group or the distinct values of one bucket.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.functions.numbers import number
 
 ONE_TASK_BYTES = 64 * 1024 * 1024
 BUCKETS_PER_E_FOLD = 100_000
+ACCURACY = 100_000
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -110,6 +119,53 @@ def _by_counting(df: DataFrame, keys: list[str], columns: list[str], probs: list
     )
 
 
+def _by_bracket(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    base = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    reach = 2.0 / accuracy
+    ends = F.array(*[F.lit(min(1.0, max(0.0, p + side * reach))) for p in probs for side in (-1, 1)])
+    xs = [F.col(f"x{i}") for i in range(len(columns))]
+    sketch = base.agg(
+        *[F.percentile_approx(x, ends, accuracy).alias(f"a{i}") for i, x in enumerate(xs)],
+        *[F.struct(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).alias(f"s{i}") for i, x in enumerate(xs)],
+    ).first()
+    slots = []  # (column number, prob number, low, high, position)
+    for i in range(len(columns)):
+        n = sketch[f"s{i}"]["n"]
+        for j, p in enumerate(probs):
+            if n:
+                low = sketch[f"s{i}"]["lo"] if p <= reach else sketch[f"a{i}"][2 * j]
+                high = sketch[f"s{i}"]["hi"] if p >= 1 - reach else sketch[f"a{i}"][2 * j + 1]
+                slots.append((i, j, low, high, p * (n - 1)))
+    if not slots:
+        return _builtin(df, [], columns, probs, None)
+    counts = base.agg(*[
+        F.struct(F.count_if(xs[i] < low).alias("below"), F.count_if(xs[i] <= high).alias("upto")).alias(f"k{k}")
+        for k, (i, _, low, high, _) in enumerate(slots)
+    ]).first()
+    below = [counts[f"k{k}"]["below"] for k in range(len(slots))]
+    if any(not (below[k] <= math.floor(pos) and math.ceil(pos) < counts[f"k{k}"]["upto"]) for k, (*_, pos) in enumerate(slots)):
+        return _by_counting(df, [], columns, probs)
+    inside = base.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.when(xs[i].between(low, high), xs[i]).alias("v")) for k, (i, _, low, high, _) in enumerate(slots)
+    ]))).filter("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    table = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(float(pos)).alias("pos")) for b, (*_, pos) in zip(below, slots)])
+    run = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    slot = F.element_at(table, F.col("k") + 1)
+    ranked = inside.select("k", "v", "n", slot["pos"].alias("pos"), (slot["b"] + F.sum("n").over(run)).alias("hi"))
+    holds = lambda r: (F.col("hi") > r) & (F.col("hi") - F.col("n") <= r)
+    picked = ranked.groupBy("k").agg(
+        F.max(F.when(holds(F.floor("pos")), F.col("v"))).alias("lo"), F.max(F.when(holds(F.ceil("pos")), F.col("v"))).alias("up"),
+        F.first("pos").alias("pos"),
+    )
+    value = F.col("lo") + (F.col("pos") - F.floor("pos")) * (F.col("up") - F.col("lo"))
+    at = {(i, j): k for k, (i, j, *_) in enumerate(slots)}
+    return picked.agg(*[
+        (F.array(*[F.max(F.when(F.col("k") == at[i, j], value)) for j in range(len(probs))]) if (i, 0) in at
+         else F.max(F.lit(None).cast("array<double>"))).alias(c)
+        for i, c in enumerate(columns)
+    ])
+
+
 def quantiles(
     df: DataFrame,
     columns: list[str],
@@ -121,7 +177,7 @@ def quantiles(
 ) -> DataFrame:
     """One row (or one row per key): for every column an array with its quantiles.
 
-    ``route`` is ``auto``, ``builtin`` or ``counting``. ``accuracy`` asks for the approximate
+    ``route`` is ``auto``, ``builtin``, ``bracket`` (no keys) or ``counting``. ``accuracy`` asks for the approximate
     aggregate instead. ``sized_by`` names the frame whose size decides, for inputs whose own
     estimate is inflated by joins.
     """
@@ -129,9 +185,12 @@ def quantiles(
     if accuracy is not None:
         return _builtin(df, keys, columns, probs, accuracy)
     if route == "auto":
-        route = "builtin" if is_small(sized_by if sized_by is not None else df) else "counting"
+        small = is_small(sized_by if sized_by is not None else df)
+        route = "builtin" if small else "counting" if keys else "bracket"
     if route == "builtin":
         return _builtin(df, keys, columns, probs, None)
+    if route == "bracket" and not keys:
+        return _by_bracket(df, columns, probs)
     return _by_counting(df, keys, columns, probs)
 
 

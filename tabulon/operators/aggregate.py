@@ -195,7 +195,7 @@ def number_stats(df: DataFrame, columns: list[str], probs: list[float], keys: li
         aggs += [F.percentile(number(df, c), ps).alias(f"{c}__q") for c in columns]
         return df.groupBy(*keys).agg(*aggs)
     moments = df.groupBy(*keys).agg(*aggs)
-    q = quantiles(df, columns, probs, keys, route="counting").withColumnsRenamed({c: f"{c}__q" for c in columns})
+    q = quantiles(df, columns, probs, keys, route="counting" if keys else "bracket").withColumnsRenamed({c: f"{c}__q" for c in columns})
     if keys:
         return join_on_keys(moments, q, keys, "left")
     one = one_row(q)

@@ -19,6 +19,7 @@ from tabulon.operators.aggregate import bucket_start
 from tabulon.session import cut_lineage
 
 TREES, MIN_LEAF, SEED = 400, 2, 42
+MAX_CLASSES = 100
 MIN_ROWS, MIN_FEATURES = 80, 2
 MIN_POINTS, MIN_USABLE, MAX_HORIZON = 30, 25, 52
 CHECKPOINT_EVERY = 6
@@ -102,10 +103,11 @@ def fit_classification(df: DataFrame, target: str, columns: list[str] | None = N
     """M4: balanced random forest; the second result is the confusion matrix with row shares."""
     base = rare_classes_merged(df, target)
     spec = learn_features(base.drop("is_train"), target, columns, ids)
+    n_classes = base.agg(F.count_distinct(F.col(f"`{target}`")).alias("n")).first()["n"]
+    if not 2 <= n_classes <= MAX_CLASSES:
+        raise ValueError(f"{target} needs 2 to {MAX_CLASSES} stable classes, has {n_classes}")
     indexer = StringIndexer(inputCol=target, outputCol="__label", stringOrderType="frequencyDesc").fit(base)
     labels = indexer.labels
-    if len(labels) < 2:
-        raise ValueError(f"{target} has fewer than two stable classes")
     stages = feature_stages(df.sparkSession, spec)
     table = stages.transform(apply_features(indexer.transform(base), spec)).select("features", "__label", "is_train").persist()
     sizes = table.filter("is_train").groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class

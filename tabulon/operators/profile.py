@@ -11,7 +11,7 @@ from tabulon.functions.numbers import correlations, is_numeric, is_time, number,
 from tabulon.functions.text import normal
 from tabulon.operators.aggregate import as_time, number_stats
 from tabulon.operators.clean import (
-    duplicate_share, level_counts, level_summary, outlier_rates, read_time, text_columns,
+    duplicate_share, level_counts, level_summary, read_time, text_columns,
 )
 
 # Texts that code a yes/no answer.

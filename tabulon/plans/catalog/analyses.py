@@ -11,6 +11,7 @@ from tabulon.operators import diagnostic as G
 from tabulon.operators import verify as V
 from tabulon.operators.clean import drop_incomplete
 from tabulon.operators.predicates import Condition, where_guarded
+from tabulon.plans.registry import analyse
 from tabulon.plans.catalog.base import FLAT_SQL, GAPS_SQL, Tables, flat, query, with_gaps
 
 # A skewed metric: price times discount, with its square root as a second one.
@@ -361,6 +362,14 @@ def _(t: Tables):
     return N.axis_range(t.orders, "o_totalprice", scale="log")
 
 
+@query("z3_analysis_by_name", """
+WITH s AS (SELECT o_orderpriority AS value, avg(o_totalprice) AS mean, count(*) AS n FROM orders GROUP BY 1 ORDER BY mean DESC, value LIMIT 20)
+SELECT value, mean, n, (SELECT arg_max(value, mean) FROM s) AS highest, (SELECT arg_min(value, mean) FROM s) AS lowest, (SELECT max(mean) - min(mean) FROM s) AS gap,
+ (SELECT count(DISTINCT o_orderpriority) FROM orders) AS groups_total FROM s""", {"mean": 4, "gap": 4})
+def _(t: Tables):
+    return analyse(t.orders, "descriptive", "group_compare", group="o_orderpriority", column="o_totalprice")
+
+
 # --- checks -----------------------------------------------------------------------------------
 
 DAILY = "SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS time_bucket, sum(o_totalprice) AS y, count(*) AS n_records FROM orders GROUP BY 1"

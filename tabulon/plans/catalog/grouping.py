@@ -103,6 +103,16 @@ def _(t: Tables):
     return q.select("l_returnflag", p[0].alias("p01"), p[1].alias("p50"), p[2].alias("p999"), F.col("l_quantity")[1].alias("q50"))
 
 
+@query("a8_quantiles_by_bracket", """
+SELECT quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.999) AS p999, quantile_cont(l_quantity, 0.5) AS q50 FROM (%s)""" % GAPS_SQL,
+       {"p01": 4, "p50": 4, "p999": 4, "q50": 4})
+def _(t: Tables):
+    """The route for large inputs without keys, forced: a sketch, a proof by counts, the few values between."""
+    q = A.quantiles(with_gaps(t.lineitem), ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.999], route="bracket")
+    p = F.col("l_extendedprice")
+    return q.select(p[0].alias("p01"), p[1].alias("p50"), p[2].alias("p999"), F.col("l_quantity")[1].alias("q50"))
+
+
 @query("a9_distinct_counts", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM ({GAPS_SQL})" for c in ("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")))
 def _(t: Tables):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.expressions import canonical, canonical_set
 from tabulon.functions.numbers import correlations, number
+from tabulon.functions import quantiles as Q
 from tabulon.functions.quantiles import quantiles
 from tabulon.functions.text import WHITESPACE, content_words, number_free, strip, words
 from tabulon.operators import aggregate as A
@@ -101,13 +102,26 @@ def test_both_quantile_routes_agree(spark, parts):
     for keys in ([], ["g"]):
         a = quantiles(df, ["x"], probs, keys, route="builtin").collect()
         b = quantiles(df, ["x"], probs, keys, route="counting").collect()
+        if not keys:
+            c = quantiles(df, ["x"], probs, route="bracket").first()["x"]
+            assert np.allclose(c, b[0]["x"], rtol=0, atol=1e-9)
         key = (lambda r: str(r["g"])) if keys else (lambda r: "")
         for r, s in zip(sorted(a, key=key), sorted(b, key=key)):
             assert key(r) == key(s) and np.allclose(r["x"], s["x"], rtol=0, atol=1e-9)
 
 
+@pytest.mark.parametrize("accuracy", [5, 50])
+def test_brackets_that_are_narrow_or_wrong_still_answer(spark, accuracy):
+    xs = np.random.default_rng(3).normal(size=3000).round(2)
+    df = frame(spark, [(float(x), None if i % 3 else float(i)) for i, x in enumerate(xs)], "x double, y double")
+    got = Q._by_bracket(df, ["x", "y"], [0.003, 0.25, 0.5, 0.997], accuracy).first()
+    assert np.allclose(got["x"], np.quantile(xs, [0.003, 0.25, 0.5, 0.997]), atol=1e-9)
+    assert np.allclose(got["y"], np.quantile(np.arange(0, 3000, 3), [0.003, 0.25, 0.5, 0.997]), atol=1e-9)
+
+
 def test_quantiles_of_nothing(spark):
     df = frame(spark, [(1, None)], "g int, x double")
+    assert quantiles(df, ["x"], [0.5], route="bracket").first()["x"] is None
     for route in ("builtin", "counting"):
         assert quantiles(df, ["x"], [0.5], route=route).first()["x"] is None
         assert quantiles(df, ["x"], [0.5], ["g"], route=route).first()["x"] is None
