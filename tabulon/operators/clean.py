@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulon.functions import roles
 from tabulon.functions.numbers import clip, is_label, is_numeric, number, one_row, ratio, to_long
-from tabulon.functions.quantiles import quantiles
+from tabulon.functions.quantiles import is_small, quantiles
 from tabulon.functions.text import MISSING_TOKENS, normal, strip
 from tabulon.operators.aggregate import as_time
 
@@ -45,9 +45,14 @@ DATE_PATTERNS = ("yyyy/MM/dd", "M/d/yyyy", "d.M.yyyy", "d.M.yyyy HH:mm", "d.M.yy
 
 
 def read_time(c: Column, patterns: tuple[str, ...] = DATE_PATTERNS) -> Column:
-    """ISO-8601 first, then the listed patterns; null when none fits."""
-    tries = [strip(c).try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(strip(c), F.lit(p)).cast("timestamp_ntz") for p in patterns]
+    """ISO-8601 first, then the listed patterns; null when none fits.
+
+    A text without a digit, or longer than any time with its zone, is not tried at all.
+    """
+    text = strip(c)
+    text = F.when((F.length(text) <= 64) & text.rlike("[0-9]"), text)
+    tries = [text.try_cast("timestamp_ntz")]
+    tries += [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in patterns]
     return F.coalesce(*tries)
 
 
@@ -159,13 +164,32 @@ def duplicate_share(df: DataFrame, keys: list[str]) -> DataFrame:
 
     Grouping sums repeats before the shuffle, so a hot key does not weigh on one task.
     """
-    counts = df.groupBy(*[f"`{k}`" if "`" not in k else k for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+    wide = len(keys) > 3 and not is_small(df)
+    counts = _wide_counts(df, keys) if wide else _key_counts(df, keys)
     return counts.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"),
-        (F.coalesce(F.sum("__n"), F.lit(0)) - F.count(F.lit(1))).alias("n_duplicates"),
+        (F.coalesce(F.sum("__n"), F.lit(0)) - F.coalesce(F.sum("__g"), F.lit(0))).alias("n_duplicates"),
     ).withColumn("dup_rate", ratio(F.col("n_duplicates"), F.col("n_rows"), 0.0))
 
 
+def _key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*[f"`{k}`" for k in keys]).agg(F.count(F.lit(1)).alias("__n"), F.lit(1).alias("__g")).select("__n", "__g")
+
+
+def _wide_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The same counts for large tables and many columns: hashes are shuffled first.
+
+    Rows whose hash occurs once cannot repeat and count as groups of one. Only the others are grouped
+    by their full keys, so a collision of hashes changes nothing.
+    """
+    cols = [F.col(f"`{k}`") for k in keys]
+    hashed = df.select(*cols, F.xxhash64(F.lit(1), *cols).alias("__h1"), F.xxhash64(F.lit(2), *cols).alias("__h2"))
+    sizes = hashed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"))
+    once = sizes.filter("__n = 1").agg(F.count(F.lit(1)).alias("__n")).select("__n", F.col("__n").alias("__g"))
+    again = hashed.join(sizes.filter("__n > 1").select("__h1", "__h2"), ["__h1", "__h2"], "left_semi")
+    return once.unionByName(_key_counts(again, keys))
+
+
 def outlier_rates(df: DataFrame, columns: list[str], k: float = 1.5, min_n: int = 20, accuracy: int | None = None) -> DataFrame:
     """Share outside the IQR fences per column; null with fewer than 20 values or no spread."""
     base = df.select(*[number(df, c).alias(c) for c in columns])

@@ -201,6 +201,16 @@ def test_guarded_drops(spark):
     assert C.drop_duplicates(df.select("x")).count() == 10
 
 
+def test_wide_duplicates_by_hashes_first(spark, monkeypatch):
+    rows = [(i % 7, None if i % 3 else "x", i % 2 == 0, float(i % 5)) for i in range(300)] + [(99, "only", True, 1.0), (None, "x", True, None)]
+    df = frame(spark, rows, "a int, b string, c boolean, d double")
+    plain = C.duplicate_share(df, df.columns).first()
+    monkeypatch.setattr(C, "is_small", lambda _: False)
+    assert C.duplicate_share(df, df.columns).first() == plain and plain["n_duplicates"] == len(rows) - len(set(rows))
+    one = frame(spark, [(1, 2, 3, 4)], "a int, b int, c int, d int")
+    assert C.duplicate_share(one, one.columns).first()["n_duplicates"] == 0
+
+
 def test_mode_ties_take_the_smaller_value(spark):
     df = frame(spark, [("b",), ("a",), ("b",), ("a",), (None,)], "s string")
     assert values(C.impute_mode(df, ["s"]), "s") == ["a", "a", "a", "b", "b"]
@@ -401,6 +411,12 @@ def test_near_duplicates_against_brute_force(spark, threshold):
     assert got == want
 
 
+def test_hot_copies_are_a_star_not_pairs(spark):
+    rows = [(i, "The press stopped after 3 hours of work") for i in range(200)] + [(i, f"The press stopped after {i} hours of work") for i in range(200, 300)]
+    got = K.near_duplicates(frame(spark, rows, "id int, t string"), "id", "t").collect()
+    assert len(got) == 299 and {r["left_id"] for r in got} == {0} and {r["kind"] for r in got} == {"copy"}
+
+
 def test_highlights_skip_near_copies(spark):
     rows = [(1, 0, "most parts were late by 3 days in may"), (1, 1, "Most parts were late by 9 days in may"), (1, 2, "nothing else to say"), (1, 3, "")]
     out = K.pick_highlights(frame(spark, rows, "d int, p int, s string"), "d", "s", "p")
