@@ -178,7 +178,7 @@ def support_extremes(counts: DataFrame, k: int = 3, n: str = "n_records") -> Dat
 
 
 def number_stats(df: DataFrame, columns: list[str], probs: list[float], keys: list[str] | None = None, route: str = "auto") -> DataFrame:
-    """One wide pass of moments plus one of quantiles, per key: ``<col>__n, __mean, ...``."""
+    """One wide pass of moments and one of quantiles, per key: ``<col>__n, __mean, ..., __q``."""
     keys = keys or []
     aggs = []
     for c in columns:
@@ -190,16 +190,19 @@ def number_stats(df: DataFrame, columns: list[str], probs: list[float], keys: li
     aggs.append(F.count(F.lit(1)).alias("n_total"))
     if not probs:
         return df.groupBy(*keys).agg(*aggs)
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    if route == "builtin" or (route == "auto" and is_small(df)):
+    small = route == "builtin" or (route == "auto" and is_small(df))
+    named = {c: f"{c}__q" for c in columns}
+    if keys and small:
+        ps = F.array(*[F.lit(float(p)) for p in probs])
         aggs += [F.percentile(number(df, c), ps).alias(f"{c}__q") for c in columns]
         return df.groupBy(*keys).agg(*aggs)
+    # The moments stay in generated code when no percentile shares their aggregate.
     moments = df.groupBy(*keys).agg(*aggs)
-    q = quantiles(df, columns, probs, keys, route="counting" if keys else "bracket").withColumnsRenamed({c: f"{c}__q" for c in columns})
     if keys:
-        return join_on_keys(moments, q, keys, "left")
-    one = one_row(q)
-    return moments.select("*", *[one[f"{c}__q"].alias(f"{c}__q") for c in columns])
+        return join_on_keys(moments, quantiles(df, columns, probs, keys, route="counting").withColumnsRenamed(named), keys, "left")
+    q = quantiles(df, columns, probs, route="builtin" if small else route if route != "auto" else "bracket")
+    one = one_row(q.withColumnsRenamed(named))
+    return moments.select("*", *[one[n].alias(n) for n in named.values()])
 
 
 def global_stats(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
