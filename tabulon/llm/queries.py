@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import bpe, mixing, token_counts
-from tabulon.llm.common import documents, new_path
+from tabulon.llm import bpe, hnsw, mixing, token_counts, topk, warc
+from tabulon.llm.common import documents, new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,49 @@ def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """A cache of its own for each run, so that the query always encodes every distinct text of its table."""
     return token_counts.token_counts(documents(spark, folder), vocabulary("byte_bpe_50k.json"), new_path(spark, "token-cache"))
+
+
+@query
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = topk.whole(topk.vectors(table(spark, folder, "embeddings")))
+    return topk.top_k(rows, rows.where("id % 50 = 0"), 5)
+
+
+ORACLES["op5_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op6_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = hnsw.nonzero(topk.vectors(table(spark, folder, "embeddings")))
+    return hnsw.search(hnsw.build_index(rows, 20), rows.where("id % 20 = 0"), 20)
+
+
+@query
+def op2_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    archives = new_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), archives)
+    records = warc.read(spark, archives, keep_payload=False).where("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op2_warc_round_trip"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+    max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS last_id FROM pages
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST(1 + (i // 4) * 5 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN last_id IS NULL OR page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to
+FROM p
+"""
