@@ -33,7 +33,7 @@ def plain(frame: pd.DataFrame) -> list[tuple]:
     for row in frame.itertuples(index=False, name=None):
         out = []
         for v in row:
-            if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+            if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
                 out.append("~null")
             elif isinstance(v, bool) or type(v).__name__ == "bool_":
                 out.append(str(bool(v)))
