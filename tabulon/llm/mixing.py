@@ -15,7 +15,7 @@ from tabulon.llm.common import cut_lineage, word_count
 #: Words in a block; the last block of a source is shorter.
 BLOCK_WORDS = 32768
 #: Rows that a chunk of a running sum or rank has on average.
-CHUNK_ROWS = 1 << 14
+CHUNK_ROWS = 1 << 11
 WEIGHTS = (3, 1, 2)
 #: A prime above any number of blocks; multiples of it visit each whole block once.
 STRIDE = 2147483647

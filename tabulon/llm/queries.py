@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import bpe, hnsw, mixing, token_counts, topk, warc
+from tabulon.llm import bpe, hnsw, jaccard, mixing, token_counts, topk, warc
 from tabulon.llm.common import documents, new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to
 FROM p
 """
+
+
+@query
+def op10_similar_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_documents(documents(spark, folder))
