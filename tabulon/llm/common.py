@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabulon.session import cut_lineage, new_path, table
 
-__all__ = ["cut_lineage", "documents", "fresh", "new_path", "slices", "table", "word_count"]
+__all__ = ["cut_lineage", "documents", "fresh", "new_path", "ship", "slices", "table", "word_count"]
 
 #: Bytes 0x20 and 0x09-0x0D separate words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -58,3 +62,18 @@ def slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, i
             start, held = i, 0
         held += int(n)
     yield start, len(lengths)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, for clusters whose nodes don't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tabulon_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    fd, path = tempfile.mkstemp(prefix="tabulon-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, Path(root.name) / file.relative_to(root))
+    context.addPyFile(path)  # Spark serves it from the driver
+    context._tabulon_shipped = True

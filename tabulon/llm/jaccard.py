@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import cut_lineage, slices
 from tabulon.llm.components import components
+from tabulon.llm.counting import summed
 from tabulon.llm.words import shingles, words
 
 #: Counters of shingle frequency, hashed; their number doesn't grow with the data, so the table that tasks get is bounded.
 COUNTERS = 1 << 22
-COUNTER_CHUNK = 1 << 14
-FAN_IN = 64
 #: Parts of the hash range whose sizes bound the overlap of two sets.
 PARTS = 32
 #: Bits of the filter that keeps whole sets of classes in no candidate pair off the network.
@@ -46,56 +45,21 @@ def narrow(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def frequency_table(df: DataFrame, size: int) -> np.ndarray:
-    """For each counter a coarse logarithm of how many documents have a shingle that falls into it; a few MB at any scale.
+    """For each counter a coarse logarithm of how many documents have a shingle that falls into it; a few MB at any scale."""
 
-    Each task counts all its documents. The counts of tasks are added chunk by chunk on the executors, those of at most
-    ``FAN_IN`` tasks in one group, then those of as many groups, until one row per chunk is left.
-    """
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+    def count(batches: Iterable[pa.RecordBatch], total: np.ndarray) -> None:
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 for own in doc_sets(batch.column(0).slice(a, b - a), size):
                     np.add.at(total, counter_of(own), 1)
-        parts = total.reshape(-1, COUNTER_CHUNK)
-        used = np.flatnonzero(parts.any(1))
-        for at in range(0, len(used), 32):
-            now = used[at : at + 32]
-            yield pa.RecordBatch.from_arrays([pa.array(now, pa.int64()), pa.array([packed(parts[i]) for i in now], pa.binary())], ["chunk", "counts"])
-
-    def add(key: tuple, group: pa.Table) -> pa.Table:
-        total = np.zeros(COUNTER_CHUNK, np.int64)
-        for raw in group["counts"]:
-            total += unpacked(raw.as_py())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([packed(total)], pa.binary())})
-
-    texts = df.select("text")
-    tasks = max(1, texts.rdd.getNumPartitions())
-    rows = texts.mapInArrow(count, "chunk long, counts binary").withColumn("part", F.spark_partition_id().cast("long"))
-    while True:
-        rows = rows.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("chunk", "part").applyInArrow(add, "chunk long, part long, counts binary")
-        tasks = -(-tasks // FAN_IN)
-        if tasks == 1:
-            break
-    out = np.zeros((COUNTERS // COUNTER_CHUNK, COUNTER_CHUNK), np.uint8)
-    for row in rows.select("chunk", "counts").toLocalIterator():
-        out[row["chunk"]] = np.minimum(255, np.floor(8 * np.log2(1 + unpacked(row["counts"])))).astype(np.uint8)
-    return out.ravel()
+
+    return np.minimum(255, np.floor(8 * np.log2(1 + summed(df.select("text"), COUNTERS, count)))).astype(np.uint8)
 
 
 def counter_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def packed(counts: np.ndarray) -> bytes:
-    return counts.astype("<u2" if counts.max() < 1 << 16 else "<i8").tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * COUNTER_CHUNK else "<i8").astype(np.int64)
-
-
 def prefix_length(n: np.ndarray | int, share: int, of: int):
     """Shingles that a set of n must show so that any set with overlap share / of of the union meets one of them."""
     return n - (share * n + of - 1) // of + 1

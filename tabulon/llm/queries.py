@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import bpe, hnsw, jaccard, mixing, token_counts, topk, warc
-from tabulon.llm.common import documents, new_path, table
+from tabulon.llm import bpe, hnsw, jaccard, mixing, quality, token_counts, topk, warc
+from tabulon.llm.common import documents, new_path, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[run.__name__] = run
-    return run
+    @wraps(run)
+    def shipped(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return run(spark, folder)
+
+    QUERIES[run.__name__] = shipped
+    return shipped
 
 
 def vocabulary(name: str) -> str:
@@ -91,3 +97,9 @@ FROM p
 @query
 def op10_similar_documents(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(documents(spark, folder))
+
+
+@query
+def op4_quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return quality.resample(docs, quality.fit(docs, table(spark, folder, "labels")))

@@ -43,11 +43,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, text after text, and the number of words before each text (one more than texts)."""
+def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, where each word begins and ends among them, and the number of words before each text."""
     data, offsets = text_bytes(column)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     black = ~SPACE[data]
     begins = black.copy()
     begins[1:] &= ~black[:-1]
@@ -55,14 +53,28 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins[edges] = black[edges]  # a text's first byte never continues the text before
     first = np.flatnonzero(begins)
     before = np.searchsorted(first, offsets)
+    stop = np.ones(len(data) + 1, bool)
+    stop[:-1] = ~black | begins
+    stops = np.flatnonzero(stop)
+    last = stops[np.searchsorted(stops, first, side="right")] if len(first) else first
+    return data, first, last, before
+
+
+def hashed(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each word."""
     if not len(first):
-        return np.zeros(0, np.uint64), before
-    count = np.cumsum(black)
-    starts = count[first] - 1
-    sizes = np.diff(np.append(starts, count[-1]))
-    place = np.arange(count[-1]) - np.repeat(starts, sizes)
-    values = BYTE[data[black]] * powers(int(sizes.max()))[place]
-    return mixed(np.add.reduceat(values, starts) + sizes.astype(np.uint64) * CHAIN), before
+        return np.zeros(0, np.uint64)
+    sizes = last - first
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+    values = BYTE[data[place + np.repeat(first, sizes)]] * powers(int(sizes.max()))[place]
+    return mixed(np.add.reduceat(values, starts) + sizes.astype(np.uint64) * CHAIN)
+
+
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, text after text, and the number of words before each text (one more than texts)."""
+    data, first, last, before = spans(column)
+    return hashed(data, first, last), before
 
 
 def shingles(hashes: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
