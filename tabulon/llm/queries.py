@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import bpe, hnsw, jaccard, mixing, quality, token_counts, topk, toxicity, warc
+from tabulon.llm import bpe, hnsw, jaccard, mixing, quality, secrets, token_counts, topk, toxicity, warc
 from tabulon.llm.common import documents, new_path, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op4_quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(documents(spark, folder))
