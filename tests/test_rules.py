@@ -446,6 +446,12 @@ def test_fields_cross_lines_and_first_wins(spark):
     ("b == 2 & a == 1", "a==1&b==2"),
     ("keep rows (optionally drop x). Optionally sort.", "keep rows ."),
     ("sum of x # comment", "sum of x"),
+    ("größe is null", "isna(größe)"),
+    ("größe\u00a0is not null", "notna(größe)"),
+    ("größe in ['b', 'a']", "in(größe,{a,b})"),
+    ("name.str.contains('foo, Bar')", "contains(name,foo, bar)"),
+    ("a == 1 & (optional: b == 2) c at most 3.5", "a==1 & c<=3.5".replace(" & ", "&")),
+    ("x not equal to 3", "x!=3"),
 ])
 def test_canonical_spelling(spark, given, want):
     assert frame(spark, [(given,)], "s string").select(canonical("s")).first()[0] == want
