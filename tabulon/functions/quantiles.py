@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabulon.functions.numbers import number
 
 ONE_TASK_BYTES = 64 * 1024 * 1024
-BUCKETS_PER_E_FOLD = 100_000
+BUCKETS_PER_OCTAVE = 65_536
 ACCURACY = 100_000
 
 
@@ -47,8 +47,14 @@ def _builtin(df: DataFrame, keys: list[str], columns: list[str], probs: list[flo
 
 
 def _bucket(v: Column) -> Column:
-    """Non-decreasing in v: sign times a fine logarithmic step."""
-    return (F.signum(v) * F.floor(F.lit(BUCKETS_PER_E_FOLD) * F.log1p(F.abs(v)))).cast("bigint")
+    """Non-decreasing in v, as fine for small values as for large ones: sign times a step of the binary logarithm.
+
+    The smallest positive double is 2^-1074, so all steps are positive; zero and the infinities have buckets of their own.
+    """
+    size = F.abs(v)
+    step = F.floor((F.log2(size) + 1075.0) * BUCKETS_PER_OCTAVE) + 1
+    ends = F.when(size == 0, F.lit(0)).when(size == F.lit(float("inf")), F.lit(1 << 40)).otherwise(step)
+    return (F.signum(v) * ends).cast("bigint")
 
 
 def _by_counting(df: DataFrame, keys: list[str], columns: list[str], probs: list[float]) -> DataFrame:

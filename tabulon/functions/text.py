@@ -107,7 +107,7 @@ def sorted_names(c: Column | str) -> Column:
 def humanize(c: Column | str) -> Column:
     """Underscores to blanks, first letter upper-case."""
     text = strip(F.regexp_replace(strip(c), "_", " "))
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 100000))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
 
 
 def unit_from_name(c: Column | str) -> Column:

@@ -47,10 +47,10 @@ DATE_PATTERNS = ("yyyy/MM/dd", "M/d/yyyy", "d.M.yyyy", "d.M.yyyy HH:mm", "d.M.yy
 def read_time(c: Column, patterns: tuple[str, ...] = DATE_PATTERNS) -> Column:
     """ISO-8601 first, then the listed patterns; null when none fits.
 
-    A text without a digit, or longer than any time with its zone, is not tried at all.
+    A text without a digit is not tried at all.
     """
     text = strip(c)
-    text = F.when((F.length(text) <= 64) & text.rlike("[0-9]"), text)
+    text = F.when(text.rlike("[0-9]"), text)
     tries = [text.try_cast("timestamp_ntz")]
     tries += [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in patterns]
     return F.coalesce(*tries)
@@ -231,7 +231,7 @@ def level_summary(counts: DataFrame) -> DataFrame:
     })
 
 
-def quality_report(df: DataFrame, keys: list[str] | None = None, max_columns: int = 25) -> DataFrame:
+def quality_report(df: DataFrame, keys: list[str] | None = None, max_columns: int | None = None) -> DataFrame:
     """C11: (scope, column, measure, value) rows: missing, unique, duplicates, outliers, cardinality."""
     counts = level_summary(level_counts(df, df.columns))
     base = {"missing_rate": F.col("missing_rate"), "n_unique": F.col("n_distinct").cast("double"), "unique_rate": F.col("unique_rate")}

@@ -7,11 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from tabulon.functions import roles
 from tabulon.functions.numbers import is_label, is_numeric
 
-DEFAULT_WIDTH = 12
 
-
-def select_existing(df: DataFrame, names: list[str], width: int = DEFAULT_WIDTH) -> DataFrame:
-    """The named columns that exist, else the first ``width``."""
+def select_existing(df: DataFrame, names: list[str], width: int | None = None) -> DataFrame:
+    """The named columns that exist, else all or the first ``width``."""
     found = [n for n in names if n in df.columns]
     return df.select(*[f"`{n}`" for n in (found or df.columns[:width])])
 
@@ -98,17 +96,17 @@ def summary_columns(df: DataFrame, ranked: list[str], metric: str | None, group:
     return kept + ([group] if group and group in df.columns and group not in kept else [])
 
 
-def usable_numeric(df: DataFrame, ids: list[str] | None = None, limit: int = 10) -> list[str]:
-    """The first numeric columns that are not id-like."""
+def usable_numeric(df: DataFrame, ids: list[str] | None = None, limit: int | None = None) -> list[str]:
+    """The (first ``limit``) numeric columns that are not id-like."""
     names = [f.name for f in df.schema if is_numeric(f)]
     return [c for c in names if not (c in ids if ids is not None else roles.id_like(c))][:limit]
 
 
 def usable_labels(
-    df: DataFrame, ids: list[str] | None = None, low: int = 2, high: int = 30, limit: int = 10,
+    df: DataFrame, ids: list[str] | None = None, low: int = 2, high: int = 30, limit: int | None = None,
     exclude: list[str] | None = None,
 ) -> list[str]:
-    """The first text or boolean columns with ``low`` to ``high`` levels; one pass over all of them."""
+    """The (first ``limit``) text or boolean columns with ``low`` to ``high`` levels; one pass over all of them."""
     names = [
         f.name for f in df.schema
         if is_label(f) and not (f.name in ids if ids is not None else roles.id_like(f.name)) and f.name not in (exclude or [])

@@ -161,8 +161,9 @@ def histogram(df: DataFrame, column: str, k: float = 1.5, min_n: int = 30) -> Da
     return with_empty_bins(binned(shown, x, e["lo"], e["hi"], e["k"]), edges)
 
 
-def box_stats(df: DataFrame, column: str, group: str, low: int = 2, high: int = 20) -> DataFrame:
-    """Quartiles, whiskers on the last value inside 1.5 IQR, fliers, for 2-20 groups."""
+def box_stats(df: DataFrame, column: str, group: str, low: int = 2, high: int | None = None) -> DataFrame:
+    """Quartiles, whiskers on the last value inside 1.5 IQR, fliers; nothing for fewer than ``low`` or more than
+    ``high`` groups."""
     label = strip(group) if group in text_columns(df) else F.col(f"`{group}`").cast("string")
     base = df.select(label.alias("group"), number(df, column).alias("x")).filter("x is not null")
     q = quantiles(base, ["x"], [0.25, 0.5, 0.75], ["group"]).select(
@@ -171,7 +172,7 @@ def box_stats(df: DataFrame, column: str, group: str, low: int = 2, high: int =
     levels = one_row(base.agg(F.count_distinct("group").alias("n")))["n"]
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("x").between(F.col("q1") - reach, F.col("q3") + reach)
-    return join_on_keys(base, q, ["group"]).filter((levels >= low) & (levels <= high)).groupBy("group").agg(
+    return join_on_keys(base, q, ["group"]).filter((levels >= low) & (F.lit(True) if high is None else levels <= high)).groupBy("group").agg(
         F.count("x").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(inside & (F.col("x") <= F.col("q1")), F.col("x"))).alias("lo_in"),
         F.max(F.when(inside & (F.col("x") >= F.col("q3")), F.col("x"))).alias("hi_in"),
@@ -190,8 +191,8 @@ def composition(df: DataFrame, column: str, top: int = 20) -> DataFrame:
 
 
 def summary_cards(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Up to four metrics with counts, missing rate, moments and quantiles."""
-    names = columns[:4]
+    """Metrics with counts, missing rate, moments and quantiles."""
+    names = columns
     wide = number_stats(df, names, [0.05, 0.25, 0.5, 0.75, 0.95])
     rows = {}
     for c in names:
@@ -220,7 +221,7 @@ def group_compare(df: DataFrame, group: str, column: str, k: int = 20) -> DataFr
     )
 
 
-def correlation_matrix(df: DataFrame, columns: list[str], max_columns: int = 10) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str], max_columns: int | None = None) -> DataFrame:
     """All ordered pairs, pairwise complete; 1 on the diagonal, null for a constant column."""
     names = columns[:max_columns]
     pairs = list(combinations_with_replacement(names, 2))

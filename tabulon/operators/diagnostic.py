@@ -22,7 +22,7 @@ def _label(df: DataFrame, name: str):
     return strip(c) if name in text_columns(df) else c.cast("string")
 
 
-def _dimensions(df: DataFrame, y: str, dims: list[str] | None, ids: list[str] | None, limit: int = 12) -> list[str]:
+def _dimensions(df: DataFrame, y: str, dims: list[str] | None, ids: list[str] | None, limit: int | None = None) -> list[str]:
     """Label columns with 2-30 levels; given names are held to the same rule."""
     base = df.select(*[f"`{d}`" for d in dims]) if dims else df
     return usable_labels(base, ids=[] if dims else ids, limit=limit, exclude=[y])
@@ -157,7 +157,7 @@ def flag_outliers(df: DataFrame, y: str, mode: str = "both", k: float = 1.5, siz
 
 def categorical_contrast(flagged: DataFrame, y: str, dims: list[str] | None = None, ids: list[str] | None = None, k: int = 8) -> DataFrame:
     """Per column the value whose share differs most between outliers and the rest."""
-    names = _dimensions(flagged.drop("is_outlier"), y, dims, (ids or []) if ids is not None else None, limit=100)
+    names = _dimensions(flagged.drop("is_outlier"), y, dims, (ids or []) if ids is not None else None)
     flag = F.col("is_outlier")
     groups = by_dimension(
         flagged, names, {"n_out": F.count_if("o"), "n_base": F.count_if(~F.col("o"))}, {"o": flag}
@@ -277,7 +277,7 @@ def categorical_lifts(
     """
     yv = number(df, y)
     base = df.filter(yv.isNotNull())
-    names = _dimensions(base, y, dims, ids, limit=100)
+    names = _dimensions(base, y, dims, ids)
     support = roles.support_column(df)
     weighted = support is not None and support != y
     w = F.coalesce(number(df, support), F.lit(0.0)) if weighted else F.lit(1.0)

@@ -33,7 +33,7 @@ def match_rates(stable: DataFrame, system: str, components: list[str], systems:
     values = [f"match_{c}" for c in components]
     long = stable.select(system, *values).unpivot([system], values, "component", "match")
     rates = long.groupBy("component", system).agg(F.avg("match").alias("rate"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
-    named = rates.select(F.substring("component", 7, 1000).alias("component"), system, (100.0 * F.col("rate")).alias("rate_pct"))
+    named = rates.select(F.substr(F.col("component"), F.lit(7)).alias("component"), system, (100.0 * F.col("rate")).alias("rate_pct"))
     return pivot_mean(named, ["component"], system, "rate_pct", systems)
 
 

@@ -21,7 +21,7 @@ from tabulon.session import cut_lineage
 TREES, MIN_LEAF, SEED = 400, 2, 42
 MAX_CLASSES = 100
 MIN_ROWS, MIN_FEATURES = 80, 2
-MIN_POINTS, MIN_USABLE, MAX_HORIZON = 30, 25, 52
+MIN_POINTS, MIN_USABLE = 30, 25
 CHECKPOINT_EVERY = 6
 
 
@@ -181,7 +181,7 @@ def forecast(series: DataFrame, keys: list[str], grain: str, horizon: int, trees
     with the trend line and pushes the result into the values. The plan is cut by a reliable
     checkpoint every few steps.
     """
-    horizon = max(1, min(MAX_HORIZON, horizon))
+    horizon = max(1, horizon)
     spark = series.sparkSession
     series = series.filter("y is not null")
     long_enough = F.count(F.lit(1)).over(Window.partitionBy(*keys)) >= MIN_POINTS

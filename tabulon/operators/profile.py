@@ -57,7 +57,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return to_long(wide, [], rows, "column", "s").select("column", "s.*").filter("n > 0")
 
 
-def categorical_columns(df: DataFrame, max_levels: int = 200, limit: int = 25) -> list[str]:
+def categorical_columns(df: DataFrame, max_levels: int = 200, limit: int | None = None) -> list[str]:
     """Columns that are neither numeric nor time and have few levels; one pass."""
     names = [f.name for f in df.schema if not is_numeric(f) and not is_time(f)]
     if not names:
@@ -87,16 +87,20 @@ def uniqueness(df: DataFrame, columns: list[str] | None = None, approximate: flo
     return to_long(wide, [], rows, "column", "uniqueness_ratio")
 
 
-def id_candidates(df: DataFrame, ids: list[str] | None = None, floor: float = 0.8, k: int = 8) -> DataFrame:
+def first_rows(df: DataFrame, n: int | None, *order) -> DataFrame:
+    """In this order, all rows or the first ``n``."""
+    ordered = df.orderBy(*order)
+    return ordered if n is None else ordered.limit(n)
+
+
+def id_candidates(df: DataFrame, ids: list[str] | None = None, floor: float = 0.8, k: int | None = None) -> DataFrame:
     """Id-like columns that are nearly unique."""
     names = ids if ids is not None else [c for c in df.columns if roles.key_like(c)]
-    return (
-        uniqueness(df, names).filter(F.col("uniqueness_ratio") >= floor)
-        .orderBy(F.col("uniqueness_ratio").desc(), "column").limit(k)
-    )
+    found = uniqueness(df, names).filter(F.col("uniqueness_ratio") >= floor)
+    return first_rows(found, k, F.col("uniqueness_ratio").desc(), "column")
 
 
-def time_candidates(df: DataFrame, times: list[str] | None = None, limit: int = 10) -> DataFrame:
+def time_candidates(df: DataFrame, times: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Time columns by type, by at least 90% readable texts, or by name, with their coverage."""
     names, aggs = [], []
     hinted = {c: (c in times if times is not None else roles.time_like(c)) for c in df.columns}
@@ -119,12 +123,12 @@ def time_candidates(df: DataFrame, times: list[str] | None = None, limit: int =
         ).alias(f.name))
     wide = df.agg(*aggs)
     found = to_long(wide, [], {c: F.col(f"`{c}`") for c in names}, "column", "s").select("column", "s.*")
-    return found.filter((F.col("parse_rate") >= 0.9) | F.col("name_hint")).orderBy("position").limit(limit)
+    return first_rows(found.filter((F.col("parse_rate") >= 0.9) | F.col("name_hint")), limit, "position")
 
 
-def measure_candidates(stats: DataFrame, limit: int = 12) -> DataFrame:
+def measure_candidates(stats: DataFrame, limit: int | None = None) -> DataFrame:
     """Numeric columns with at least five values and some spread, from D3."""
-    return stats.filter((F.col("n") >= 5) & (F.col("std_pop") > 0)).select("column", "n", "std_pop").orderBy("column").limit(limit)
+    return first_rows(stats.filter((F.col("n") >= 5) & (F.col("std_pop") > 0)).select("column", "n", "std_pop"), limit, "column")
 
 
 def label_candidates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -135,8 +139,8 @@ def label_candidates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def duplicate_rates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Whole rows, each of the first three keys, the first two keys together."""
-    sets = [("*", df.columns)] + [(k, [k]) for k in keys[:3]]
+    """Whole rows, each key, the first two keys together."""
+    sets = [("*", df.columns)] + [(k, [k]) for k in keys]
     if len(keys) >= 2:
         sets.append((",".join(keys[:2]), keys[:2]))
     out = None
@@ -183,7 +187,7 @@ def uninformative(df: DataFrame) -> DataFrame:
     return both.select("column", F.explode(reasons).alias("reason"), "missing_rate")
 
 
-def top_correlations(df: DataFrame, columns: list[str], k: int = 8, max_columns: int = 10) -> DataFrame:
+def top_correlations(df: DataFrame, columns: list[str], k: int = 8, max_columns: int | None = None) -> DataFrame:
     """The pairs with the largest |r|, all from one pass."""
     names = columns[:max_columns]
     pairs = list(combinations(names, 2))
@@ -196,14 +200,14 @@ def top_correlations(df: DataFrame, columns: list[str], k: int = 8, max_columns:
 
 
 def quality_flags(missing: DataFrame, duplicates: DataFrame, times: DataFrame, encoding: DataFrame) -> DataFrame:
-    """At most ten flags from D2, D10, D7 and D11."""
+    """Flags from D2, D10, D7 and D11, gravest kind first."""
     def flag(df: DataFrame, rank: int, code: str, column, value) -> DataFrame:
         return df.select(F.lit(rank).alias("rank"), F.lit(code).alias("code"), column.alias("column"), value.alias("value"))
 
-    gaps = missing.orderBy(F.col("missing_rate").desc(), "column").limit(5).filter("missing_rate >= 0.10")
+    gaps = missing.filter("missing_rate >= 0.10")
     rows = duplicates.filter("keys = '*' and dup_rate >= 0.10")
-    weak = times.filter("parse_rate < 0.9 and name_hint").orderBy("column").limit(3)
-    mixed = encoding.filter("fragmented").orderBy("column").limit(1)
+    weak = times.filter("parse_rate < 0.9 and name_hint")
+    mixed = encoding.filter("fragmented")
     none = F.lit(None).cast("double")
     out = (
         flag(gaps, 1, "missingness", F.col("column"), F.col("missing_rate"))
@@ -211,4 +215,4 @@ def quality_flags(missing: DataFrame, duplicates: DataFrame, times: DataFrame, e
         .unionByName(flag(weak, 3, "time_parse_risk", F.col("column"), F.col("parse_rate")))
         .unionByName(flag(mixed, 4, "encoding_fragmentation", F.col("column"), none))
     )
-    return out.orderBy("rank", F.col("value").desc_nulls_last(), "column").limit(10)
+    return out.orderBy("rank", F.col("value").desc_nulls_last(), "column")

@@ -14,7 +14,6 @@ from tabulon.operators.clean import duplicate_share
 ROBUST_Z = 3.5
 DUPLICATE_WARN = 0.15
 MIN_SUPPORT = 5
-MAX_KEY_LEVELS = 50
 
 
 def robust_outliers(df: DataFrame, column: str, z: float = ROBUST_Z) -> DataFrame:
@@ -32,15 +31,13 @@ def time_duplicates(df: DataFrame, time: str) -> DataFrame:
 
 
 def join_support(df: DataFrame, counts: DataFrame) -> DataFrame:
-    """The support of each row's bucket, joined on time_bucket and shared columns with at most 50 levels.
+    """The support of each row's bucket, joined on time_bucket and all shared columns.
 
     The planner chooses the join by the size of ``counts``; null keys match.
     """
     shared = [c for c in df.columns if c in counts.columns and c not in ("n_records", "time_bucket")]
     keys = ["time_bucket"] if "time_bucket" in df.columns and "time_bucket" in counts.columns else []
-    if shared:
-        row = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in shared]).first()
-        keys += [c for c in shared if row[c] <= MAX_KEY_LEVELS]
+    keys += shared
     if not keys:
         return df.withColumn("n_records", F.lit(None).cast("bigint"))
     right = counts.groupBy(*keys).agg(F.sum("n_records").alias("n_records"))

@@ -72,7 +72,7 @@ FROM (SELECT source_rank, source_path, text, unnest(CASE WHEN length(text) <= 12
 
 @query("s5_source_union", f"""
 SELECT source_rank, source_path, chunk_no, sha256(text) AS text_hash
-FROM ({CHUNKS_SQL}) ORDER BY source_rank, source_path, chunk_no LIMIT 5000""")
+FROM ({CHUNKS_SQL})""")
 def _(t: Tables):
     def chunks(df, key, kind):
         return readers.document_chunks(df.select(F.col(key).cast("string").alias("source_id"), F.col(key).cast("string").alias("source_path"), "text"), kind)

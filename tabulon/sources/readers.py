@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from tabulon.operators.textops import chunk_text
 
-MAX_CHUNKS = 5000
-
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",", header: bool = True, multi_line: bool = False) -> DataFrame:
     """Delimited text; lines with too many fields are skipped, short ones padded with nulls.
@@ -65,10 +63,11 @@ def document_chunks(docs: DataFrame, source_type: str, size: int = 1200, overlap
     )
 
 
-def combine_sources(parts: list[DataFrame], cap: int = MAX_CHUNKS) -> DataFrame:
-    """Several chunk tables in a fixed order, cut at a total number of rows (a distributed top-k)."""
+def combine_sources(parts: list[DataFrame], cap: int | None = None) -> DataFrame:
+    """Several chunk tables in a fixed order; with ``cap`` only the first rows of it (a distributed top-k)."""
     out = None
     for rank, part in enumerate(parts):
         one = part.withColumn("source_rank", F.lit(rank))
         out = one if out is None else out.unionByName(one)
-    return out.orderBy("source_rank", "source_path", "chunk_no").limit(cap)
+    ordered = out.orderBy("source_rank", "source_path", "chunk_no")
+    return ordered if cap is None else ordered.limit(cap)

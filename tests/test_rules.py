@@ -491,3 +491,31 @@ def test_observed_rows(spark):
     df, seen = V.observed(spark.range(7), "step")
     df.collect()
     assert seen.get["rows"] == 7
+
+
+def test_buckets_are_ordered_and_fine_at_every_size(spark):
+    xs = sorted([0.0, 5e-324, math.inf, -math.inf, *(s * f * 10.0 ** e for s in (1, -1) for e in (-300, -9, -6, 0, 9, 300) for f in (1, 1.001, 1.5, 3))])
+    got = [r[0] for r in frame(spark, [(x,) for x in xs], "v double").select(Q._bucket(F.col("v")).alias("b"), "v").orderBy("v").collect()]
+    assert got == sorted(got) and len(set(got)) == len(xs)
+
+
+def test_small_values_have_exact_quantiles_by_counting(spark):
+    xs = [k * 1e-9 for k in range(1, 202)]
+    got = Q._by_counting(frame(spark, [(x,) for x in xs], "x double"), [], ["x"], [0.0, 0.25, 0.5, 1.0]).first()["x"]
+    assert got == pytest.approx(np.quantile(xs, [0.0, 0.25, 0.5, 1.0]).tolist(), rel=1e-12)
+
+
+def test_no_cap_unless_asked_for(spark):
+    groups = frame(spark, [(f"g{i % 25:02d}", float(i)) for i in range(200)], "g string, x double")
+    assert N.box_stats(groups, "x", "g").count() == 25 and N.box_stats(groups, "x", "g", high=20).count() == 0
+    wide = frame(spark, [tuple(float(i * j % 7) for j in range(1, 13)) for i in range(20)], ", ".join(f"c{j} double" for j in range(1, 13)))
+    names = wide.columns
+    assert N.summary_cards(wide, names).count() == 12 and N.correlation_matrix(wide, names).count() == 144
+    assert len(P.usable_numeric(wide, ids=[])) == 12 and len(P.select_existing(wide, ["none"]).columns) == 12
+    keys = frame(spark, [(f"k{i}", "b") for i in range(60)], "k string, time_bucket string")
+    counts = frame(spark, [(f"k{i}", "b", i) for i in range(60)], "k string, time_bucket string, n_records long")
+    assert {(r["k"], r["n_records"]) for r in V.join_support(keys, counts).collect()} == {(f"k{i}", i) for i in range(60)}
+    head = "same opening " * 20
+    texts = frame(spark, [(1, "s", head + "a", 2.0), (2, "s", head + "b", 1.0), (3, "s", head + "a", 3.0)], "i int, s string, t string, score double")
+    assert K.distinct_snippets(texts, "s", "t", "score", ["i"]).count() == 2
+    assert K.distinct_snippets(texts, "s", "t", "score", ["i"], head=120).count() == 1
