@@ -135,9 +135,5 @@ def choose_dimension(df: DataFrame, target: str, ids: list[str] | None = None, n
     fitting = [c for c in names if 2 <= row[c] <= 50]
     if named in fitting:
         return named
-    best, top = None, -1
-    for c in fitting:
-        score = 2 * any(part in c.lower() for part in ACTIONABLE) + (row[c] <= 20)
-        if score > top:
-            best, top = c, score
-    return best
+    worth = {c: 2 * any(part in c.lower() for part in ACTIONABLE) + (row[c] <= 20) for c in fitting}
+    return min(fitting, key=lambda c: (-worth[c], fitting.index(c)), default=None)
