@@ -35,6 +35,7 @@ class Fitted:
     metrics: DataFrame
     importances: DataFrame
     holdout: DataFrame
+    labels: list[str] | None = None
 
 
 def feature_stages(spark, spec: FeatureSpec) -> PipelineModel:
@@ -86,8 +87,8 @@ def fit_regression(df: DataFrame, target: str, split: DataFrame | None = None, c
     model = RandomForestRegressor(
         labelCol=target, numTrees=trees, minInstancesPerNode=MIN_LEAF, maxDepth=depth, seed=SEED, featureSubsetStrategy="all",
     ).fit(table.filter("is_train"))
+    scored = cut_lineage(model.transform(table.filter("not is_train")).select(F.col(target).alias("actual"), "prediction"))
     table.unpersist()
-    scored = model.transform(table.filter("not is_train")).select(F.col(target).alias("actual"), "prediction")
     metrics = regression_metrics(scored, "actual").withColumn("n_train", F.lit(sizes["n_train"]))
     return Fitted(model, stages, spec, metrics, raw_importances(df.sparkSession, model, spec), scored)
 
@@ -118,13 +119,13 @@ def fit_classification(df: DataFrame, target: str, columns: list[str] | None = N
     model = RandomForestClassifier(
         labelCol="__label", weightCol="__weight", numTrees=trees, minInstancesPerNode=MIN_LEAF, maxDepth=depth, seed=SEED,
     ).fit(table.filter("is_train").withColumn("__weight", weight))
-    table.unpersist()
     names = F.array(*[F.lit(v) for v in labels])
-    scored = model.transform(table.filter("not is_train")).select(
+    scored = cut_lineage(model.transform(table.filter("not is_train")).select(
         F.element_at(names, F.col("__label").cast("int") + 1).alias("actual"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
-    )
+    ))
+    table.unpersist()
     confusion = confusion_matrix(scored, labels)
-    return Fitted(model, stages, spec, class_metrics(confusion), raw_importances(df.sparkSession, model, spec), scored), confusion
+    return Fitted(model, stages, spec, class_metrics(confusion), raw_importances(df.sparkSession, model, spec), scored, labels), confusion
 
 
 def confusion_matrix(scored: DataFrame, labels: list[str]) -> DataFrame:

@@ -17,6 +17,17 @@ def score_rows(fitted: Fitted, rows: DataFrame) -> DataFrame:
     return fitted.model.transform(fitted.stages.transform(rows))
 
 
+def predict_scenario(fitted: Fitted, scenario: dict) -> DataFrame:
+    """M3, M4: what the model says of one set of given inputs: a number, or the class by name; with warnings."""
+    known = {c: v for c, v in scenario.items() if c in fitted.spec.columns}
+    given = fitted.holdout.sparkSession.range(1).select(F.lit("scenario").alias("case"), *[F.lit(str(v)).alias(c) for c, v in known.items()])
+    scored = score_rows(fitted, scenario_rows(given, fitted.spec))
+    said = F.col("prediction")
+    if fitted.labels is not None:
+        said = F.element_at(F.array(*[F.lit(v) for v in fitted.labels]), said.cast("int") + 1)
+    return scored.select(said.alias("predicted"), "warnings")
+
+
 def predict_spread(fitted: Fitted, rows: DataFrame, name: str) -> DataFrame:
     """M8: mean, p10 and p90 of the single trees per scenario row; a row has as many values as trees."""
     vectors = fitted.stages.transform(rows).select(name, "features")
@@ -39,6 +50,8 @@ def predict_spread(fitted: Fitted, rows: DataFrame, name: str) -> DataFrame:
 
 def evaluate_scenario(fitted: Fitted, scenario: dict, objective: str = "minimize") -> DataFrame:
     """M8: baseline and scenario predictions with spread, their difference, and whether it helps."""
+    if fitted.labels is not None:
+        raise ValueError("classes have no mean to compare; use predict_scenario")
     spark = fitted.holdout.sparkSession
     known = {c: v for c, v in scenario.items() if c in fitted.spec.columns}
     one = spark.range(1)

@@ -6,10 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tabulon.operators import clean, columns, descriptive, diagnostic, prescriptive, series
+from tabulon.operators import clean, columns, descriptive, diagnostic, features, predictive, prescriptive, series
 from tabulon.operators.aggregate import Metric, Plan, aggregate
 from tabulon.operators.predicates import Condition, where_guarded
 
+
+def _regression(df: DataFrame, target: str, **options) -> predictive.Fitted:
+    return predictive.fit_regression(features.hash_split(df, df.columns), target, **options)
+
+
+def regression(df: DataFrame, target: str, scenario: dict | None = None, **options) -> DataFrame:
+    """The prediction for given inputs, or without any the scores on the held-out rows."""
+    fitted = _regression(df, target, **options)
+    return fitted.metrics if scenario is None else prescriptive.predict_scenario(fitted, scenario)
+
+
+def classification(df: DataFrame, target: str, scenario: dict | None = None, **options) -> DataFrame:
+    """The class for given inputs, or without any the scores on the held-out rows."""
+    fitted, _ = predictive.fit_classification(features.hash_split(df, df.columns), target, **options)
+    return fitted.metrics if scenario is None else prescriptive.predict_scenario(fitted, scenario)
+
+
+def scenario_evaluation(df: DataFrame, target: str, scenario: dict, objective: str = "minimize", **options) -> DataFrame:
+    return prescriptive.evaluate_scenario(_regression(df, target, **options), scenario, objective)
+
+
+def candidate_ranking(df: DataFrame, target: str, dimension: str | None = None, scenario: dict | None = None, objective: str = "minimize", **options) -> DataFrame:
+    dimension = dimension or columns.choose_dimension(df, target)
+    return prescriptive.rank_candidates(df, _regression(df, target, **options), dimension, scenario, objective)
+
+
 # Z3: (family, type) -> function(df, **arguments) -> DataFrame.
 ANALYSES: dict[tuple[str, str], Callable[..., DataFrame]] = {
     ("descriptive", "distribution"): descriptive.histogram,
@@ -29,6 +55,11 @@ ANALYSES: dict[tuple[str, str], Callable[..., DataFrame]] = {
     ("diagnostic", "variance_decomposition"): lambda df, y, dims=None: diagnostic.pareto(
         diagnostic.variance_decomposition(df, y, dims)
     ),
+    ("predictive", "regression"): regression,
+    ("predictive", "classification"): classification,
+    ("predictive", "forecasting"): lambda df, keys, grain, horizon, **options: predictive.forecast(df, keys, grain, horizon, **options).points,
+    ("prescriptive", "scenario_evaluation"): scenario_evaluation,
+    ("prescriptive", "candidate_ranking"): candidate_ranking,
     ("prescriptive", "decision_formulation"): prescriptive.decision_table,
 }
 

@@ -22,6 +22,7 @@ from tabulon.operators import descriptive as N
 from tabulon.operators import diagnostic as G
 from tabulon.operators import features as M
 from tabulon.operators import predictive as ML
+from tabulon.operators import prescriptive
 from tabulon.operators import reshape as U
 from tabulon.operators import series as W
 from tabulon.operators import textops as K
@@ -519,3 +520,22 @@ def test_no_cap_unless_asked_for(spark):
     texts = frame(spark, [(1, "s", head + "a", 2.0), (2, "s", head + "b", 1.0), (3, "s", head + "a", 3.0)], "i int, s string, t string, score double")
     assert K.distinct_snippets(texts, "s", "t", "score", ["i"]).count() == 2
     assert K.distinct_snippets(texts, "s", "t", "score", ["i"], head=120).count() == 1
+
+
+def test_models_by_name_predict_numbers_and_classes(spark):
+    rows = [(i, float(i % 10), "red" if i % 3 else "blue", 5.0 * (i % 10) + (3.0 if i % 3 else 40.0), "big" if i % 10 > 4 else "small") for i in range(300)]
+    df = frame(spark, rows, "no int, width double, colour string, weight double, size string").drop("no")
+    small = {"trees": 8, "depth": 6}
+    analyse = lambda family, kind, **kw: ANALYSES[family, kind](df, **kw, **small).collect()
+    given = {"width": 9, "colour": "blue"}
+    (r,) = analyse("predictive", "regression", target="weight", columns=["width", "colour"], scenario=given)
+    assert 70 < r["predicted"] < 90 and r["warnings"] == []
+    (c,) = analyse("predictive", "classification", target="size", columns=["width", "colour"], scenario=given)
+    assert c["predicted"] == "big"
+    cases = {x["case"]: x for x in analyse("prescriptive", "scenario_evaluation", target="weight", columns=["width", "colour"], scenario=given, objective="maximize")}
+    assert cases["scenario"]["aligned"] is True
+    ranked = analyse("prescriptive", "candidate_ranking", target="weight", columns=["width", "colour"], dimension="colour")
+    assert [x["candidate"] for x in ranked] == ["red", "blue"]
+    fitted, _ = ML.fit_classification(M.hash_split(df, df.columns), "size", columns=["width", "colour"], **small)
+    with pytest.raises(ValueError):
+        prescriptive.evaluate_scenario(fitted, given)
