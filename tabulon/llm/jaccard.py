@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import cut_lineage, slices
@@ -24,7 +24,7 @@ from tabulon.llm.words import shingles, words
 #: Counters of shingle frequency, hashed; their number doesn't grow with the data, so the table that tasks get is bounded.
 COUNTERS = 1 << 22
 #: Parts of the hash range whose sizes bound the overlap of two sets.
-PARTS = 32
+PARTS = 128
 #: Bits of the filter that keeps whole sets of classes in no candidate pair off the network.
 FILTER_BITS = 1 << 24
 
@@ -60,29 +60,38 @@ def counter_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(COUNTERS)).astype(np.int64)
 
 
+def part_sizes(own: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each part of the hash range."""
+    sizes = np.bincount((own >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS)
+    return sizes.astype("<u1" if sizes.max() < 256 else "<u4").tobytes()
+
+
 def prefix_length(n: np.ndarray | int, share: int, of: int):
     """Shingles that a set of n must show so that any set with overlap share / of of the union meets one of them."""
     return n - (share * n + of - 1) // of + 1
 
 
 def sketches(df: DataFrame, table: np.ndarray, size: int, share: int, of: int) -> DataFrame:
-    """doc_id, n, digest, prefix (rare first), parts (sizes of the set within equal parts of the hash range)."""
+    """doc_id, n, digest, prefix (rare first), last (where the prefix ends in the order), parts (sizes of the set within
+    equal parts of the hash range)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                sizes, digests, prefixes, parts = [], [], [], []
+                sizes, digests, prefixes, lasts, parts = [], [], [], [], []
                 for own in doc_sets(batch.column(1).slice(a, b - a), size):
                     n = len(own)
                     sizes.append(n)
                     digests.append(digest(own))
-                    order = np.argsort(table[counter_of(own)], kind="stable")
-                    prefixes.append(own[order[: prefix_length(n, share, of) if n else 0]].view(np.int64))
-                    parts.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=PARTS).astype("<u4").tobytes())
-                arrays = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "prefix", "parts"])
+                    rarity = table[counter_of(own)]
+                    order = np.argsort(rarity, kind="stable")[: prefix_length(n, share, of) if n else 0]
+                    prefixes.append(own[order].view(np.int64))
+                    lasts.append(bytes([rarity[order[-1]]]) + int(own[order[-1]]).to_bytes(8, "big") if n else b"")
+                    parts.append(part_sizes(own))
+                arrays = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(lasts, pa.binary()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "prefix", "last", "parts"])
 
-    return df.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, parts binary")
+    return df.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, last binary, parts binary")
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, share: int, of: int) -> DataFrame:
@@ -98,7 +107,7 @@ def bounded(pairs: DataFrame, classes: DataFrame, share: int, of: int) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, PARTS).astype(np.int64) for c in ("pa", "pb"))
+            x, y = (np.stack([np.frombuffer(v, "<u1" if len(v) == PARTS else "<u4") for v in batch.column(c).to_pylist()]).astype(np.int64) for c in ("pa", "pb"))
             most = np.minimum(x, y).sum(1)
             fine = of * most >= share * (x.sum(1) + y.sum(1) - most)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(fine)) for c in ("a", "b")], ["a", "b"])
@@ -162,6 +171,64 @@ def verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, size: int, sha
     return cut_lineage(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
+def prefix_meetings(classes: DataFrame) -> DataFrame:
+    """shingle, cid, n, pos, usable, last: the prefix shingles that at least two classes have.
+
+    ``usable`` is n without the prefix shingles that no other prefix has, and ``last`` orders classes by where their
+    prefix ends.
+    """
+    entries = classes.select("cid", F.posexplode("prefix").alias("pos", "shingle"))
+    met = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("shingle")
+    held = cut_lineage(entries.join(met, "shingle").select("shingle", "cid", "pos"))
+    counts = held.groupBy("cid").agg(F.count(F.lit(1)).alias("held"))
+    known = counts.join(classes.select("cid", "n", "last", F.size("prefix").alias("length")), "cid")
+    sized = held.join(known, "cid")
+    return cut_lineage(sized.select("shingle", "cid", "n", "pos", (F.col("n") - F.col("length") + F.col("held")).alias("usable"), "last"))
+
+
+def possible(x: str, y: str, share: int, of: int) -> Column:
+    """Length, position and prefix bounds of two classes, to hold at their first common prefix shingle.
+
+    None before that one is common, so at most what is left of either set from there on is. The class whose prefix ends
+    first in the order can have in common, of its prefix, only what is in the other's prefix too, so never more than its
+    usable shingles.
+    """
+    c = lambda side, name: F.col(f"{side}.{name}")
+    left = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
+    usable = F.when(c(x, "last") < c(y, "last"), c(x, "usable")).when(c(x, "last") > c(y, "last"), c(y, "usable")).otherwise(F.least(c(x, "usable"), c(y, "usable")))
+    most = F.least(left, usable)
+    return (F.least(c(x, "n"), c(y, "n")) * of >= F.greatest(c(x, "n"), c(y, "n")) * share) & (most * of >= share * (c(x, "n") + c(y, "n") - most))
+
+
+def star_links(shared: DataFrame, docs: DataFrame, classes: DataFrame, size: int, share: int, of: int) -> tuple[DataFrame, DataFrame]:
+    """Links of each class to the one that has a prefix shingle earliest, and the pairs held against each other for it.
+
+    That one has the fewest shingles of its own, so it is likeliest in the middle of a group of near copies.
+    """
+    heads = shared.groupBy("shingle").agg(F.min(F.struct("pos", "cid", "n", "usable", "last")).alias("h"))
+    heads = heads.select("shingle", "h.*").alias("x")
+    rows = shared.alias("y").join(heads, F.col("x.shingle") == F.col("y.shingle")).where(F.col("x.cid") != F.col("y.cid"))
+    pairs = rows.where(possible("x", "y", share, of)).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+    pairs = cut_lineage(pairs.distinct())
+    return verified(pairs, docs, classes, size, share, of), pairs
+
+
+def remaining_pairs(shared: DataFrame, known: DataFrame, share: int, of: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may be similar.
+
+    In each prefix shingle the classes outside its largest component meet all of other components.
+    """
+    labelled = shared.join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    rest = cut_lineage(labelled.join(mixed, "shingle").select(*shared.columns, "component"))
+    sizes = rest.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("rows"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
+    minor = rest.join(largest, "shingle").where(F.col("component") != F.col("largest")).alias("x")
+    once = (F.col("x.cid") < F.col("y.cid")) | (F.col("y.component") == F.col("x.largest"))
+    pair = minor.join(rest.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & once & possible("x", "y", share, of))
+    return pair.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+
+
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, share: int = 85, of: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``df``.
 
@@ -180,31 +247,12 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", si
     docs = narrow(df, key, text)
     found = cut_lineage(sketches(docs, frequency_table(docs, size), size, share, of))
     filled = found.where("n > 0")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"))
+    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("last").alias("last"), F.first("parts").alias("parts"))
     classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
 
-    entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    met = entries.groupBy("shingle").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last")
-    shared = cut_lineage(entries.join(met, "shingle").select("shingle", "cid", "n", "pos", "first"))
-    stars = cut_lineage(shared.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct())
-    links = verified(stars, docs, classes, size, share, of)
-    known = components(links)
-
-    labelled = shared.join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    rest = cut_lineage(labelled.join(mixed, "shingle").select("shingle", "cid", "n", "pos", "component"))
-    largest = rest.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("shingle").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
-    minor = rest.join(largest, "shingle").where(F.col("component") != F.col("largest")).select("shingle", "cid", "n", "pos", "component", "largest").alias("x")
-    other = rest.alias("y")
-    once = (F.col("x.cid") < F.col("y.cid")) | (F.col("y.component") == F.col("x.largest"))
-    alike = F.least("x.n", "y.n") * of >= F.greatest("x.n", "y.n") * share
-    pair = minor.join(other, F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.component") != F.col("y.component")) & once & alike)
-    # of common shingles, at most so many stand before this one and behind it in the order of both
-    most = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    fine = of * most >= share * (F.col("x.n") + F.col("y.n") - most)
-    pair = pair.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"), fine.alias("fine"))
-    new = pair.groupBy("a", "b").agg(F.min("fine").alias("fine")).where("fine").select("a", "b")
-    more = verified(cut_lineage(new.join(stars, ["a", "b"], "left_anti")), docs, classes, size, share, of)
+    shared = prefix_meetings(classes)
+    links, tried = star_links(shared, docs, classes, size, share, of)
+    more = verified(cut_lineage(remaining_pairs(shared, components(links), share, of).join(tried, ["a", "b"], "left_anti")), docs, classes, size, share, of)
 
     final = components(links.union(more))
     named = classes.select("cid", "digest", "least").join(final.withColumnRenamed("node", "cid"), "cid", "left")
