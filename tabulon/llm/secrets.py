@@ -45,7 +45,8 @@ DICTIONARY = (
 _NAMED = "(?i:" + "|".join(NAMES) + ")"
 #: A run of 16 and more letters, digits and + / _ - with a digit in it, or any value of 6 and more after a name of a secret.
 CANDIDATE = (
-    rf"(?<=(?:{_NAMED})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)[^\s\"'<>,;]{{6,}}"
+    # the first look back only spares most places the second, which it follows from
+    rf"(?<=[:=][ \t]{{0,3}}[\"']?)(?<=(?:{_NAMED})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)[^\s\"'<>,;]{{6,}}"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 )
 #: Cheap test that spares most texts the pattern above.
@@ -175,7 +176,7 @@ def redacted(df: DataFrame, text: str = "text", mask: str = "[SECRET]", labelled
     while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
     col = F.col(text).cast("string")
-    maybe = F.coalesce(col.rlike(CANDIDATE), F.lit(False))
+    maybe = F.coalesce(col.rlike(MAYBE) & col.rlike(CANDIDATE), F.lit(False))
     inside = df.where(maybe).withColumn(name, F.sha2(col.cast("binary"), 256))
     marked = inside.join(secret.select(F.col("content").alias(name), F.col("ordinals").alias(f"{name}_o")), name, "left")
     found = F.regexp_extract_all(col, F.lit(CANDIDATE), F.lit(0))
