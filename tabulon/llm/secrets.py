@@ -87,7 +87,6 @@ def with_features(rows: DataFrame) -> DataFrame:
     f, left, right = F.col("finding"), F.lower("left"), F.lower("right")
     changes = F.length(F.regexp_replace(F.regexp_replace(f, r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])", "\u0001"), "[^\u0001]", ""))
     covered = F.length(F.regexp_replace(F.lower(f), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
-    words = lambda names: r"(?:^|[^a-z])(?:" + "|".join(names) + r")(?:[^a-z]|$)"
     number = lambda c: c.cast("double")
     made = {
         "length": F.least(F.length(f), F.lit(256)), "digits": share(f, "0-9"), "uppers": share(f, "A-Z"), "lowers": share(f, "a-z"),
@@ -95,7 +94,8 @@ def with_features(rows: DataFrame) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(F.substring(f, 1, 256), ""))) / F.least(F.length(f), F.lit(256)),
         "hex": f.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), "dictionary": 1 - covered / F.length(f), "vowels": share(F.lower(f), "aeiou"),
         "in_path": left.rlike(r"[/\\.@]$|://\S*$|www\.\S*$") | f.rlike("^/|/.*/") | right.rlike(r"^[/\\@]|^\.[a-z]{2,4}\b"),
-        "named": left.rlike(words(NAMES)), "innocent": left.rlike(words(INNOCENT)) | right.rlike(words(INNOCENT)),
+        # a name may end a longer one (accessToken); an innocent word speaks of the value only directly before it
+        "named": left.rlike("(?:" + "|".join(NAMES) + ")(?:[^a-z]|$)"), "innocent": left.rlike("(?:^|[^a-z])(?:" + "|".join(INNOCENT) + ")[^a-z0-9]{0,4}$"),
         "assigned": left.rlike(r"[:=][ \t]*[\"']?$"), "known_shape": f.rlike("|".join(SHAPES.values())),
     }
     return rows.select("*", *[number(made[n]).alias(n) for n in FEATURES])
@@ -105,16 +105,17 @@ def rule_labels(rows: DataFrame) -> DataFrame:
     """Labels findings by the strictest rules of each kind; those between stay unlabelled and out of training.
 
     Right: vendor formats, and values assigned to a name of a secret that mix letters and digits. Wrong: numbers, plain
-    words, findings beside innocent words, and hex or mixed runs that nothing names or assigns.
+    words, findings directly behind innocent words, and hex or mixed runs that nothing names or assigns. A value that is
+    both assigned to a name of a secret and behind an innocent word stays unlabelled.
     """
     f = F.col("finding")
     vendor = F.col("known_shape") == 1
     value = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0) & (F.col("digits") < 1) & (F.col("innocent") == 0) & (F.col("dictionary") < 0.5) & (F.length(f) >= 8)
     number = f.rlike(r"^[0-9+/_.-]+$") & (F.col("named") == 0)
-    beside = (F.col("innocent") == 1) & (F.col("known_shape") == 0)
+    beside = (F.col("innocent") == 1) & (F.col("known_shape") == 0) & ~((F.col("named") == 1) & (F.col("assigned") == 1))
     bare = (F.col("named") == 0) & (F.col("assigned") == 0) & (F.col("known_shape") == 0)
     placeholder = f.rlike(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|null|none|true|false|changeme|your.*)$")
-    return rows.withColumn("label", F.when(placeholder, 0).when(vendor & (F.col("innocent") == 0), 1).when(value, 1).when(number | beside | bare, 0))
+    return rows.withColumn("label", F.when(placeholder, 0).when(vendor, 1).when(value, 1).when(number | beside | bare, 0))
 
 
 def sampled(rows: DataFrame, most: int) -> DataFrame:
