@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +26,14 @@ from tabulon.llm.quality import find
 
 #: Labelled training documents that the lexicon and the model are learned from, at most; chosen by hash of the key.
 LABELLED_ROWS = 20_000
-#: Entries of the lexicon at most, those that tell most first; it goes to every task.
-LEXICON_ENTRIES = 4_000
 #: Toxic documents that must have an entry, and how many times oftener it must be in toxic ones.
 LEAST_DOCUMENTS, LEAST_RATIO = 3, 6.0
 #: Letters of a word beginning; and of an entry that may be misspelled by one letter.
 LEAST_BEGINNING, LEAST_FUZZY = 5, 5
 #: Words around a hit that decide its context.
 WINDOW = 6
+#: Entries that a task counts before it passes the counts on.
+COUNTED_ENTRIES = 500_000
 STATES = 100_000
 CACHE_WORDS = 200_000
 BATCH_CHARS = 1 << 20
@@ -244,29 +245,39 @@ def training(df: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     return cut_lineage(docs.mapInArrow(run, "text string, label long"))
 
 
-def entry_counts(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """entry, toxic, clean: in how many documents each word ('w' before it) or beginning ('b') is; without ``wanted``
-    toxic documents only."""
+def entry_counts(sample: DataFrame) -> DataFrame:
+    """entry, toxic, clean: in how many documents each word ('w' before it) or beginning ('b') is."""
+
+    def listed(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+        names = list(counts[0].keys() | counts[1].keys())
+        for at in range(0, len(names), 10_000):
+            part = names[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[1][x] for x in part], pa.int64()), pa.array([counts[0][x] for x in part], pa.int64())], ["entry", "toxic", "clean"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1), strict=True):
-                toxic = label.as_py() == 1
-                if wanted is None and not toxic:
-                    continue
                 own = {w for tokens in windows(text.as_py() or "") for w in tokens if len(w) >= 3 and w[0].isalpha()}
-                found = {"w" + w for w in own} | {"b" + w[:n] for w in own for n in range(LEAST_BEGINNING, len(w))}
-                counts[toxic].update(found if wanted is None else found & wanted)
-        names = list(counts[0].keys() | counts[1].keys())
-        for at in range(0, len(names), 10_000):
-            part = names[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[1][x] for x in part], pa.int64()), pa.array([counts[0][x] for x in part], pa.int64())], ["entry", "toxic", "clean"])
+                counts[label.as_py() == 1].update({"w" + w for w in own} | {"b" + w[:n] for w in own for n in range(LEAST_BEGINNING, len(w))})
+                if len(counts[0]) + len(counts[1]) > COUNTED_ENTRIES:
+                    yield from listed(counts)
+                    counts = (Counter(), Counter())
+        yield from listed(counts)
 
     rows = sample.mapInArrow(run, "entry string, toxic long, clean long")
     return rows.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def without_repeats(counted: pd.DataFrame) -> pd.DataFrame:
+    """Entries but for beginnings that one letter less is in just the same documents: it matches all their words.
+
+    A beginning's documents are among those of one letter less, so equal counts mean the same documents.
+    """
+    known = {e: (t, c) for e, t, c in zip(counted.entry, counted.toxic, counted.clean, strict=True) if e[0] == "b"}
+    return counted[[known.get(e) is None or known.get(e[:-1]) != known[e] for e in counted.entry]].copy()
+
+
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = LABELLED_ROWS) -> Model:
     """Learns lexicon, weights and logistic model from labelled documents outside the held-out third."""
     sample = training(df, labels, key, text, label, most)
@@ -276,14 +287,11 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         model = Model()
         model.coefficients[0] = 20.0 if toxic else -20.0
         return model
-    frequent = entry_counts(sample, None).where(F.col("toxic") >= LEAST_DOCUMENTS)
-    # beginnings of one word in the same documents say the same; the bound is met by those in most documents
-    names = [row["entry"] for row in frequent.orderBy(F.col("toxic").desc(), "entry").limit(20 * LEXICON_ENTRIES).collect()]
-    counted = entry_counts(sample, frozenset(names)).toPandas()
-    counted["ratio"] = ((counted.toxic + 0.5) / (toxic + 1)) / ((counted.clean + 0.5) / (clean + 1))
-    chosen = counted[(counted.ratio >= LEAST_RATIO) & (counted.toxic >= LEAST_DOCUMENTS)].copy()
+    ratio = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
+    frequent = entry_counts(sample).where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("ratio", ratio)
+    chosen = without_repeats(frequent.where(F.col("ratio") >= LEAST_RATIO).toPandas())
     chosen["strength"] = np.log(chosen.ratio) * np.sqrt(chosen.toxic)
-    chosen = chosen.sort_values(["strength", "entry"], ascending=[False, True]).head(LEXICON_ENTRIES)
+    chosen = chosen.sort_values(["strength", "entry"], ascending=[False, True])
     entries = [(e[1:], e[0] == "b") for e in chosen.entry]
     # the prior of misspelled hits is a part of the exact weight; those that clean documents have too lose it
     model = Model(entries, np.log(chosen.ratio).tolist(), [0.0] * len(entries))
