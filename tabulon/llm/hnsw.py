@@ -19,6 +19,8 @@ QUERY_ROWS = 512
 LINKS = 16
 BUILD_WIDTH = 80
 SEARCH_WIDTH = 100
+#: Vectors this many times longer than the shard's median are kept out of its graph and searched exactly.
+LONG = 8.0
 INDEX = "shard long, dim int, members array<array<long>>, vectors binary, levels binary, links binary, entry int"
 
 
@@ -168,9 +170,26 @@ class Graph:
 
 
 def raised(x: np.ndarray) -> np.ndarray:
-    """One more component that makes all vectors equally long, so that nearest means largest inner product."""
+    """The vectors over their largest component, with one more component that makes all equally long, so that nearest
+    means largest inner product."""
+    x = np.asarray(x, np.float64)
+    x = x / (np.abs(x).max(initial=0.0) or 1.0)
     squares = np.einsum("ij,ij->i", x, x)
-    return np.column_stack([x, np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0.0))]).astype(np.float32)
+    return np.column_stack([x, np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0.0))])
+
+
+def asked_point(vector: np.ndarray) -> np.ndarray:
+    """The query in the space of ``raised``; its length doesn't change the order of inner products."""
+    vector = vector / (np.abs(vector).max(initial=0.0) or 1.0)
+    return np.append(vector / (math.sqrt(float(vector @ vector)) or 1.0), 0.0)
+
+
+def is_long(x: np.ndarray) -> np.ndarray:
+    """Which vectors are ``LONG`` times longer than the median; no square leaves the range of numbers."""
+    top = np.abs(x).max(axis=1, initial=0.0)
+    safe = np.where(top > 0, top, 1.0)
+    lengths = top / (top.max(initial=0.0) or 1.0) * np.sqrt(np.einsum("ij,ij->i", x / safe[:, None], x / safe[:, None]))
+    return lengths > LONG * np.median(lengths)
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
@@ -181,7 +200,10 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 
 
 def build_index(rows: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, links: int = LINKS, ef: int = BUILD_WIDTH) -> DataFrame:
-    """One row per shard and vector length: a graph of flat arrays; every vector is in one of them."""
+    """One row per shard and vector length: a graph of flat arrays; every vector is in one of them.
+
+    ``vectors`` and ``members`` begin with the nodes of the graph; those behind them are the long ones.
+    """
     nodes = cut_lineage(distinct_vectors(rows, k).withColumn("n", F.monotonically_increasing_id()))
     shards = max(1, math.ceil(nodes.count() / shard_rows))
     dealt = nodes.select(F.pmod(F.xxhash64("n"), F.lit(shards)).alias("shard"), F.size("vector").alias("dim"), F.col("n").alias("id"), "vector", "members")
@@ -190,8 +212,11 @@ def build_index(rows: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, link
         shard, dim = key[0].as_py(), key[1].as_py()
         ((_, x),) = by_length(group).values()
         order = np.argsort(group["id"].to_numpy(), kind="stable")
-        members = group["members"].take(pa.array(order)).to_pylist()
-        graph = Graph.build(raised(x), links, ef)
+        long = is_long(x)
+        back = np.argsort(long, kind="stable")
+        x = x[back]
+        members = group["members"].take(pa.array(order[back])).to_pylist()
+        graph = Graph.build(raised(x[: len(x) - int(long.sum())]), links, ef)
         return pa.table({
             "shard": pa.array([shard], pa.int64()), "dim": pa.array([dim], pa.int32()),
             "members": pa.array([members], pa.list_(pa.list_(pa.int64()))),
@@ -217,7 +242,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = SEARCH_W
     Blocks of queries visit each shard; each visit returns k candidates per query with their inner product in double
     precision on the vectors as they are, and the lists are merged per query. ``ef`` nodes are kept open in a graph, at
     least 2k. Rows with the query's own id are no results; ties go to the smaller id. Equal vectors share a node, so many
-    copies neither crowd the graph nor get lost. Null, zero and non-finite vectors are to be left out by the caller
+    copies neither crowd the graph nor get lost. Vectors much longer than others of their shard are all compared. Null, zero and non-finite vectors are to be left out by the caller
     (``nonzero``). No rows in either input give no rows.
     """
     ef = max(ef, 2 * k)
@@ -234,11 +259,15 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = SEARCH_W
         if a.num_rows and b.num_rows:
             row = b.slice(0, 1).to_pylist()[0]
             x = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
-            graph = Graph(raised(x), np.frombuffer(row["levels"], "<i4"), np.frombuffer(row["links"], "<i4"), row["entry"], links)
+            levels = np.frombuffer(row["levels"], "<i4")
+            graph, long = Graph(raised(x[: len(levels)]), levels, np.frombuffer(row["links"], "<i4"), row["entry"], links), np.arange(len(levels), len(x))
             ((ids, q),) = by_length(a).values()
             for me, vector in zip(ids.tolist(), q, strict=True):
-                near = graph.search(np.append(vector, 0.0).astype(np.float32), ef)
+                near = np.concatenate([graph.search(asked_point(vector), ef), long])
                 scores = exact(vector, x[near])
+                if len(near) > k + 1:  # the nodes that can be among the k best besides the query's own
+                    best_nodes = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
+                    near, scores = near[best_nodes], scores[best_nodes]
                 pairs = [(-s, other) for s, node in zip(scores.tolist(), near.tolist(), strict=True) for other in row["members"][node] if other != me]
                 found += [(me, other, -s) for s, other in heapq.nsmallest(k, pairs)]
         columns = list(zip(*found, strict=True)) or [[], [], []]

@@ -78,6 +78,22 @@ def test_graph_search_recall_and_scores(spark):
     assert by[1000][:3] != [] and hnsw.search(hnsw.build_index(ready.limit(0)), ready.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [1e5, 1e200])
+def test_graph_search_beside_a_very_long_vector(spark, length):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= length
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    out = hnsw.search(hnsw.build_index(df, 20), df.where("id % 20 = 0"), 20).collect()
+    hits = 0
+    for q in range(0, 600, 20):
+        s = x @ x[q]
+        best = [i for i in np.argsort(-s, kind="stable").tolist() if i != q][:20]
+        hits += len(set(best) & {r.vec_id for r in out if r.query_id == q})
+    assert len(out) == 30 * 20 and hits / (30 * 20) >= 0.95
+
+
 def test_graph_is_flat_and_linked():
     rng = np.random.default_rng(3)
     graph = hnsw.Graph.build(hnsw.raised(rng.normal(size=(500, 8))))
