@@ -12,7 +12,6 @@ from tabulon.operators.predicates import Condition
 from tabulon.plans.catalog.analyses import DIMS, EFFECTS, LIFT_SQL
 from tabulon.plans.catalog.base import FLAT_SQL, ORDER_GAPS_SQL, Tables, flat, query, with_order_gaps
 
-TREES = 20
 IDS = ["o_orderkey", "o_custkey"]
 
 
@@ -56,7 +55,7 @@ def _(t: Tables):
 
 def price_model(t: Tables):
     data = M.hash_split(order_features(t), ["o_orderkey"])
-    return P.fit_regression(data, "sum_price", columns=["n_lines", "sum_qty", "o_orderpriority", "o_orderstatus"], trees=TREES, depth=6)
+    return P.fit_regression(data, "sum_price", columns=["n_lines", "sum_qty", "o_orderpriority", "o_orderstatus"])
 
 
 @query("m3_regression")
@@ -83,7 +82,7 @@ def _(t: Tables):
 
 def quality_model(t: Tables):
     docs = t.documents.join(t.labels, "doc_id").select("doc_id", "lang", "source", "n_chars", F.col("quality").cast("string").alias("quality"))
-    return P.fit_classification(M.hash_split(docs, ["doc_id"]), "quality", columns=["lang", "source", "n_chars"], trees=TREES, depth=6)
+    return P.fit_classification(M.hash_split(docs, ["doc_id"]), "quality", columns=["lang", "source", "n_chars"])
 
 
 @query("m4_classification")
@@ -117,12 +116,12 @@ def _(t: Tables):
 
 @query("m5_forecast")
 def _(t: Tables):
-    return P.forecast(weekly(t), KEY, "week", 8, trees=TREES, depth=6).points
+    return P.forecast(weekly(t), KEY, "week", 8).points
 
 
 @query("m5_forecast_holdout")
 def _(t: Tables):
-    return P.forecast(weekly(t), KEY, "week", 1, trees=TREES, depth=6).metrics
+    return P.forecast(weekly(t), KEY, "week", 1).metrics
 
 
 @query("m6_importances")
