@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from functools import wraps
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, hnsw, jaccard, mixing, quality, secrets, token_counts, topk, toxicity, warc
+from tabulon.llm import bpe, hnsw, jaccard, mixing, negatives, packing, periods, quality, secrets, token_counts, topk, toxicity, warc
 from tabulon.llm.common import documents, new_path, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +117,57 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(documents(spark, folder))
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    cut = packing.pieces(documents(spark, folder), vocabulary("byte_bpe_50k.json"), outputs=("ids_crc32",))
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def with_period(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The words of one document in ten give way to a periodic tail, by the checksum of its id; a null id has none."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % p
+    return places
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    wanted = ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    return periods.periodic_runs(documents(spark, folder), outputs=wanted, rewrite=with_period)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    key = F.col("vec_id").cast("long")
+    label = F.when(key % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = topk.whole(vectors.select(key.alias("id"), label.alias("label"), F.col("embedding").cast("array<double>").alias("vector")))
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, c.label = q.label AS same, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""

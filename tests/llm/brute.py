@@ -83,3 +83,54 @@ def best_products(rows: list[tuple[int, list[float]]], queries: list[int], k: in
             found = [(-sum(x * y for x, y in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v)]
             out[q] = [(i, -s) for s, i in sorted(found)[:k]]
     return dict(out)
+
+
+def fewest_bins(sizes, capacity):
+    """Fewest bins by trying every place for every size."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def put(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for room in set(bins):
+            if room + sizes[i] <= capacity:
+                at = bins.index(room)
+                put(i + 1, [*bins[:at], room + sizes[i], *bins[at + 1 :]])
+        put(i + 1, [*bins, sizes[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def periodic_runs(words, least_words, least_exponent):
+    """Runs by comparing words at every distance; a period that a smaller one explains is dropped."""
+    n, out = len(words), []
+    for q in range(1, n // least_exponent + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(least_words, least_exponent * q):
+                part = words[i : i + length]
+                if not any(part[r:] == part[:-r] for r in range(1, q)):
+                    out.append((i, length, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def hard_negatives(rows, is_anchor, positives, negatives, low, high):
+    out = []
+    for a, label, v in rows:
+        if not is_anchor(a):
+            continue
+        scored = [(sum(int(x) * int(y) for x, y in zip(v, w, strict=True)), i, other) for i, other, w in rows if i != a and len(w) == len(v)]
+        best = sorted((-s, i) for s, i, other in scored if other == label)[:positives]
+        for s, i in best:
+            fit = sorted((-t, j) for t, j, other in scored if other != label and -low * s <= 100 * t <= -high * s)[:negatives]
+            out += [(a, i, rank, j, -s, -t) for rank, (t, j) in enumerate(fit, 1)]
+    return out
