@@ -24,7 +24,7 @@ from tabulon.llm.common import slices
 NEVER = np.int64(1 << 62)
 POSITION_BITS = 31
 #: Distinct pieces whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: Texts over this many characters are cut at white space, which no piece holds, to bound memory.
 CUT_CHARS = 1 << 20
 

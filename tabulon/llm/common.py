@@ -48,7 +48,7 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of a text column with about ``most_bytes`` each; a longer text has a range of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -64,8 +64,20 @@ def slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, i
     yield start, len(lengths)
 
 
+#: Rows and bytes of one Arrow batch between the JVM and a Python worker, at most (a longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, for clusters whose nodes don't have it installed."""
+    """Sends this package to the executors once per application, for clusters whose nodes don't have it installed.
+
+    Arrow batches of the session are made small: rows hold whole texts or sets, and the default of 10,000 rows would put
+    hundreds of MB of them into each worker.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None) or "-1"
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
     context = spark.sparkContext
     if getattr(context, "_tabulon_shipped", False):
         return

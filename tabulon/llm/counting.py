@@ -21,15 +21,15 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * CHUNK else "<i8").astype(np.int64)
 
 
-def summed(df: DataFrame, size: int, count: Callable[[Iterator[pa.RecordBatch], np.ndarray], None]) -> np.ndarray:
+def summed(df: DataFrame, size: int, count: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], kind: type = np.int64) -> np.ndarray:
     """The sum over all tasks of the ``size`` counters that ``count`` raises in place for the batches of a task.
 
-    ``size`` is a multiple of ``CHUNK`` and bounds what comes back. Counts are added chunk by chunk on the executors:
+    ``size`` is a multiple of ``CHUNK`` and bounds what comes back; ``kind`` is the type of a task's own counters. Counts are added chunk by chunk on the executors:
     those of at most ``FAN_IN`` tasks in one group, then those of as many groups, until one row per chunk is left.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, kind)
         count(batches, total)
         parts = total.reshape(-1, CHUNK)
         used = np.flatnonzero(parts.any(1))

@@ -53,7 +53,8 @@ def frequency_table(df: DataFrame, size: int) -> np.ndarray:
                 for own in doc_sets(batch.column(0).slice(a, b - a), size):
                     np.add.at(total, counter_of(own), 1)
 
-    return np.minimum(255, np.floor(8 * np.log2(1 + summed(df.select("text"), COUNTERS, count)))).astype(np.uint8)
+    # a task sees fewer than 2^32 documents
+    return np.minimum(255, np.floor(8 * np.log2(1 + summed(df.select("text"), COUNTERS, count, np.uint32)))).astype(np.uint8)
 
 
 def counter_of(hashes: np.ndarray) -> np.ndarray:
