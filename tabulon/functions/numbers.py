@@ -123,6 +123,11 @@ def known(stats: DataFrame) -> dict[str, Column]:
     return {f.name: F.lit(row[f.name]).cast(f.dataType) for f in stats.schema}
 
 
+def at_most(df: DataFrame, k: int | None) -> DataFrame:
+    """The first ``k`` rows of an ordered frame, or all."""
+    return df if k is None else df.limit(k)
+
+
 def to_long(df: DataFrame, keys: list[str], columns: dict[str, Column], name: str, value: str) -> DataFrame:
     """Several expressions of one row as (name, value) rows; cheap on one-row statistics."""
     pairs = F.array(*[F.struct(F.lit(k).alias(name), v.alias(value)) for k, v in columns.items()])

@@ -6,8 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabulon.functions.numbers import is_time, number, one_row, sample_std, to_long
-from tabulon.functions.quantiles import is_small, join_on_keys, quantiles
+from tabulon.functions.distinct import exact_distinct
+from tabulon.functions.numbers import at_most, is_time, number, one_row, sample_std, to_long
+from tabulon.functions.quantiles import join_on_keys, quantiles
 from tabulon.functions.text import strip
 
 GRAINS = ("day", "week", "month", "quarter", "year")
@@ -63,13 +64,12 @@ def _keys(df: DataFrame, plan: Plan) -> tuple[DataFrame, list[str]]:
 
 
 def _aggregated(df: DataFrame, keys: list[str], metrics: list[Metric], count_rows: bool) -> DataFrame:
-    """All metrics in one pass; large medians in a second one, joined back on the keys."""
+    """All metrics but medians in one pass; medians by selection, joined back on the keys."""
     usable = [
         m for m in metrics
         if m.agg in AGGREGATES and ((m.agg == "count" and count_rows) or m.column in df.columns)
     ]
     medians = [m for m in usable if m.agg == "median"]
-    apart = bool(medians) and not is_small(df)
     aggs = []
     for m in usable:
         if m.agg == "count":
@@ -82,14 +82,12 @@ def _aggregated(df: DataFrame, keys: list[str], metrics: list[Metric], count_row
             aggs.append(F.avg(x).alias(m.name))
         elif m.agg in ("min", "max"):
             aggs.append((F.min(x) if m.agg == "min" else F.max(x)).alias(m.name))
-        elif not apart:
-            aggs.append(F.median(x).alias(m.name))
-    if not aggs and not apart:
+    if not usable:
         return df
     grouped = df.groupBy(*keys)
     out = grouped.agg(*aggs) if aggs else df.select(*keys).distinct()
-    if apart:
-        middle = quantiles(df, sorted({m.column for m in medians}), [0.5], keys, route="counting")
+    if medians:
+        middle = quantiles(df, sorted({m.column for m in medians}), [0.5], keys)
         middle = middle.select(*keys, *[F.col(m.column)[0].alias(m.name) for m in medians])
         out = join_on_keys(out, middle, keys, "left")
     return out.select(*keys, *[m.name for m in usable])
@@ -177,8 +175,8 @@ def support_extremes(counts: DataFrame, k: int = 3, n: str = "n_records") -> Dat
     return low.unionByName(high)
 
 
-def number_stats(df: DataFrame, columns: list[str], probs: list[float], keys: list[str] | None = None, route: str = "auto") -> DataFrame:
-    """One wide pass of moments and one of quantiles, per key: ``<col>__n, __mean, ..., __q``."""
+def number_stats(df: DataFrame, columns: list[str], probs: list[float], keys: list[str] | None = None) -> DataFrame:
+    """One wide pass of moments and quantiles by selection, per key: ``<col>__n, __mean, ..., __q``."""
     keys = keys or []
     aggs = []
     for c in columns:
@@ -190,18 +188,12 @@ def number_stats(df: DataFrame, columns: list[str], probs: list[float], keys: li
     aggs.append(F.count(F.lit(1)).alias("n_total"))
     if not probs:
         return df.groupBy(*keys).agg(*aggs)
-    small = route == "builtin" or (route == "auto" and is_small(df))
     named = {c: f"{c}__q" for c in columns}
-    if keys and small:
-        ps = F.array(*[F.lit(float(p)) for p in probs])
-        aggs += [F.percentile(number(df, c), ps).alias(f"{c}__q") for c in columns]
-        return df.groupBy(*keys).agg(*aggs)
-    # The moments stay in generated code when no percentile shares their aggregate.
     moments = df.groupBy(*keys).agg(*aggs)
+    q = quantiles(df, columns, probs, keys).withColumnsRenamed(named)
     if keys:
-        return join_on_keys(moments, quantiles(df, columns, probs, keys, route="counting").withColumnsRenamed(named), keys, "left")
-    q = quantiles(df, columns, probs, route="builtin" if small else route if route != "auto" else "bracket")
-    one = one_row(q.withColumnsRenamed(named))
+        return join_on_keys(moments, q, keys, "left")
+    one = one_row(q)
     return moments.select("*", *[one[n].alias(n) for n in named.values()])
 
 
@@ -219,11 +211,13 @@ def global_stats(df: DataFrame, columns: list[str], probs: list[float]) -> DataF
 
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: float | None = None) -> DataFrame:
-    """One row per column, nulls not counted; optionally the sketch with that relative error."""
-    aggs = [
-        (F.count_distinct(F.col(f"`{c}`")) if approximate is None else F.approx_count_distinct(F.col(f"`{c}`"), approximate)).alias(c)
-        for c in columns
-    ]
+    """One row per column, nulls not counted; optionally the sketch with that relative error.
+
+    All columns are counted from one pass over fingerprints of their values.
+    """
+    if approximate is None:
+        return exact_distinct(df, {c: F.col(f"`{c}`") for c in columns}).select("column", "n_distinct")
+    aggs = [F.approx_count_distinct(F.col(f"`{c}`"), approximate).alias(c) for c in columns]
     return to_long(df.agg(*aggs), [], {c: F.col(f"`{c}`") for c in columns}, "column", "n_distinct")
 
 
@@ -273,9 +267,9 @@ def first_last(df: DataFrame, time: str, value: str, keys: list[str] | None = No
     )
 
 
-def top_groups_by_mean(df: DataFrame, group: str, value: str, k: int = 20) -> DataFrame:
+def top_groups_by_mean(df: DataFrame, group: str, value: str, k: int | None = 20) -> DataFrame:
     """Groups (null included) with the highest mean, label as second sort key."""
     c = F.col(f"`{group}`")
     label = strip(c) if isinstance(df.schema[group].dataType, T.StringType) else c.cast("string")
     means = df.groupBy(label.alias("value")).agg(F.avg(number(df, value)).alias("mean"), F.count(F.lit(1)).alias("n"))
-    return means.orderBy(F.col("mean").desc_nulls_last(), F.col("value").asc_nulls_last()).limit(k)
+    return at_most(means.orderBy(F.col("mean").desc_nulls_last(), F.col("value").asc_nulls_last()), k)

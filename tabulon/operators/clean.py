@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulon.functions import roles
+from tabulon.functions.distinct import counts_by_value, fingerprint
 from tabulon.functions.numbers import clip, is_label, is_numeric, number, one_row, ratio, to_long
-from tabulon.functions.quantiles import is_small, quantiles
+from tabulon.functions.quantiles import quantiles
 from tabulon.functions.text import MISSING_TOKENS, normal, strip
 from tabulon.operators.aggregate import as_time
 
@@ -162,34 +163,17 @@ def key_candidates(df: DataFrame) -> list[str]:
 def duplicate_share(df: DataFrame, keys: list[str]) -> DataFrame:
     """Share of rows that repeat an earlier row on the keys; null is a value.
 
-    Grouping sums repeats before the shuffle, so a hot key does not weigh on one task.
+    Rows are counted by the fingerprint of their keys, so a long text costs 16 bytes; counts are summed before the
+    shuffle, so a hot key does not weigh on one task.
     """
-    wide = len(keys) > 3 and not is_small(df)
-    counts = _wide_counts(df, keys) if wide else _key_counts(df, keys)
+    first, second = fingerprint([F.col(f"`{k}`") for k in keys])
+    counts = df.groupBy(first.alias("__h1"), second.alias("__h2")).agg(F.count(F.lit(1)).alias("__n"), F.lit(1).alias("__g"))
     return counts.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"),
         (F.coalesce(F.sum("__n"), F.lit(0)) - F.coalesce(F.sum("__g"), F.lit(0))).alias("n_duplicates"),
     ).withColumn("dup_rate", ratio(F.col("n_duplicates"), F.col("n_rows"), 0.0))
 
 
-def _key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*[f"`{k}`" for k in keys]).agg(F.count(F.lit(1)).alias("__n"), F.lit(1).alias("__g")).select("__n", "__g")
-
-
-def _wide_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The same counts for large tables and many columns: hashes are shuffled first.
-
-    Rows whose hash occurs once cannot repeat and count as groups of one. Only the others are grouped
-    by their full keys, so a collision of hashes changes nothing.
-    """
-    cols = [F.col(f"`{k}`") for k in keys]
-    hashed = df.select(*cols, F.xxhash64(F.lit(1), *cols).alias("__h1"), F.xxhash64(F.lit(2), *cols).alias("__h2"))
-    sizes = hashed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"))
-    once = sizes.filter("__n = 1").agg(F.count(F.lit(1)).alias("__n")).select("__n", F.col("__n").alias("__g"))
-    again = hashed.join(sizes.filter("__n > 1").select("__h1", "__h2"), ["__h1", "__h2"], "left_semi")
-    return once.unionByName(_key_counts(again, keys))
-
-
 def outlier_rates(df: DataFrame, columns: list[str], k: float = 1.5, min_n: int = 20, accuracy: int | None = None) -> DataFrame:
     """Share outside the IQR fences per column; null with fewer than 20 values or no spread."""
     base = df.select(*[number(df, c).alias(c) for c in columns])
@@ -216,6 +200,11 @@ def level_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def level_facts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``level_summary`` of several columns, from fingerprints of their values."""
+    return level_summary(counts_by_value(df, {c: F.col(f"`{c}`") for c in columns}))
+
+
 def level_summary(counts: DataFrame) -> DataFrame:
     """Per column: distinct values, rows with a value, missing rows, share of the top value."""
     valid = F.when(F.col("value").isNotNull(), F.col("n"))
@@ -233,7 +222,7 @@ def level_summary(counts: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame, keys: list[str] | None = None, max_columns: int | None = None) -> DataFrame:
     """C11: (scope, column, measure, value) rows: missing, unique, duplicates, outliers, cardinality."""
-    counts = level_summary(level_counts(df, df.columns))
+    counts = level_facts(df, df.columns)
     base = {"missing_rate": F.col("missing_rate"), "n_unique": F.col("n_distinct").cast("double"), "unique_rate": F.col("unique_rate")}
     out = to_long(counts.withColumn("scope", F.lit("column")), ["scope", "column"], base, "measure", "value")
     labels = text_columns(df)[:max_columns]

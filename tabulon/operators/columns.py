@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tabulon.functions import roles
+from tabulon.functions.distinct import distinct_up_to
 from tabulon.functions.numbers import is_label, is_numeric
 
 
@@ -106,15 +107,13 @@ def usable_labels(
     df: DataFrame, ids: list[str] | None = None, low: int = 2, high: int = 30, limit: int | None = None,
     exclude: list[str] | None = None,
 ) -> list[str]:
-    """The (first ``limit``) text or boolean columns with ``low`` to ``high`` levels; one pass over all of them."""
+    """The (first ``limit``) text or boolean columns with ``low`` to ``high`` levels; only those with few are counted."""
     names = [
         f.name for f in df.schema
         if is_label(f) and not (f.name in ids if ids is not None else roles.id_like(f.name)) and f.name not in (exclude or [])
     ]
-    if not names:
-        return []
-    row = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in names]).first()
-    return [c for c in names if low <= row[c] <= high][:limit]
+    levels = distinct_up_to(df, {c: F.col(f"`{c}`") for c in names}, high)
+    return [c for c in names if c in levels and levels[c] >= low][:limit]
 
 
 # Name parts that mark a dimension one can act on.
@@ -129,10 +128,8 @@ def choose_dimension(df: DataFrame, target: str, ids: list[str] | None = None, n
     ]
     if named and named in df.columns and named not in names and named != target and is_label(df.schema[named]):
         names.append(named)
-    if not names:
-        return None
-    row = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in names]).first()
-    fitting = [c for c in names if 2 <= row[c] <= 50]
+    row = distinct_up_to(df, {c: F.col(f"`{c}`") for c in names}, 50)
+    fitting = [c for c in names if row.get(c, 0) >= 2]
     if named in fitting:
         return named
     worth = {c: 2 * any(part in c.lower() for part in ACTIONABLE) + (row[c] <= 20) for c in fitting}

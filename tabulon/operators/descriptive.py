@@ -114,7 +114,7 @@ def view_summary(df: DataFrame, column: str, k: float = 1.5, min_n: int = 30) ->
     r = known(v)
     x = number(df, column)
     seen = df.select(F.when((x >= r["low_view"]) & (x <= r["high_view"]), x).alias("x"))
-    middle = known(quantiles(seen, ["x"], [0.5], sized_by=df))["x"][0]
+    middle = known(quantiles(seen, ["x"], [0.5]))["x"][0]
     return v.select("low_view", "high_view", "n_in_view", "n_below", "n_above", "mean_in_view", middle.alias("median_in_view"))
 
 
@@ -272,7 +272,7 @@ def _axis_fences(base: DataFrame, name: str, q, n, k: float, min_n: int):
 def paired_view(df: DataFrame, x: str, y: str, k: float = 1.5, min_n: int = 30) -> tuple[DataFrame, DataFrame]:
     """The complete pairs with their view flag, and the bounds of the view."""
     base = df.select(number(df, x).alias("x"), number(df, y).alias("y")).filter("x is not null and y is not null")
-    q = known(quantiles(base, ["x", "y"], [0.25, 0.75], sized_by=df))
+    q = known(quantiles(base, ["x", "y"], [0.25, 0.75]))
     n = known(base.agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"),
         F.min("y").alias("y_min"), F.max("y").alias("y_max"),
@@ -364,7 +364,7 @@ def scale_choice(df: DataFrame, column: str, log_ratio: float = 20.0) -> DataFra
     s = known(base.agg(
         F.count("x").alias("n"), F.count("pos").alias("n_pos"), F.min("x").alias("min"), F.max("x").alias("max"),
     ))
-    q = quantiles(base, ["x", "pos"], [0.05, 0.95], sized_by=df)
+    q = quantiles(base, ["x", "pos"], [0.05, 0.95])
     enough = s["n_pos"] >= F.greatest(F.lit(5), F.floor(0.5 * s["n"]).cast("int"))
     by_pos = F.try_divide(F.col("pos")[1], F.greatest(F.col("pos")[0], F.lit(1e-12)))
     by_all = F.try_divide(F.abs(F.col("x")[1]), F.greatest(F.abs(F.col("x")[0]), F.lit(1e-12)))

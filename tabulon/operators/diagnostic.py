@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabulon.functions import roles
-from tabulon.functions.numbers import correlations, known, number, one_row, to_long
+from tabulon.functions.numbers import at_most, correlations, known, number, one_row, to_long
 from tabulon.functions.quantiles import quantiles
 from tabulon.functions.text import driver_label, fixed, signed_percent_points, strip
 from tabulon.operators.clean import text_columns
 from tabulon.operators.columns import usable_labels
 from tabulon.operators.descriptive import binned
-from tabulon.operators.series import cumulative_share
 from tabulon.session import cut_lineage
 
 SHRINK = 20.0
@@ -22,21 +21,29 @@ def _label(df: DataFrame, name: str):
     return strip(c) if name in text_columns(df) else c.cast("string")
 
 
-def _dimensions(df: DataFrame, y: str, dims: list[str] | None, ids: list[str] | None, limit: int | None = None) -> list[str]:
-    """Label columns with 2-30 levels; given names are held to the same rule."""
-    base = df.select(*[f"`{d}`" for d in dims]) if dims else df
-    return usable_labels(base, ids=[] if dims else ids, limit=limit, exclude=[y])
+def _dimensions(df: DataFrame, y: str, dims: list[str] | None, ids: list[str] | None) -> list[str]:
+    """The named columns, whatever their levels; without names the label columns with 2-30 levels."""
+    names = [d for d in dict.fromkeys(dims) if d in df.columns and d != y] if dims else usable_labels(df, ids=ids, exclude=[y])
+    if not names:
+        raise ValueError("no column to group by")
+    return names
 
 
 def by_dimension(df: DataFrame, dims: list[str], measures: dict, kept: dict | None = None) -> DataFrame:
     """One pass over the table for all dimensions: (feature, value) groups with the given aggregates.
 
-    Rows are multiplied in memory only; partial aggregation leaves at most 31 groups per dimension
-    and task to shuffle. ``kept`` are the row expressions the aggregates need.
+    Rows are multiplied in memory only; partial aggregation leaves one row per group and task to shuffle. ``kept`` are
+    the row expressions the aggregates need. The groups are checkpointed, so totals over all rows come from them: every
+    row is in one group of each dimension.
     """
     pairs = F.array(*[F.struct(F.lit(d).alias("feature"), _label(df, d).alias("value")) for d in dims])
     rows = df.select(*[c.alias(n) for n, c in (kept or {}).items()], F.inline(pairs))
-    return rows.groupBy("feature", "value").agg(*[a.alias(n) for n, a in measures.items()])
+    return cut_lineage(rows.groupBy("feature", "value").agg(*[a.alias(n) for n, a in measures.items()]))
+
+
+def totals(groups: DataFrame, dims: list[str], sums: dict) -> dict:
+    """Aggregates over all rows, from the groups of one dimension."""
+    return known(groups.filter(F.col("feature") == dims[0]).agg(*[a.alias(n) for n, a in sums.items()]))
 
 
 def shrunk(mean, n, overall, k: float = SHRINK):
@@ -54,11 +61,12 @@ def variance_decomposition(df: DataFrame, y: str, dims: list[str] | None = None,
     names = _dimensions(base, y, dims, ids)
     support = roles.support_column(df)
     kept = {"y": yv} | ({"w": number(df, support)} if support and support != y else {})
-    measures = {"rows": F.count("y"), "mean": F.avg("y")}
+    measures = {"rows": F.count("y"), "sum_y": F.sum("y")}
     if "w" in kept:
         measures["support"] = F.sum("w")
     groups = by_dimension(base, names, measures, kept)
-    mu = one_row(base.agg(F.avg(yv).alias("mu")))["mu"]
+    groups = groups.withColumn("mean", F.try_divide("sum_y", F.col("rows").cast("double")))
+    mu = totals(groups, names, {"mu": F.try_divide(F.sum("sum_y"), F.sum("rows").cast("double"))})["mu"]
     n = F.coalesce(F.col("support"), F.col("rows").cast("double")) if "w" in kept else F.col("rows").cast("double")
     out = groups.select(F.col("feature").alias("dimension"), "value", n.alias("n"), "mean", mu.alias("overall_mean"))
     out = out.withColumn("mean_shrunk", shrunk(F.col("mean"), F.col("n"), F.col("overall_mean"), k))
@@ -110,7 +118,8 @@ def pareto(contributions: DataFrame, top: int = 10, min_n: int = 5) -> DataFrame
     lines = best.unionByName(other).unionByName(low).select(
         "driver", F.row_number().over(_ranking()).alias("rank"), (100.0 * F.col("contribution") / t["total"]).alias("share_pct")
     )
-    return cumulative_share(lines, "share_pct", "rank")
+    # at most ``top`` lines and two more
+    return lines.withColumn("cum_share_pct", F.sum("share_pct").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def driver_text():
@@ -121,11 +130,11 @@ def _ranking():
     return Window.orderBy("part", F.col("contribution").desc(), "driver")
 
 
-def outlier_bounds(df: DataFrame, y: str, mode: str = "both", k: float = 1.5, sized_by: DataFrame | None = None) -> DataFrame:
+def outlier_bounds(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) -> DataFrame:
     """The bounds in force, one row: fences, else p01/p99; p05/p95 when fewer than 8 of 40+ lie outside."""
     x = number(df, y)
     base = df.select(x.alias("x")).filter("x is not null")
-    q = known(quantiles(base, ["x"], [0.01, 0.05, 0.25, 0.75, 0.95, 0.99], sized_by=sized_by if sized_by is not None else df))["x"]
+    q = known(quantiles(base, ["x"], [0.01, 0.05, 0.25, 0.75, 0.95, 0.99]))["x"]
     iqr = q[3] - q[2]
     low = F.when(iqr > 0, q[2] - k * iqr).otherwise(q[2])
     high = F.when(iqr > 0, q[3] + k * iqr).otherwise(q[3])
@@ -144,25 +153,22 @@ def outlier_bounds(df: DataFrame, y: str, mode: str = "both", k: float = 1.5, si
     )
 
 
-def flag_outliers(df: DataFrame, y: str, mode: str = "both", k: float = 1.5, sized_by: DataFrame | None = None) -> DataFrame:
-    """Rows with a value, with ``is_outlier``; no row is filtered for being one.
-
-    ``sized_by`` names the frame whose size stands for ``df``, as after joins on unique keys.
-    """
-    b = known(outlier_bounds(df, y, mode, k, sized_by))
+def flag_outliers(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) -> DataFrame:
+    """Rows with a value, with ``is_outlier``; no row is filtered for being one."""
+    b = known(outlier_bounds(df, y, mode, k))
     x = number(df, y)
     is_out = {"high": x > b["high"], "low": x < b["low"], "both": (x < b["low"]) | (x > b["high"])}[mode]
     return df.filter(x.isNotNull()).withColumn("is_outlier", is_out)
 
 
-def categorical_contrast(flagged: DataFrame, y: str, dims: list[str] | None = None, ids: list[str] | None = None, k: int = 8) -> DataFrame:
+def categorical_contrast(flagged: DataFrame, y: str, dims: list[str] | None = None, ids: list[str] | None = None, k: int | None = 8) -> DataFrame:
     """Per column the value whose share differs most between outliers and the rest."""
     names = _dimensions(flagged.drop("is_outlier"), y, dims, (ids or []) if ids is not None else None)
     flag = F.col("is_outlier")
     groups = by_dimension(
         flagged, names, {"n_out": F.count_if("o"), "n_base": F.count_if(~F.col("o"))}, {"o": flag}
     )
-    t = one_row(flagged.agg(F.count_if(flag).alias("out"), F.count_if(~flag).alias("base")))
+    t = totals(groups, names, {"out": F.sum("n_out"), "base": F.sum("n_base")})
     share_out = 100.0 * F.col("n_out") / F.greatest(t["out"], F.lit(1))
     share_base = 100.0 * F.col("n_base") / F.greatest(t["base"], F.lit(1))
     diffs = groups.select(
@@ -170,9 +176,10 @@ def categorical_contrast(flagged: DataFrame, y: str, dims: list[str] | None = No
         share_base.alias("share_base"), (share_out - share_base).alias("diff_pp"),
     ).filter("diff_pp <> 0")
     best = best_per_key(diffs, "feature", F.abs("diff_pp"), "value")
-    return best.withColumn("label", F.concat("feature", F.lit("="), "value", F.lit(" (Δ="), signed_percent_points("diff_pp"), F.lit(")"))).orderBy(
+    ordered = best.withColumn("label", F.concat("feature", F.lit("="), "value", F.lit(" (Δ="), signed_percent_points("diff_pp"), F.lit(")"))).orderBy(
         F.abs("diff_pp").desc(), "feature"
-    ).limit(k)
+    )
+    return at_most(ordered, k)
 
 
 def best_per_key(df: DataFrame, key: str, size, tie: str) -> DataFrame:
@@ -183,7 +190,7 @@ def best_per_key(df: DataFrame, key: str, size, tie: str) -> DataFrame:
     return picked.select(key, *[F.col("__row")[c].alias(c) for c in rest])
 
 
-def numeric_contrast(flagged: DataFrame, y: str, columns: list[str] | None = None, ids: list[str] | None = None, k: int = 8, min_n: int = 30) -> DataFrame:
+def numeric_contrast(flagged: DataFrame, y: str, columns: list[str] | None = None, ids: list[str] | None = None, k: int | None = 8, min_n: int = 30) -> DataFrame:
     """Correlation of each numeric column with the flag, and its mean in both classes."""
     names = columns or [
         c for c in roles.numeric_columns(flagged) if c != y and not (c in ids if ids is not None else roles.id_like(c))
@@ -199,11 +206,9 @@ def numeric_contrast(flagged: DataFrame, y: str, columns: list[str] | None = Non
         ).alias(c))
     wide = flagged.agg(*aggs)
     long = to_long(wide, [], {c: F.col(f"`{c}`") for c in names}, "feature", "s").select("feature", "s.*")
-    return (
-        long.filter((F.col("n") >= min_n) & F.col("r").isNotNull())
-        .withColumn("label", F.concat("feature", F.lit(" (r="), fixed("r", 2, signed=True), F.lit(")")))
-        .orderBy(F.abs("r").desc(), "feature").limit(k)
-    )
+    found = long.filter((F.col("n") >= min_n) & F.col("r").isNotNull())
+    named = found.withColumn("label", F.concat("feature", F.lit(" (r="), fixed("r", 2, signed=True), F.lit(")")))
+    return at_most(named.orderBy(F.abs("r").desc(), "feature"), k)
 
 
 def outlier_summary(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) -> DataFrame:
@@ -211,7 +216,7 @@ def outlier_summary(df: DataFrame, y: str, mode: str = "both", k: float = 1.5) -
     flagged = flag_outliers(df, y, mode, k)
     x = number(flagged, y)
     base = flagged.select(F.when(F.col("is_outlier"), F.lit("outlier")).otherwise(F.lit("typical")).alias("part"), x.alias("x"))
-    middle = quantiles(base, ["x"], [0.5], ["part"], sized_by=df).select("part", F.col("x")[0].alias("median"))
+    middle = quantiles(base, ["x"], [0.5], ["part"]).select("part", F.col("x")[0].alias("median"))
     return base.groupBy("part").agg(F.count("x").alias("n"), F.avg("x").alias("mean")).join(middle, "part").select(
         "part", "n", "mean", "median"
     )
@@ -246,7 +251,7 @@ def outlier_histograms(df: DataFrame, y: str, mode: str = "both", k: float = 1.5
     return part("typical", view, 40).unionByName(part("outliers", out, 30))
 
 
-def numeric_effects(df: DataFrame, y: str, columns: list[str] | None = None, ids: list[str] | None = None, k: int = 8, min_n: int = 40) -> DataFrame:
+def numeric_effects(df: DataFrame, y: str, columns: list[str] | None = None, ids: list[str] | None = None, k: int | None = 8, min_n: int = 40) -> DataFrame:
     """Change of y per deviation of x, corr(x, y) * sd(y), for the strongest columns."""
     names = columns or [
         c for c in roles.numeric_columns(df) if c != y and not (c in ids if ids is not None else roles.id_like(c))
@@ -262,16 +267,15 @@ def numeric_effects(df: DataFrame, y: str, columns: list[str] | None = None, ids
     wide = df.agg(*aggs)
     long = to_long(wide, ["__sd"], {c: F.col(f"`{c}`") for c in names}, "feature", "s").select("feature", "__sd", "s.*")
     out = long.filter((F.col("n") >= min_n) & F.col("corr").isNotNull() & (F.col("__sd") > 0))
-    return out.select("feature", (F.col("corr") * F.col("__sd")).alias("effect"), "corr", "n").orderBy(
-        F.abs("effect").desc(), "feature"
-    ).limit(k)
+    ordered = out.select("feature", (F.col("corr") * F.col("__sd")).alias("effect"), "corr", "n").orderBy(F.abs("effect").desc(), "feature")
+    return at_most(ordered, k)
 
 
 def categorical_lifts(
-    df: DataFrame, y: str, dims: list[str] | None = None, ids: list[str] | None = None, k: int = 10,
-    min_group_n: int = 10, max_levels: int = 12, shrink: float = SHRINK,
+    df: DataFrame, y: str, dims: list[str] | None = None, ids: list[str] | None = None, k: int | None = 10,
+    min_group_n: int = 10, max_levels: int | None = 12, shrink: float = SHRINK,
 ) -> DataFrame:
-    """Shrunk mean minus overall mean per level; levels beyond the 12 largest are one.
+    """Shrunk mean minus overall mean per level; levels beyond the ``max_levels`` largest are one.
 
     With a support column n is its sum, while the group mean stays unweighted.
     """
@@ -282,18 +286,18 @@ def categorical_lifts(
     weighted = support is not None and support != y
     w = F.coalesce(number(df, support), F.lit(0.0)) if weighted else F.lit(1.0)
     levels = by_dimension(
-        base, names, {"rows": F.count("y"), "sum_y": F.sum("y"), "w": F.sum("w")}, {"y": yv, "w": w}
+        base, names, {"rows": F.count("y"), "sum_y": F.sum("y"), "w": F.sum("w"), "sum_wy": F.sum(F.col("w") * F.col("y"))}, {"y": yv, "w": w}
     )
-    total = one_row(base.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.try_divide(F.sum(w * yv), F.sum(w)), F.avg(yv)).alias("mu")
-    ))
+    total = totals(levels, names, {
+        "n": F.sum("rows"), "mu": F.coalesce(F.try_divide(F.sum("sum_wy"), F.sum("w")), F.try_divide(F.sum("sum_y"), F.sum("rows").cast("double"))),
+    })
     rank = F.row_number().over(Window.partitionBy("feature").orderBy(F.col("rows").desc(), F.col("value").asc_nulls_last()))
-    bucket = F.when(F.col("rank") <= max_levels, F.coalesce("value", F.lit("(missing)"))).otherwise(F.lit("(other)"))
+    own = F.coalesce("value", F.lit("(missing)"))
+    bucket = own if max_levels is None else F.when(F.col("rank") <= max_levels, own).otherwise(F.lit("(other)"))
     groups = levels.withColumn("rank", rank).groupBy("feature", bucket.alias("value")).agg(
         F.sum("w").alias("n"), (F.sum("sum_y") / F.sum("rows")).alias("mean")
     ).filter((F.col("n") >= min_group_n) & (total["n"] >= 30))
     out = groups.select("feature", "value", "n", "mean", total["mu"].alias("overall_mean"))
     out = out.withColumn("mean_shrunk", shrunk(F.col("mean"), F.col("n"), F.col("overall_mean"), shrink))
-    return out.withColumn("lift", F.col("mean_shrunk") - F.col("overall_mean")).withColumn(
-        "label", driver_label("feature", "value", "n")
-    ).orderBy(F.abs("lift").desc(), "feature", "value").limit(k)
+    named = out.withColumn("lift", F.col("mean_shrunk") - F.col("overall_mean")).withColumn("label", driver_label("feature", "value", "n"))
+    return at_most(named.orderBy(F.abs("lift").desc(), "feature", "value"), k)

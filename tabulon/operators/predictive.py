@@ -5,24 +5,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulon.functions.numbers import number, one_row, ratio
+from tabulon.functions.numbers import at_most, number, one_row, ratio
 from tabulon.operators.features import OTHER, FeatureSpec, apply_features, learn_features, rare_classes_merged
+from tabulon.operators.modelstore import array_mean, digest, fit_once, flat_trees, tree_values
 from tabulon.operators.series import (
     LAGS, WINDOWS, _step, chronological_split, feature_names, recent_slope, supervised,
 )
 from tabulon.operators.aggregate import bucket_start
-from tabulon.session import cut_lineage
+from tabulon.session import cut_lineage, dealt
 
 TREES, MIN_LEAF, SEED = 400, 2, 42
 MAX_CLASSES = 100
 MIN_ROWS, MIN_FEATURES = 80, 2
 MIN_POINTS, MIN_USABLE = 30, 25
-CHECKPOINT_EVERY = 6
+#: Memory in MB for the statistics of the nodes that one pass over the rows splits.
+NODE_MEMORY = 512
 
 
 @dataclass
@@ -35,6 +37,8 @@ class Fitted:
     metrics: DataFrame
     importances: DataFrame
     holdout: DataFrame
+    nodes: DataFrame
+    depth: int
     labels: list[str] | None = None
 
 
@@ -50,12 +54,25 @@ def feature_stages(spark, spec: FeatureSpec) -> PipelineModel:
     return PipelineModel(stages)
 
 
-def raw_importances(spark, model, spec: FeatureSpec, k: int = 10) -> DataFrame:
+def forest_options(spec: FeatureSpec | None, trees: int, depth: int) -> dict:
+    """Options common to all forests; as many bins as the column of most levels needs."""
+    levels = max((len(v) for v in spec.levels.values()), default=0) if spec else 0
+    return {
+        "numTrees": trees, "minInstancesPerNode": MIN_LEAF, "maxDepth": depth, "seed": SEED,
+        "maxBins": max(32, levels + 2), "maxMemoryInMB": NODE_MEMORY, "cacheNodeIds": True,
+    }
+
+
+def _spec_facts(spec: FeatureSpec) -> dict:
+    return {"numeric": spec.numeric, "levels": spec.levels}
+
+
+def raw_importances(spark, model, spec: FeatureSpec, k: int | None = 10) -> DataFrame:
     """M6: importance per raw column; one row per feature, so at most as many as columns."""
     values = model.featureImportances.toArray().tolist()
     rows = list(zip(spec.columns, [float(v) for v in values]))
     out = spark.createDataFrame(rows, "feature string, importance double")
-    return out.groupBy("feature").agg(F.sum("importance").alias("importance")).orderBy(F.col("importance").desc(), "feature").limit(k)
+    return at_most(out.groupBy("feature").agg(F.sum("importance").alias("importance")).orderBy(F.col("importance").desc(), "feature"), k)
 
 
 def _ready(df: DataFrame, spec: FeatureSpec, enough: int) -> None:
@@ -75,22 +92,35 @@ def regression_metrics(scored: DataFrame, actual: str, predicted: str = "predict
 def fit_regression(df: DataFrame, target: str, split: DataFrame | None = None, columns: list[str] | None = None, ids: list[str] | None = None, trees: int = TREES, depth: int = 10) -> Fitted:
     """M3, M6: random forest on M1 features, trained where ``is_train``, scored on the rest.
 
-    ``df`` carries ``is_train`` (M2). The features are fixed once and reused for both parts.
+    ``df`` carries ``is_train`` (M2). The features are fixed once and reused for both parts. Rows are read once; a model of
+    the same rows and settings is taken from the store.
     """
+    spark = df.sparkSession
     y = number(df, target)
-    base = df.filter(y.isNotNull()).withColumn(target, y)
-    spec = learn_features(base.drop("is_train"), target, columns, ids)
-    stages = feature_stages(df.sparkSession, spec)
-    table = stages.transform(apply_features(base, spec)).select("features", target, "is_train").persist()
-    sizes = table.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_train").alias("n_train")).first()
-    _ready(df, spec, sizes["n"])
-    model = RandomForestRegressor(
-        labelCol=target, numTrees=trees, minInstancesPerNode=MIN_LEAF, maxDepth=depth, seed=SEED, featureSubsetStrategy="all",
-    ).fit(table.filter("is_train"))
-    scored = cut_lineage(model.transform(table.filter("not is_train")).select(F.col(target).alias("actual"), "prediction"))
-    table.unpersist()
-    metrics = regression_metrics(scored, "actual").withColumn("n_train", F.lit(sizes["n_train"]))
-    return Fitted(model, stages, spec, metrics, raw_importances(df.sparkSession, model, spec), scored)
+    used = [c for c in df.columns if columns is None or c in (*columns, target, "is_train")]
+    base = df.filter(y.isNotNull()).withColumn(target, y).select(*[F.col(f"`{c}`") for c in used]).persist()
+    try:
+        def fit():
+            spec = learn_features(base.drop("is_train"), target, columns, ids)
+            stages = feature_stages(spark, spec)
+            table = stages.transform(apply_features(dealt(base), spec)).select("features", target, "is_train").persist()
+            try:
+                sizes = table.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_train").alias("n_train")).first()
+                _ready(df, spec, sizes["n"])
+                forest = RandomForestRegressor(labelCol=target, featureSubsetStrategy="all", **forest_options(spec, trees, depth))
+                model = forest.fit(table.filter("is_train"))
+                scored = cut_lineage(model.transform(table.filter("not is_train")).select(F.col(target).alias("actual"), "prediction"))
+            finally:
+                table.unpersist()
+            return model, stages, scored, {"spec": _spec_facts(spec), "n_train": sizes["n_train"]}
+
+        key = digest(base, {"kind": "regression", "target": target, "columns": columns, "ids": ids, "trees": trees, "depth": depth})
+        kept = fit_once(spark, key, RandomForestRegressionModel, fit)
+    finally:
+        base.unpersist()
+    spec = FeatureSpec(**kept.facts["spec"])
+    metrics = regression_metrics(kept.holdout, "actual").withColumn("n_train", F.lit(kept.facts["n_train"]))
+    return Fitted(kept.model, kept.stages, spec, metrics, raw_importances(spark, kept.model, spec), kept.holdout, kept.nodes, depth)
 
 
 def fit_line(holdout: DataFrame) -> DataFrame:
@@ -102,30 +132,41 @@ def fit_line(holdout: DataFrame) -> DataFrame:
 
 def fit_classification(df: DataFrame, target: str, columns: list[str] | None = None, ids: list[str] | None = None, trees: int = TREES, depth: int = 10) -> tuple[Fitted, DataFrame]:
     """M4: balanced random forest; the second result is the confusion matrix with row shares."""
-    base = rare_classes_merged(df, target)
-    spec = learn_features(base.drop("is_train"), target, columns, ids)
-    n_classes = base.agg(F.count_distinct(F.col(f"`{target}`")).alias("n")).first()["n"]
-    if not 2 <= n_classes <= MAX_CLASSES:
-        raise ValueError(f"{target} needs 2 to {MAX_CLASSES} stable classes, has {n_classes}")
-    indexer = StringIndexer(inputCol=target, outputCol="__label", stringOrderType="frequencyDesc").fit(base)
-    labels = indexer.labels
-    stages = feature_stages(df.sparkSession, spec)
-    table = stages.transform(apply_features(indexer.transform(base), spec)).select("features", "__label", "is_train").persist()
-    sizes = table.filter("is_train").groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
-    total = sum(r["n"] for r in sizes)
-    weight = F.lit(1.0)
-    for r in sizes:
-        weight = F.when(F.col("__label") == r["__label"], F.lit(total / (len(sizes) * r["n"]))).otherwise(weight)
-    model = RandomForestClassifier(
-        labelCol="__label", weightCol="__weight", numTrees=trees, minInstancesPerNode=MIN_LEAF, maxDepth=depth, seed=SEED,
-    ).fit(table.filter("is_train").withColumn("__weight", weight))
-    names = F.array(*[F.lit(v) for v in labels])
-    scored = cut_lineage(model.transform(table.filter("not is_train")).select(
-        F.element_at(names, F.col("__label").cast("int") + 1).alias("actual"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
-    ))
-    table.unpersist()
-    confusion = confusion_matrix(scored, labels)
-    return Fitted(model, stages, spec, class_metrics(confusion), raw_importances(df.sparkSession, model, spec), scored, labels), confusion
+    spark = df.sparkSession
+    used = [c for c in df.columns if columns is None or c in (*columns, target, "is_train")]
+    base = rare_classes_merged(df, target).select(*[F.col(f"`{c}`") for c in used]).persist()
+    try:
+        def fit():
+            spec = learn_features(base.drop("is_train"), target, columns, ids)
+            indexer = StringIndexer(inputCol=target, outputCol="__label", stringOrderType="frequencyDesc").fit(base)
+            labels = indexer.labels
+            if not 2 <= len(labels) <= MAX_CLASSES:
+                raise ValueError(f"{target} needs 2 to {MAX_CLASSES} stable classes, has {len(labels)}")
+            stages = feature_stages(spark, spec)
+            table = stages.transform(apply_features(indexer.transform(dealt(base)), spec)).select("features", "__label", "is_train").persist()
+            try:
+                sizes = table.filter("is_train").groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
+                total = sum(r["n"] for r in sizes)
+                weight = F.lit(1.0)
+                for r in sizes:
+                    weight = F.when(F.col("__label") == r["__label"], F.lit(total / (len(sizes) * r["n"]))).otherwise(weight)
+                forest = RandomForestClassifier(labelCol="__label", weightCol="__weight", **forest_options(spec, trees, depth))
+                model = forest.fit(table.filter("is_train").withColumn("__weight", weight))
+                names = F.array(*[F.lit(v) for v in labels])
+                scored = cut_lineage(model.transform(table.filter("not is_train")).select(
+                    F.element_at(names, F.col("__label").cast("int") + 1).alias("actual"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
+                ))
+            finally:
+                table.unpersist()
+            return model, stages, scored, {"spec": _spec_facts(spec), "labels": list(labels)}
+
+        key = digest(base, {"kind": "classification", "target": target, "columns": columns, "ids": ids, "trees": trees, "depth": depth})
+        kept = fit_once(spark, key, RandomForestClassificationModel, fit)
+    finally:
+        base.unpersist()
+    spec, labels = FeatureSpec(**kept.facts["spec"]), kept.facts["labels"]
+    confusion = confusion_matrix(kept.holdout, labels)
+    return Fitted(kept.model, kept.stages, spec, class_metrics(confusion), raw_importances(spark, kept.model, spec), kept.holdout, kept.nodes, depth, labels), confusion
 
 
 def confusion_matrix(scored: DataFrame, labels: list[str]) -> DataFrame:
@@ -149,9 +190,9 @@ def class_metrics(confusion: DataFrame) -> DataFrame:
     )
 
 
-def blend_weight(step: int, horizon: int, start: float = 0.65, end: float = 0.20) -> float:
+def blend_weight(step: Column, horizon: int, start: float = 0.65, end: float = 0.20) -> Column:
     """Weight of the trend line, falling over the horizon."""
-    return start if horizon <= 1 else start + (end - start) * (step - 1) / (horizon - 1)
+    return F.lit(start) + F.lit(end - start) * (step - 1) / F.lit(max(1, horizon - 1))
 
 
 def trend_line(series: DataFrame, keys: list[str], horizon: int) -> DataFrame:
@@ -160,9 +201,8 @@ def trend_line(series: DataFrame, keys: list[str], horizon: int) -> DataFrame:
     slope = recent_slope(series, keys)
     both = last.join(slope, keys) if keys else last.withColumn("slope", one_row(slope)["slope"])
     steps = both.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    frac = (F.col("step") - 1) / F.lit(max(1, horizon - 1))
     return steps.select(
-        *keys, "step", (F.col("last_y") + F.col("slope") * F.col("step")).alias("trend"), (0.65 + (0.20 - 0.65) * frac).alias("weight"),
+        *keys, "step", (F.col("last_y") + F.col("slope") * F.col("step")).alias("trend"), blend_weight(F.col("step"), horizon).alias("weight"),
     )
 
 
@@ -176,11 +216,10 @@ class Forecast:
 def forecast(series: DataFrame, keys: list[str], grain: str, horizon: int, trees: int = TREES, depth: int = 10) -> Forecast:
     """M5: recursive forecast of all series at once.
 
-    ``series`` has one row per key and bucket (``build_series`` sums repeated times). One forest is
-    fitted on the first 80% of every long enough series. Each series is then one row that holds its
-    last twelve values; a step computes the features from them, scores all rows together, blends
-    with the trend line and pushes the result into the values. The plan is cut by a reliable
-    checkpoint every few steps.
+    ``series`` has one row per key and bucket (``build_series`` sums repeated times). One forest is fitted on the first
+    80% of every long enough series, or taken from the store. Each series is then one row that holds its last twelve
+    values; its horizon is one fold over the steps: features from the values, the forest's mean from its nodes as arrays,
+    the blend with the trend line, and the result pushed into the values. No step has a job or a plan of its own.
     """
     horizon = max(1, horizon)
     spark = series.sparkSession
@@ -190,18 +229,24 @@ def forecast(series: DataFrame, keys: list[str], grain: str, horizon: int, trees
     table = chronological_split(supervised(series, keys), keys)
     usable = F.count(F.lit(1)).over(Window.partitionBy(*keys)) >= MIN_USABLE
     names = feature_names()
-    assembler = VectorAssembler(inputCols=names, outputCol="features")
-    ready = assembler.transform(table.withColumn("__ok", usable).filter("__ok")).select(*keys, "t", "y", "is_train", "features").persist()
-    if not ready.filter("is_train").limit(1).count():
-        raise ValueError(f"needs a series with at least {MIN_POINTS} points and {MIN_USABLE} usable rows")
-    model = RandomForestRegressor(
-        labelCol="y", numTrees=trees, minInstancesPerNode=MIN_LEAF, maxDepth=depth, seed=SEED, featureSubsetStrategy="all",
-    ).fit(ready.filter("is_train"))
-    scored = model.transform(ready.filter("not is_train"))
-    metrics = scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_test"), F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("mae"),
-        F.sqrt(F.avg((F.col("y") - F.col("prediction")) * (F.col("y") - F.col("prediction")))).alias("rmse"),
-    )
+    ready = table.withColumn("__ok", usable).filter("__ok").select(*keys, "t", "y", "is_train", *names).persist()
+    try:
+        if not ready.filter("is_train").limit(1).count():
+            raise ValueError(f"needs a series with at least {MIN_POINTS} points and {MIN_USABLE} usable rows")
+
+        def fit():
+            rows = VectorAssembler(inputCols=names, outputCol="features").transform(ready).select(*keys, "y", "is_train", "features")
+            forest = RandomForestRegressor(labelCol="y", featureSubsetStrategy="all", **forest_options(None, trees, depth))
+            model = forest.fit(rows.filter("is_train"))
+            return model, None, cut_lineage(model.transform(rows.filter("not is_train")).select(*keys, "y", "prediction")), {}
+
+        key = digest(ready, {"kind": "forecast", "keys": keys, "trees": trees, "depth": depth})
+        kept = fit_once(spark, key, RandomForestRegressionModel, fit)
+        modelled = cut_lineage(ready.select(*keys).distinct()) if keys else None
+    finally:
+        ready.unpersist()
+    off = F.col("y") - F.col("prediction")
+    metrics = kept.holdout.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"), F.avg(F.abs(off)).alias("mae"), F.sqrt(F.avg(off * off)).alias("rmse"))
     depth_back = max(*LAGS, *WINDOWS)
     recent = Window.partitionBy(*keys).orderBy(F.col("t").desc())
     state = (
@@ -213,27 +258,29 @@ def forecast(series: DataFrame, keys: list[str], grain: str, horizon: int, trees
     )
     slope = recent_slope(series, keys)
     state = state.join(slope, keys) if keys else state.withColumn("slope", one_row(slope)["slope"])
-    modelled = ready.select(*keys).distinct() if keys else None
     if keys:
         state = state.join(modelled, keys, "left_semi")
-    state = cut_lineage(state.withColumn("out", F.array().cast("array<double>")))
-    ready.unpersist()
-    for step in range(1, horizon + 1):
-        cols = {f"lag_{n}": F.element_at("h", -n) for n in LAGS}
+    trees_of = one_row(flat_trees(kept.nodes))["trees"]
+
+    def features(h):
+        cols = [F.element_at(h, -n) for n in LAGS]
         for n in WINDOWS:
-            tail = F.slice("h", -n, n)
+            tail = F.slice(h, -n, n)
             mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / n
-            cols[f"roll_mean_{n}"] = mean
-            cols[f"roll_std_{n}"] = F.sqrt(F.aggregate(tail, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1))
-        w = blend_weight(step, horizon)
-        scored_now = model.transform(assembler.transform(state.withColumns(cols)))
-        p = F.lit(w) * (F.col("last_y") + F.col("slope") * step) + F.lit(1.0 - w) * F.col("prediction")
-        state = scored_now.withColumn("p", p).select(
-            *keys, F.slice(F.concat("h", F.array("p")), -depth_back, depth_back).alias("h"), "last_t", "last_y", "slope",
-            F.concat("out", F.array("p")).alias("out"),
-        )
-        if step % CHECKPOINT_EVERY == 0:
-            state = cut_lineage(state)
-    points = state.select(*keys, "last_t", F.posexplode("out").alias("i", "forecast")).withColumn("step", F.col("i") + 1)
+            cols += [mean, F.sqrt(F.aggregate(tail, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1))]
+        return F.array(*cols)
+
+    steps = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda n: F.struct(n.alias("n"), blend_weight(n, horizon).alias("w")))
+
+    def ahead(acc, step):
+        p = step["w"] * (F.col("last_y") + F.col("slope") * step["n"]) + (1.0 - step["w"]) * array_mean(tree_values(F.col("trees"), depth, features(acc["h"])))
+        longer = F.transform(F.array(p), lambda x: F.struct(
+            F.slice(F.concat(acc["h"], F.array(x)), -depth_back, depth_back).alias("h"), F.concat(acc["out"], F.array(x)).alias("out"),
+        ))
+        return F.get(longer, F.lit(0))
+
+    begin = F.struct(F.col("h").alias("h"), F.array().cast("array<double>").alias("out"))
+    done = state.withColumn("trees", trees_of).withColumn("out", F.aggregate(steps, begin, ahead, lambda acc: acc["out"])).drop("trees")
+    points = done.select(*keys, "last_t", F.posexplode("out").alias("i", "forecast")).withColumn("step", F.col("i") + 1)
     points = points.withColumn("t", _step(bucket_start(F.col("last_t"), grain), grain, F.col("step"))).select(*keys, "step", "t", "forecast")
-    return Forecast(points, metrics, model)
+    return Forecast(points, metrics, kept.model)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.numbers import one_row
 from tabulon.operators.aggregate import number_stats
 from tabulon.operators.diagnostic import categorical_lifts, numeric_effects
 from tabulon.operators.features import candidate_list, scenario_rows
+from tabulon.operators.modelstore import array_mean, array_quantile, flat_trees, tree_values
 from tabulon.operators.predictive import Fitted
 
-TREES_PER_PLAN = 25
-
 
 def score_rows(fitted: Fitted, rows: DataFrame) -> DataFrame:
     return fitted.model.transform(fitted.stages.transform(rows))
@@ -29,23 +29,11 @@ def predict_scenario(fitted: Fitted, scenario: dict) -> DataFrame:
 
 
 def predict_spread(fitted: Fitted, rows: DataFrame, name: str) -> DataFrame:
-    """M8: mean, p10 and p90 of the single trees per scenario row; a row has as many values as trees."""
-    vectors = fitted.stages.transform(rows).select(name, "features")
-    parts = None
-    trees = fitted.model.trees
-    for start in range(0, len(trees), TREES_PER_PLAN):
-        part = vectors
-        cols = []
-        for i, tree in enumerate(trees[start:start + TREES_PER_PLAN]):
-            col = f"__p{i}"
-            part = tree.setPredictionCol(col).transform(part)
-            cols.append(F.col(col))
-        part = part.select(name, F.explode(F.array(*cols)).alias("p"))
-        parts = part if parts is None else parts.unionByName(part)
-    q = F.percentile("p", F.array(F.lit(0.1), F.lit(0.9)))
-    return parts.groupBy(name).agg(F.avg("p").alias("mean"), q.alias("q")).select(
-        name, "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90")
-    )
+    """M8: mean, p10 and p90 of the single trees per scenario row, from the forest's nodes as arrays."""
+    trees = one_row(flat_trees(fitted.nodes))["trees"]
+    vectors = fitted.stages.transform(rows).select(name, vector_to_array("features").alias("x")).withColumn("trees", trees)
+    values = vectors.select(name, F.array_sort(tree_values(F.col("trees"), fitted.depth, F.col("x"))).alias("v"))
+    return values.select(name, array_mean(F.col("v")).alias("mean"), array_quantile(F.col("v"), 0.1).alias("p10"), array_quantile(F.col("v"), 0.9).alias("p90"))
 
 
 def evaluate_scenario(fitted: Fitted, scenario: dict, objective: str = "minimize") -> DataFrame:
@@ -97,12 +85,12 @@ def decision_baseline(df: DataFrame, y: str) -> DataFrame:
     )
 
 
-def decision_table(df: DataFrame, y: str, objective: str = "minimize", columns: list[str] | None = None, dims: list[str] | None = None, ids: list[str] | None = None) -> DataFrame:
-    """The six strongest numeric and eight strongest label drivers with a direction and a suggestion."""
-    num = numeric_effects(df, y, columns, ids).limit(6).select(
+def decision_table(df: DataFrame, y: str, objective: str = "minimize", columns: list[str] | None = None, dims: list[str] | None = None, ids: list[str] | None = None, n_numeric: int | None = 6, n_labels: int | None = 8) -> DataFrame:
+    """The strongest numeric and label drivers (None: all) with a direction and a suggestion."""
+    num = numeric_effects(df, y, columns, ids, n_numeric).select(
         F.lit("numeric").alias("kind"), "feature", F.lit(None).cast("string").alias("value"), "effect", F.col("n").cast("double").alias("n")
     )
-    cat = categorical_lifts(df, y, dims, ids).limit(8).select(
+    cat = categorical_lifts(df, y, dims, ids, n_labels).select(
         F.lit("categorical").alias("kind"), "feature", "value", F.col("lift").alias("effect"), "n"
     )
     e = F.col("effect")

@@ -7,11 +7,12 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabulon.functions import roles
-from tabulon.functions.numbers import correlations, is_numeric, is_time, number, ratio, to_long
+from tabulon.functions.distinct import counts_by_value, distinct_up_to, estimates, exact_distinct, fingerprint
+from tabulon.functions.numbers import at_most, correlations, is_numeric, is_time, number, ratio, to_long
 from tabulon.functions.text import normal
 from tabulon.operators.aggregate import as_time, number_stats
 from tabulon.operators.clean import (
-    duplicate_share, level_counts, level_summary, read_time, text_columns,
+    duplicate_share, level_counts, level_facts, read_time, text_columns,
 )
 
 # Texts that code a yes/no answer.
@@ -58,30 +59,29 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def categorical_columns(df: DataFrame, max_levels: int = 200, limit: int | None = None) -> list[str]:
-    """Columns that are neither numeric nor time and have few levels; one pass."""
+    """Columns that are neither numeric nor time and have few levels; only those with few are counted."""
     names = [f.name for f in df.schema if not is_numeric(f) and not is_time(f)]
-    if not names:
-        return []
-    row = df.agg(*[F.count_distinct(F.col(f"`{c}`").cast("string")).alias(c) for c in names]).first()
-    return [c for c in names if row[c] <= max_levels][:limit]
+    levels = distinct_up_to(df, {c: F.col(f"`{c}`").cast("string") for c in names}, max_levels)
+    return [c for c in names if c in levels][:limit]
 
 
-def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
+def top_values(df: DataFrame, columns: list[str], k: int | None = 10) -> DataFrame:
     """The k most frequent values per column, null included."""
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
-    return level_counts(df, columns).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = level_counts(df, columns).withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def uniqueness(df: DataFrame, columns: list[str] | None = None, approximate: float | None = None) -> DataFrame:
     """Distinct values over non-null values per column."""
     names = columns or df.columns
+    if approximate is None:
+        counts = exact_distinct(df, {c: F.col(f"`{c}`") for c in names})
+        return counts.select("column", ratio(F.col("n_distinct"), F.col("n"), 0.0).alias("uniqueness_ratio"))
     aggs = []
     for c in names:
         x = F.col(f"`{c}`")
-        aggs += [
-            (F.count_distinct(x) if approximate is None else F.approx_count_distinct(x, approximate)).alias(f"{c}__d"),
-            F.count(x).alias(f"{c}__n"),
-        ]
+        aggs += [F.approx_count_distinct(x, approximate).alias(f"{c}__d"), F.count(x).alias(f"{c}__n")]
     wide = df.agg(*aggs)
     rows = {c: ratio(F.col(f"{c}__d"), F.col(f"{c}__n"), 0.0) for c in names}
     return to_long(wide, [], rows, "column", "uniqueness_ratio")
@@ -94,15 +94,21 @@ def first_rows(df: DataFrame, n: int | None, *order) -> DataFrame:
 
 
 def id_candidates(df: DataFrame, ids: list[str] | None = None, floor: float = 0.8, k: int | None = None) -> DataFrame:
-    """Id-like columns that are nearly unique."""
+    """Id-like columns that are nearly unique; only those that may be by their sketch are counted."""
     names = ids if ids is not None else [c for c in df.columns if roles.key_like(c)]
+    cols = {c: F.col(f"`{c}`") for c in names}
+    if cols:
+        row = estimates(df, cols, [F.count(x).alias(f"{c}__n") for c, x in cols.items()])
+        names = [c for c in names if row[f"{c}__n"] and row[c] >= floor * 0.9 * row[f"{c}__n"]]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, uniqueness_ratio double")
     found = uniqueness(df, names).filter(F.col("uniqueness_ratio") >= floor)
     return first_rows(found, k, F.col("uniqueness_ratio").desc(), "column")
 
 
 def time_candidates(df: DataFrame, times: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Time columns by type, by at least 90% readable texts, or by name, with their coverage."""
-    names, aggs = [], []
+    names, aggs, readings = [], [], {}
     hinted = {c: (c in times if times is not None else roles.time_like(c)) for c in df.columns}
     for f in df.schema:
         if is_numeric(f) and not hinted[f.name]:
@@ -116,14 +122,21 @@ def time_candidates(df: DataFrame, times: list[str] | None = None, limit: int |
         else:
             t, rate = F.lit(None).cast("timestamp_ntz"), F.lit(0.0)
         names.append(f.name)
+        readings[f.name] = t
         aggs.append(F.struct(
             rate.alias("parse_rate"), F.min(t).alias("min_time"), F.max(t).alias("max_time"),
-            F.count_distinct(t).alias("n_unique"), F.lit(hinted[f.name]).alias("name_hint"),
-            F.lit(df.columns.index(f.name)).alias("position"),
+            F.lit(hinted[f.name]).alias("name_hint"), F.lit(df.columns.index(f.name)).alias("position"),
         ).alias(f.name))
-    wide = df.agg(*aggs)
-    found = to_long(wide, [], {c: F.col(f"`{c}`") for c in names}, "column", "s").select("column", "s.*")
-    return first_rows(found.filter((F.col("parse_rate") >= 0.9) | F.col("name_hint")), limit, "position")
+    kinds = "column string, parse_rate double, min_time timestamp_ntz, max_time timestamp_ntz, name_hint boolean, position int"
+    found = []
+    if names:
+        row = df.agg(*aggs).first()  # a few facts per column; only columns that stay are counted by value
+        found = [(c, *row[c]) for c in names if (row[c]["parse_rate"] or 0.0) >= 0.9 or row[c]["name_hint"]]
+    out = df.sparkSession.createDataFrame(found, kinds)
+    unique = exact_distinct(df, {c: readings[c] for c, *_ in found}).select("column", F.col("n_distinct").alias("n_unique")) if found else None
+    out = out.join(unique, "column") if found else out.withColumn("n_unique", F.lit(0).cast("bigint"))
+    out = out.select("column", "parse_rate", "min_time", "max_time", "n_unique", "name_hint", "position")
+    return first_rows(out, limit, "position")
 
 
 def measure_candidates(stats: DataFrame, limit: int | None = None) -> DataFrame:
@@ -132,8 +145,11 @@ def measure_candidates(stats: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def label_candidates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns with 2-200 levels and the share of the top one."""
-    return level_summary(level_counts(df, columns)).filter(
+    """Columns with 2-200 levels and the share of the top one; only columns with few levels are counted."""
+    few = distinct_up_to(df, {c: F.col(f"`{c}`") for c in columns}, 200)
+    if not few:
+        return df.sparkSession.createDataFrame([], "column string, cardinality bigint, top_share double")
+    return level_facts(df, list(few)).filter(
         (F.col("n_distinct") >= 2) & (F.col("n_distinct") <= 200)
     ).select("column", F.col("n_distinct").alias("cardinality"), "top_share")
 
@@ -151,12 +167,18 @@ def duplicate_rates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def encoding_consistency(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Raw and normalised level counts per text column, computed on the level table."""
-    levels = level_counts(df, columns).filter("value is not null")
-    by_form = levels.groupBy("column", normal("value").alias("form")).agg(F.count(F.lit(1)).alias("raw"))
+    """Raw and normalised level counts per text column, from fingerprints of the texts and of their forms."""
+    texts = {c: F.col(f"`{c}`").cast("string") for c in columns}
+    forms = {}
+    for c in columns:
+        form = normal(c)
+        a, b = fingerprint([form])
+        forms[c] = {"form": a, "other": b, "boolish": form.isin(*BOOLEAN_LEVELS).cast("int")}
+    levels = counts_by_value(df, texts, forms).filter("value is not null")
+    by_form = levels.groupBy("column", "form", "other").agg(F.count(F.lit(1)).alias("raw"), F.max("boolish").alias("boolish"))
     return by_form.groupBy("column").agg(
         F.sum("raw").alias("raw_level_count"), F.count(F.lit(1)).alias("normalized_level_count"),
-        F.avg(F.col("form").isin(*BOOLEAN_LEVELS).cast("double")).alias("boolish_level_share"),
+        F.avg(F.col("boolish").cast("double")).alias("boolish_level_share"),
     ).withColumn("fragmented", F.col("raw_level_count") > F.col("normalized_level_count"))
 
 
@@ -179,7 +201,7 @@ def uninformative(df: DataFrame) -> DataFrame:
         long = to_long(wide, [], {c: F.col(f"`{c}`") for c in others}, "column", "s")
         parts.append(long.select("column", F.col("s.missing_rate").alias("missing_rate"), F.when(F.col("s.constant"), F.lit("one_value")).alias("reason")))
     if texts:
-        s = level_summary(level_counts(df, texts))
+        s = level_facts(df, texts)
         reason = F.when(F.col("n_distinct") <= 1, F.lit("one_value")).when(F.col("top_share") >= 0.995, F.lit("top_share"))
         parts.append(s.select("column", "missing_rate", reason.alias("reason")))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -187,7 +209,7 @@ def uninformative(df: DataFrame) -> DataFrame:
     return both.select("column", F.explode(reasons).alias("reason"), "missing_rate")
 
 
-def top_correlations(df: DataFrame, columns: list[str], k: int = 8, max_columns: int | None = None) -> DataFrame:
+def top_correlations(df: DataFrame, columns: list[str], k: int | None = 8, max_columns: int | None = None) -> DataFrame:
     """The pairs with the largest |r|, all from one pass."""
     names = columns[:max_columns]
     pairs = list(combinations(names, 2))
@@ -196,7 +218,7 @@ def top_correlations(df: DataFrame, columns: list[str], k: int = 8, max_columns:
     rows = F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)
     ])
-    return wide.select(F.inline(rows)).filter("corr is not null").orderBy(F.abs("corr").desc(), "a", "b").limit(k)
+    return at_most(wide.select(F.inline(rows)).filter("corr is not null").orderBy(F.abs("corr").desc(), "a", "b"), k)
 
 
 def quality_flags(missing: DataFrame, duplicates: DataFrame, times: DataFrame, encoding: DataFrame) -> DataFrame:

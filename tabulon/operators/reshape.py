@@ -7,10 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.numbers import number, one_row
+from tabulon.functions.running import running
 from tabulon.functions.text import strip
 from tabulon.operators.aggregate import value_counts
 
 
+#: Groups in one bitmap of Spark's bitmap functions.
+BITMAP_BITS = 32_768
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """U1."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -19,15 +24,24 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def missing_ids(df: DataFrame, group: str, key: str) -> DataFrame:
     """Per group the ids that other groups have and it has not, one row each.
 
-    Ids present in every group are settled by a count per id and are never paired with the groups,
-    so the pairs made are those of incomplete ids only; the result itself is that long.
+    Groups are numbered, and each id has a bitmap of its groups for every 32,768 numbers. Bits are counted per id, which
+    settles the ids that all groups have; for the others the bits that are not set become rows, so no more is made than
+    the result holds, and no list of all groups. A null group is a group, null ids are none.
     """
-    pairs = df.filter(F.col(key).isNotNull()).select(group, key).distinct()
-    groups = df.select(group).distinct()
-    n_groups = one_row(groups.agg(F.count(F.lit(1)).alias("n")))["n"]
-    per_id = pairs.groupBy(key).agg(F.collect_set(group).alias("have")).filter(F.size("have") < n_groups)
-    names = one_row(groups.agg(F.array_sort(F.collect_set(group)).alias("g")))["g"]
-    return per_id.select(F.explode(F.array_except(names, F.col("have"))).alias(group), key)
+    groups = running(df.select(F.col(f"`{group}`").alias("__group")).distinct(), [F.col("__group")], number="__no")
+    n_groups = groups.count()
+    pairs = df.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{group}`").alias("__g"), F.col(f"`{key}`").alias("__id")).distinct()
+    numbered = pairs.join(groups, F.col("__g").eqNullSafe(F.col("__group"))).select("__id", "__no")
+    bits = numbered.groupBy("__id", F.bitmap_bucket_number("__no").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__no")).alias("__have"))
+    lacking = bits.groupBy("__id").agg(F.sum(F.bitmap_count("__have")).alias("n")).filter(F.col("n") < n_groups).select("__id")
+    buckets = F.explode(F.sequence(F.lit(1), F.lit(max(1, -(-n_groups // BITMAP_BITS)))).cast("array<bigint>"))
+    kept = lacking.withColumn("__bucket", buckets).join(bits, ["__id", "__bucket"], "left")
+    first = (F.col("__bucket") - 1) * BITMAP_BITS
+    places = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(BITMAP_BITS - 1), n_groups - 1 - first))
+    byte = lambda at: F.conv(F.hex(F.substring("__have", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    unset = F.filter(places, lambda at: F.col("__have").isNull() | (F.getbit(byte(at), (at % 8).cast("int")) == 0))
+    missing = kept.select("__id", F.explode(unset).alias("__at"), first.alias("__first")).select("__id", (F.col("__first") + F.col("__at") + 1).alias("__no"))
+    return missing.join(groups, "__no").select(F.col("__group").alias(group), F.col("__id").alias(key))
 
 
 def duplicate_ids(df: DataFrame, group: str, key: str) -> DataFrame:

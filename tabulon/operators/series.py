@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.functions.numbers import number, one_row
-from tabulon.functions.quantiles import join_on_keys
+from tabulon.functions.quantiles import join_on_keys, quantiles
+from tabulon.functions.running import running
 from tabulon.functions.text import strip
-from tabulon.operators.aggregate import as_time, bucket_start, first_last, number_stats
+from tabulon.operators.aggregate import as_time, bucket_start
 from tabulon.operators.clean import text_columns
 
 LAGS = (1, 2, 3, 4, 6, 8, 12)
@@ -69,9 +70,8 @@ def chronological_split(table: DataFrame, keys: list[str], time: str = "t", shar
 
 
 def cumulative_share(table: DataFrame, share: str, rank: str) -> DataFrame:
-    """Running total of a short ranked list (Pareto line)."""
-    w = Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    return table.withColumn(f"cum_{share}", F.sum(share).over(w))
+    """Running total of a ranked list of any length (Pareto line); sums per range of ranks, then offsets."""
+    return running(table, [F.col(rank)], {f"cum_{share}": share})
 
 
 def recent_slope(series: DataFrame, keys: list[str], time: str = "t", value: str = "y", window: int = 10) -> DataFrame:
@@ -137,27 +137,38 @@ def trend_table(df: DataFrame, time: str, value: str, group: str | None = None)
 
 
 def trend_stats(df: DataFrame, time: str, value: str, groups: list[str] | None = None) -> DataFrame:
-    """Points, mean, extremes, start, end, change, median, p05, p95; overall and per group."""
+    """Points, mean, extremes, start, end, change, median, p05, p95; overall and per group.
+
+    One pass makes a mergeable summary per group; the overall row is the sum of these summaries.
+    """
     base = df.select(*(groups or []), as_time(df, time).alias(time), number(df, value).alias("y")).filter(
         F.col(time).isNotNull() & F.col("y").isNotNull()
     )
 
-    def stats(keys: list[str]) -> DataFrame:
-        moments = number_stats(base, ["y"], [0.05, 0.5, 0.95], keys)
-        ends = first_last(base, time, "y", keys)
-        span = base.groupBy(*keys).agg(F.min(time).alias("x_start"), F.max(time).alias("x_end"))
-        if keys:
-            both = join_on_keys(join_on_keys(moments, ends, keys), span, keys)
-        else:
-            e, s = one_row(ends), one_row(span)
-            both = moments.select("*", *[e[c].alias(c) for c in ends.columns], *[s[c].alias(c) for c in span.columns])
-        label = F.concat_ws(" | ", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("(missing)")) for k in keys]) if keys else F.lit("(all)")
-        return both.select(
-            F.lit("group" if keys else "global").alias("scope"), label.alias("series"),
-            F.col("y__n").alias("n_points"), F.col("y__mean").alias("mean"), F.col("y__min").alias("min"), F.col("y__max").alias("max"),
-            "start", "end", "delta", "x_start", "x_end",
-            F.col("y__q")[0].alias("p05"), F.col("y__q")[1].alias("median"), F.col("y__q")[2].alias("p95"),
+    keys, by_time = list(groups or []), F.struct(F.col(time), F.col("y"))
+    parts = base.groupBy(*keys).agg(
+        F.count("y").alias("n"), F.sum("y").alias("s"), F.min("y").alias("lo"), F.max("y").alias("hi"),
+        F.min(by_time).alias("first"), F.max(by_time).alias("last"),
+    )
+    whole = parts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+    )
+
+    def table(summary: DataFrame, scope: str, label: Column) -> DataFrame:
+        start, end = F.col("first.y"), F.col("last.y")
+        return summary.select(
+            F.lit(scope).alias("scope"), label.alias("series"), F.col("n").alias("n_points"), F.try_divide("s", F.col("n").cast("double")).alias("mean"),
+            F.col("lo").alias("min"), F.col("hi").alias("max"), start.alias("start"), end.alias("end"), (end - start).alias("delta"),
+            F.col(f"first.{time}").alias("x_start"), F.col(f"last.{time}").alias("x_end"),
+            F.col("q")[0].alias("p05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"),
         )
 
-    out = stats([])
-    return out.unionByName(stats(groups)) if groups else out
+    probs = [0.05, 0.5, 0.95]
+    q = one_row(quantiles(base, ["y"], probs).withColumnRenamed("y", "q"))["q"]
+    out = table(whole.withColumn("q", q), "global", F.lit("(all)"))
+    if not keys:
+        return out
+    named = F.concat_ws(" | ", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("(missing)")) for k in keys])
+    each = join_on_keys(parts, quantiles(base, ["y"], probs, keys).withColumnRenamed("y", "q"), keys)
+    return out.unionByName(table(each, "group", named))

@@ -21,7 +21,7 @@ def robust_outliers(df: DataFrame, column: str, z: float = ROBUST_Z) -> DataFram
     x = number(df, column)
     m = known(quantiles(df, [column], [0.5]))[column][0]
     away = df.select(F.abs(x - m).alias("d"))
-    mad = known(quantiles(away, ["d"], [0.5], sized_by=df))["d"][0]
+    mad = known(quantiles(away, ["d"], [0.5]))["d"][0]
     return df.withColumn("robust_z", F.try_divide(0.6745 * (x - m), mad)).filter(F.abs("robust_z") > z)
 
 

@@ -76,8 +76,9 @@ FLAT_SQL = (
 )
 
 
-def flat(t: Tables) -> DataFrame:
+def flat(t: Tables, lines: DataFrame | None = None) -> DataFrame:
+    """The lines (default: all of lineitem) with attributes of their order and part."""
     o = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
     p = t.part.select("p_partkey", "p_brand", "p_type", "p_size")
-    joined = t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    joined = (t.lineitem if lines is None else lines).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     return joined.drop("o_orderkey", "p_partkey")

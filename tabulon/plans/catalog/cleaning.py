@@ -140,6 +140,25 @@ def _(t: Tables):
     return D.row_sample(t.lineitem, ["l_orderkey", "l_linenumber"], 0.25)
 
 
+@query("d1_sample_properties", "SELECT count(*) AS n_rows, 0 AS n_strange, 0 AS n_otherwise, true AS share_near, true AS smaller_inside FROM lineitem")
+def _(t: Tables):
+    """All sampled rows are rows of the table, whatever its partitions; the share is near, a smaller share lies inside."""
+    key = ["l_orderkey", "l_linenumber"]
+    own = t.lineitem.select(*key)
+    sample = D.row_sample(own, key, 0.25)
+    again, less = D.row_sample(own.repartition(7), key, 0.25), D.row_sample(own, key, 0.1)
+    sides = (
+        own.select(*key, F.lit(1).alias("a"), F.lit(0).alias("s"), F.lit(0).alias("r"), F.lit(0).alias("l"))
+        .unionByName(sample.select(*key, F.lit(0).alias("a"), F.lit(1).alias("s"), F.lit(0).alias("r"), F.lit(0).alias("l")))
+        .unionByName(again.select(*key, F.lit(0).alias("a"), F.lit(0).alias("s"), F.lit(1).alias("r"), F.lit(0).alias("l")))
+        .unionByName(less.select(*key, F.lit(0).alias("a"), F.lit(0).alias("s"), F.lit(0).alias("r"), F.lit(1).alias("l")))
+    ).groupBy(*key).agg(*[F.sum(c).alias(c) for c in "asrl"])
+    return sides.agg(
+        F.sum("a").alias("n_rows"), F.count_if(F.col("s") > F.col("a")).cast("int").alias("n_strange"), F.count_if(F.col("s") != F.col("r")).cast("int").alias("n_otherwise"),
+        F.abs(F.sum("s") / F.sum("a") - 0.25).between(0, 0.03).alias("share_near"), (F.count_if(F.col("l") > F.col("s")) == 0).alias("smaller_inside"),
+    )
+
+
 EVENTS_GAPS = "SELECT * REPLACE (CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value, CASE WHEN event_type IN ('error', 'view') THEN NULL ELSE props END AS props) FROM events"
 
 

@@ -98,7 +98,7 @@ SELECT l_returnflag, quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(
  quantile_cont(l_quantity, 0.5) AS q50 FROM (%s) GROUP BY 1""" % GAPS_SQL, {"p01": 4, "p50": 4, "p999": 4, "q50": 4})
 def _(t: Tables):
     """The route for large inputs, forced: the same quantiles by counting and running sums."""
-    q = A.quantiles(with_gaps(t.lineitem), ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.999], ["l_returnflag"], route="counting")
+    q = A.quantiles(with_gaps(t.lineitem), ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.999], ["l_returnflag"])
     p = F.col("l_extendedprice")
     return q.select("l_returnflag", p[0].alias("p01"), p[1].alias("p50"), p[2].alias("p999"), F.col("l_quantity")[1].alias("q50"))
 
@@ -108,7 +108,7 @@ SELECT quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(l_extendedpric
        {"p01": 4, "p50": 4, "p999": 4, "q50": 4})
 def _(t: Tables):
     """The route for large inputs without keys, forced: a sketch, a proof by counts, the few values between."""
-    q = A.quantiles(with_gaps(t.lineitem), ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.999], route="bracket")
+    q = A.quantiles(with_gaps(t.lineitem), ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.999])
     p = F.col("l_extendedprice")
     return q.select(p[0].alias("p01"), p[1].alias("p50"), p[2].alias("p999"), F.col("l_quantity")[1].alias("q50"))
 
@@ -221,8 +221,8 @@ SELECT l_returnflag, l_linestatus, CAST(rank AS INTEGER) AS rank, share, sum(sha
 def _(t: Tables):
     g = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_extendedprice").alias("s"))
     total = N.one_row(g.agg(F.sum("s").alias("s")))["s"]
-    r = g.withColumn("share", F.col("s") / total).withColumn("rank", F.row_number().over(W.Window.orderBy(F.col("s").desc()))).drop("s")
-    return W.cumulative_share(r, "share", "rank")
+    ranked = W.running(g.withColumn("share", F.col("s") / total), [F.col("s").desc(), F.col("l_returnflag"), F.col("l_linestatus")], number="rank")
+    return W.cumulative_share(ranked.drop("s").withColumn("rank", F.col("rank").cast("int")), "share", "rank")
 
 
 @query("w6_recent_slope", f"""
@@ -314,12 +314,12 @@ def _(t: Tables):
 
 
 @query("j4_join_column_lists", """
-WITH b AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS flags FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1)
-SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, array_to_string(b.flags, ',') AS flags_base FROM lineitem l LEFT JOIN b ON l.l_orderkey = b.l_orderkey""")
+WITH b AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS flags FROM lineitem GROUP BY 1)
+SELECT o.o_orderkey AS l_orderkey, o.o_orderstatus, array_to_string(b.flags, ',') AS flags_base, b.l_orderkey IS NOT NULL AS has_base FROM orders o LEFT JOIN b ON o.o_orderkey = b.l_orderkey""")
 def _(t: Tables):
-    base = t.lineitem.filter("l_linenumber <= 3").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"))
-    joined = U.join_baseline(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), base, ["l_orderkey"], ["flags"], check=False)
-    return joined.drop("has_base")
+    """Orders with the list of flags of all their lines."""
+    base = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"))
+    return U.join_baseline(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), base, ["l_orderkey"], ["flags"], check=False)
 
 
 @query("j5_features_and_target", f"SELECT o_orderpriority, t, y, lag_1, roll_mean_3 FROM (SELECT *, {_lag_sql()}, {_roll_sql()} FROM ({WEEKS}) {WIN})", {"y": 2, "lag_1": 2, "roll_mean_3": 4})
@@ -329,14 +329,14 @@ def _(t: Tables):
 
 
 @query("j6_compare_counts", """
-SELECT coalesce(a.k, b.k) AS l_linenumber, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM
-(SELECT l_linenumber AS k, count(*) AS n FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1) a FULL JOIN
-(SELECT l_linenumber AS k, count(*) AS n FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1) b ON a.k = b.k""")
+SELECT coalesce(a.k, b.k) AS nation, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM
+(SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k""")
 def _(t: Tables):
-    def counts(where):
-        return t.lineitem.filter(where).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    """Customers and suppliers of each nation; some have only one of them."""
+    def counts(df, key):
+        return df.groupBy(F.col(key).alias("nation")).agg(F.count(F.lit(1)).alias("n"))
 
-    return U.compare_counts(counts("l_linenumber <= 5"), counts("l_linenumber >= 3"), "l_linenumber")
+    return U.compare_counts(counts(t.customer, "c_nationkey"), counts(t.supplier, "s_nationkey"), "nation")
 
 
 @query("j7_baseline_missing", f"""
@@ -432,12 +432,12 @@ def _(t: Tables):
 
 
 @query("u5_set_tests", """
-WITH s AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS f, list(DISTINCT l_returnflag) FILTER (l_linenumber <= 2) AS h FROM lineitem GROUP BY 1)
-SELECT l_orderkey, list_sort(f) = list_sort(coalesce(h, [])) AS same, list_has_all(f, coalesce(h, [])) AS contained FROM s""")
+WITH s AS (SELECT l_orderkey, list(DISTINCT l_linestatus) AS f FROM lineitem GROUP BY 1)
+SELECT l_orderkey, list_sort(f) = [o_orderstatus] AS same, list_has_all(f, [o_orderstatus]) AS contained FROM s JOIN orders ON o_orderkey = l_orderkey""")
 def _(t: Tables):
-    s = t.lineitem.groupBy("l_orderkey").agg(
-        F.collect_set("l_returnflag").alias("f"), F.collect_set(F.when(F.col("l_linenumber") <= 2, F.col("l_returnflag"))).alias("h")
-    )
+    """The states of all lines of an order against the state of the order itself."""
+    s = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_linestatus").alias("f"))
+    s = s.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("h", F.array("o_orderstatus"))
     return s.select("l_orderkey", U.same_set(F.col("f"), F.col("h")).alias("same"), U.subset(F.col("h"), F.col("f")).alias("contained"))
 
 
@@ -475,6 +475,17 @@ def _(t: Tables):
     return U.one_hot(with_order_gaps(t.orders), "o_orderpriority", 3, "p").select("o_orderkey", F.col("`p_(other)`").alias("other"))
 
 
+@query("u10_one_hot_levels", f"""
+WITH b AS (SELECT o_orderkey, coalesce(o_orderpriority, '(missing)') AS p FROM ({ORDER_GAPS_SQL})), k AS (SELECT p FROM b GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)
+SELECT o_orderkey, 'p_' || CASE WHEN p IN (SELECT p FROM k) THEN p ELSE '(other)' END AS set_column, 1 AS n_set, (SELECT count(*) FROM k) + 1 AS n_columns FROM b""")
+def _(t: Tables):
+    """The name of the one column that is set in each row, over all columns made."""
+    wide = U.one_hot(with_order_gaps(t.orders).select("o_orderkey", "o_orderpriority"), "o_orderpriority", 3, "p")
+    made = [c for c in wide.columns if c.startswith("p_")]
+    named = F.concat_ws("", *[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in made])
+    return wide.select("o_orderkey", named.alias("set_column"), sum((F.col(f"`{c}`") for c in made), F.lit(0)).alias("n_set"), F.lit(len(made)).cast("bigint").alias("n_columns"))
+
+
 # --- scalar functions -------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabulon.functions import numbers as N
 from tabulon.operators import features as M
 from tabulon.operators import predictive as P
 from tabulon.operators import prescriptive as R
@@ -53,6 +54,18 @@ def _(t: Tables):
     return M.hash_split(t.orders, ["o_orderkey"]).groupBy("is_train").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("m2_hash_split_properties", "SELECT count(*) AS n_rows, 0 AS n_otherwise, true AS share_near FROM orders")
+def _(t: Tables):
+    """Every row is in one part, the same one whatever the partitions are; four in five are for training."""
+    keys = t.orders.select("o_orderkey")
+    again = M.hash_split(keys.repartition(5), ["o_orderkey"]).withColumnRenamed("is_train", "again")
+    both = M.hash_split(keys, ["o_orderkey"]).join(again, "o_orderkey")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("is_train") != F.col("again")).cast("int").alias("n_otherwise"),
+        F.avg(F.col("is_train").cast("int")).between(0.77, 0.83).alias("share_near"),
+    )
+
+
 def price_model(t: Tables):
     data = M.hash_split(order_features(t), ["o_orderkey"])
     return P.fit_regression(data, "sum_price", columns=["n_lines", "sum_qty", "o_orderpriority", "o_orderstatus"])
@@ -175,6 +188,50 @@ def _(t: Tables):
     return R.decision_table(flat(t), "l_extendedprice", "minimize", list(EFFECTS), list(DIMS))
 
 
+@query("m3_model_properties", """
+SELECT (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS n_rows, true AS rmse_from_mae, true AS r2_below_one, true AS importances_sum, 4 AS n_features, true AS line_rows,
+ true AS spread_ordered, (SELECT count(*) FROM (SELECT o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1 HAVING count(*) >= 5)) AS n_candidates, true AS ranked,
+ true AS shares_sum, true AS confusion_rows, true AS rates_within""")
+def _(t: Tables):
+    """What must hold of every forest: rows of both parts, errors, importances, spread, ranking and confusion sums."""
+    fitted = price_model(t)
+    m = N.one_row(fitted.metrics)
+    i = N.one_row(fitted.importances.agg(F.sum("importance").alias("s"), F.count(F.lit(1)).alias("n")))
+    line = N.one_row(P.fit_line(fitted.holdout))
+    scenario = M.scenario_from_conditions([Condition("sum_qty", ">=", 100), Condition("sum_qty", "<=", 140)])
+    spread = R.evaluate_scenario(fitted, scenario, "maximize")
+    s = N.one_row(spread.agg(F.min((F.col("p10") <= F.col("mean")) & (F.col("mean") <= F.col("p90"))).alias("ok")))
+    ranking = R.rank_candidates(order_features(t), fitted, "o_orderpriority", {"n_lines": 3}, "minimize")
+    c = N.one_row(ranking.agg(F.count(F.lit(1)).alias("n"), F.min("n_obs").alias("least")))
+    classes, confusion = quality_model(t)
+    rows = N.one_row(confusion.groupBy("actual").agg(F.sum("n").alias("n"), F.sum("share").alias("share")).agg(
+        F.sum("n").alias("n"), F.min((F.abs(F.col("share") - 1) < 1e-9) | (F.col("n") == 0)).alias("ok"),
+    ))
+    held = N.one_row(classes.holdout.agg(F.count(F.lit(1)).alias("n")))
+    rates = N.one_row(classes.metrics)
+    return t.spark.range(1).select(
+        (m["n_train"] + m["n_test"]).cast("bigint").alias("n_rows"), (m["rmse"] >= m["mae"]).alias("rmse_from_mae"), (m["r2"] <= 1).alias("r2_below_one"),
+        (F.abs(i["s"] - 1) < 1e-6).alias("importances_sum"), i["n"].cast("int").alias("n_features"), (line["n"] == m["n_test"]).alias("line_rows"),
+        s["ok"].alias("spread_ordered"), c["n"].alias("n_candidates"), (c["least"] >= 5).alias("ranked"), rows["ok"].alias("shares_sum"),
+        (rows["n"] == held["n"]).alias("confusion_rows"), (rates["accuracy"].between(0, 1) & rates["weighted_f1"].between(0, 1)).alias("rates_within"),
+    )
+
+
+@query("m5_forecast_properties", """
+WITH w AS (SELECT o_orderpriority, date_trunc('week', o_orderdate) AS t FROM orders GROUP BY 1, 2), s AS (SELECT o_orderpriority, max(t) AS last_t, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 30)
+SELECT o_orderpriority, CAST(step AS INTEGER) AS step, CAST(last_t + to_days(CAST(7 * step AS INTEGER)) AS TIMESTAMP) AS t, true AS within FROM s, range(1, 9) AS r(step) WHERE n - 12 >= 25""")
+def _(t: Tables):
+    """Each long enough series has all its steps at the right times, and no value leaves what forest and trend can give."""
+    series = weekly(t)
+    points = P.forecast(series, KEY, "week", 8).points
+    ends = series.groupBy(*KEY).agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    whole = N.one_row(series.agg(F.min("y").alias("lo"), F.max("y").alias("hi")))
+    trend = P.trend_line(series, KEY, 8).select(*KEY, "step", "trend")
+    joined = points.join(ends, KEY).join(trend, [*KEY, "step"])
+    low, high = F.least(whole["lo"], F.col("trend")), F.greatest(whole["hi"], F.col("trend"))
+    return joined.select(*KEY, "step", "t", F.col("forecast").between(low - 1e-6 * F.abs(low), high + 1e-6 * F.abs(high)).alias("within"))
+
+
 @query("m12_holdout_line")
 def _(t: Tables):
     return P.fit_line(price_model(t).holdout)

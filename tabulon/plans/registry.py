@@ -36,6 +36,22 @@ def candidate_ranking(df: DataFrame, target: str, dimension: str | None = None,
     return prescriptive.rank_candidates(df, _regression(df, target, **options), dimension, scenario, objective)
 
 
+def relationships(df: DataFrame, mode: str | None = None, ids: list[str] | None = None) -> DataFrame:
+    """The first view that the columns allow: two numeric ones as a scatter, more as correlations, else two label columns.
+
+    ``mode`` asks for ``pair`` (a scatter of the first two numeric columns) or ``matrix``; one that doesn't fit is ignored.
+    """
+    numeric = columns.usable_numeric(df, ids)
+    if len(numeric) >= 2 and (mode == "pair" or len(numeric) == 2):
+        return descriptive.scatter_stats(df, numeric[0], numeric[1])
+    if len(numeric) >= 3:
+        return descriptive.correlation_matrix(df, numeric)
+    labels = columns.usable_labels(df, ids)
+    if len(labels) >= 2:
+        return descriptive.crosstab(df, labels[0], labels[1])
+    raise ValueError("relationships need two numeric columns or two label columns")
+
+
 # Z3: (family, type) -> function(df, **arguments) -> DataFrame.
 ANALYSES: dict[tuple[str, str], Callable[..., DataFrame]] = {
     ("descriptive", "distribution"): descriptive.histogram,
@@ -44,6 +60,7 @@ ANALYSES: dict[tuple[str, str], Callable[..., DataFrame]] = {
     ("descriptive", "stats_summary"): descriptive.summary_cards,
     ("descriptive", "group_compare"): descriptive.group_compare,
     ("descriptive", "trend"): series.trend_stats,
+    ("descriptive", "relationships"): relationships,
     ("descriptive", "correlation"): descriptive.correlation_matrix,
     ("descriptive", "scatter"): descriptive.scatter_stats,
     ("descriptive", "crosstab"): descriptive.crosstab,

@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.functions.quantiles import is_small
-
 
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -61,14 +59,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-SPREAD_BYTES = 256 * 1024 * 1024
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """A small input that comes as one split, dealt out to all cores before heavy per-row work.
+    """An input of fewer files than cores, dealt out to all cores before heavy per-row work.
 
-    Large inputs have splits enough and are left alone, so that they are not shuffled for nothing.
+    Inputs of more files are split enough and left alone, so that they are not shuffled for nothing.
     """
-    if is_small(df, SPREAD_BYTES):
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A kept table of fewer partitions than cores, dealt out to all cores before many passes over it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -93,39 +94,60 @@ def test_guarded_filter_matches_the_step_by_step_rule(spark):
 
 # --- quantiles and statistics -----------------------------------------------------------------
 
+ENDS = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 1.0, -1.0, 1.0 + 2**-52, 2.0 - 2**-52, 2.0, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 3.0, 1e15, 0.1, -0.3]
+
+
+def test_digits_keep_the_order_of_numbers(spark):
+    rng = np.random.default_rng(5)
+    xs = ENDS + [float(x) for x in rng.integers(-(2**63), 2**63 - 1, 2000).view(np.float64) if np.isfinite(x)]
+    xs += [float(s * 2.0**e * f) for e in range(-1074, 1024, 7) for f in (1.0, 1 - 2**-53, 1 + 2**-52) for s in (1, -1) if np.isfinite(2.0**e * f)]
+    df = frame(spark, [(x,) for x in xs], "x double")
+    got = sorted(((r[0], r[1]) for r in df.select("x", Q.magnitude(F.col("x"))).collect()), key=lambda r: r[0])
+    assert [d for _, d in got] == sorted(d for _, d in got) and len({d for _, d in got}) > 1500
+    for low, high in ((-1.7976931348623157e308, 1.7976931348623157e308), (0.0, 5e-324), (-5e-324, 5e-324), (1.0, 1.0 + 2**-52), (-1.0, 1e15), (2.0**-1022, 1.0)):
+        inside = df.filter(F.col("x").between(low, high)).select("x", Q.part_of(F.col("x"), F.lit(low), F.lit(high)).alias("d"))
+        got = sorted(((r["x"], r["d"]) for r in inside.unionByName(spark.createDataFrame([(low, 0), (high, Q.PARTS - 1)], "x double, d int")).collect()), key=lambda r: r[0])
+        digits = [d for _, d in got]
+        assert digits == sorted(digits) and digits[0] == 0 and digits[-1] == Q.PARTS - 1
+
+
 @pytest.mark.parametrize("parts", [1, 8])
-def test_both_quantile_routes_agree(spark, parts):
+@pytest.mark.parametrize("window", [1, 20, 1 << 16])
+def test_quantiles_as_numpy(spark, monkeypatch, parts, window):
+    monkeypatch.setattr(Q, "WINDOW_ROWS", window)  # with 1 the search goes on until the ends agree
+    monkeypatch.setattr(Q, "PARTS", 16)
     rng = np.random.default_rng(1)
-    xs = np.concatenate([rng.normal(0, 1e-3, 200), rng.normal(1e6, 1e5, 200), np.full(300, 7.0), -rng.random(50)])
-    rows = [(None if i % 4 == 3 else int(i % 4), None if i % 17 == 0 else float(x)) for i, x in enumerate(xs)]
-    df = frame(spark, rows, "g int, x double").repartition(parts)
+    xs = np.concatenate([rng.normal(0, 1e-3, 200), rng.normal(1e6, 1e5, 200), np.full(300, 7.0), -rng.random(50), 1e9 + rng.random(100) * 1e-5, [1e308, -1e308, 5e-324]])
+    rows = [(None if i % 4 == 3 else int(i % 4), None if i % 17 == 0 else float(x), None if i % 3 else i) for i, x in enumerate(xs)]
+    df = frame(spark, rows, "g int, x double, y int").repartition(parts)
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    for keys in ([], ["g"]):
-        a = quantiles(df, ["x"], probs, keys, route="builtin").collect()
-        b = quantiles(df, ["x"], probs, keys, route="counting").collect()
-        if not keys:
-            c = quantiles(df, ["x"], probs, route="bracket").first()["x"]
-            assert np.allclose(c, b[0]["x"], rtol=0, atol=1e-9)
-        key = (lambda r: str(r["g"])) if keys else (lambda r: "")
-        for r, s in zip(sorted(a, key=key), sorted(b, key=key)):
-            assert key(r) == key(s) and np.allclose(r["x"], s["x"], rtol=0, atol=1e-9)
-
-
-@pytest.mark.parametrize("accuracy", [5, 50])
-def test_brackets_that_are_narrow_or_wrong_still_answer(spark, accuracy):
-    xs = np.random.default_rng(3).normal(size=3000).round(2)
-    df = frame(spark, [(float(x), None if i % 3 else float(i)) for i, x in enumerate(xs)], "x double, y double")
-    got = Q._by_bracket(df, ["x", "y"], [0.003, 0.25, 0.5, 0.997], accuracy).first()
-    assert np.allclose(got["x"], np.quantile(xs, [0.003, 0.25, 0.5, 0.997]), atol=1e-9)
-    assert np.allclose(got["y"], np.quantile(np.arange(0, 3000, 3), [0.003, 0.25, 0.5, 0.997]), atol=1e-9)
-
-
-def test_quantiles_of_nothing(spark):
-    df = frame(spark, [(1, None)], "g int, x double")
-    assert quantiles(df, ["x"], [0.5], route="bracket").first()["x"] is None
-    for route in ("builtin", "counting"):
-        assert quantiles(df, ["x"], [0.5], route=route).first()["x"] is None
-        assert quantiles(df, ["x"], [0.5], ["g"], route=route).first()["x"] is None
+
+    def expected(group, c):
+        return np.quantile([r[c] for r in rows if r[c] is not None and (group == "all" or r[0] == group)], probs)
+
+    one = quantiles(df, ["x", "y"], probs).first()
+    assert np.allclose(one["x"], expected("all", 1), rtol=1e-12, atol=0) and np.allclose(one["y"], expected("all", 2), rtol=1e-12, atol=0)
+    by = {r["g"]: r for r in quantiles(df, ["x", "y"], probs, ["g"]).collect()}
+    assert set(by) == {None, 0, 1, 2}
+    for g, r in by.items():
+        assert np.allclose(r["x"], expected(g, 1), rtol=1e-12, atol=0) and np.allclose(r["y"], expected(g, 2), rtol=1e-12, atol=0)
+
+
+def test_quantiles_with_infinities_ties_and_nothing(spark):
+    df = frame(spark, [(1, None, "n/a")], "g int, x double, s string")
+    for c in ("x", "s"):
+        assert quantiles(df, [c], [0.5]).first()[c] is None and quantiles(df, [c], [0.5], ["g"]).first()[c] is None
+    assert quantiles(df.limit(0), ["x"], [0.5]).first()["x"] is None and quantiles(df.limit(0), ["x"], [0.5], ["g"]).count() == 0
+    inf = float("inf")
+    df = frame(spark, [(1, -inf), (1, inf), (1, inf), (2, 0.0), (2, -0.0), (2, float("nan"))], "g int, x double")
+    assert {r["g"]: r["x"] for r in quantiles(df, ["x"], [0.0, 0.75, 1.0], ["g"]).collect()} == {1: [-inf, inf, inf], 2: [0.0, 0.0, 0.0]}
+
+
+def test_no_task_ranks_more_than_a_digit_of_rows(spark):
+    """One value on two thirds of the rows and a narrow rest: settled by counts, with no window over all rows."""
+    df = spark.range(300_000).select(F.when(F.col("id") % 3 < 2, 5.0).otherwise(1e6 + F.col("id") * 1e-7).alias("x"))
+    xs = np.where(np.arange(300_000) % 3 < 2, 5.0, 1e6 + np.arange(300_000) * 1e-7)
+    assert np.allclose(quantiles(df, ["x"], [0.1, 0.5, 0.8, 0.99]).first()["x"], np.quantile(xs, [0.1, 0.5, 0.8, 0.99]), rtol=1e-15, atol=0)
 
 
 def test_correlations_with_gaps_and_constants(spark):
@@ -171,12 +193,10 @@ def test_group_sums_of_nothing_are_zero_and_null_keys_stay(spark):
     assert values(out) == sorted([("a", 0.0, 1), (None, 5.0, 2)], key=str)
 
 
-def test_large_medians_come_from_the_counting_route(spark, monkeypatch):
+def test_medians_of_groups_without_values_are_null(spark):
     df = frame(spark, [("a", 1.0), ("a", 4.0), (None, 2.0), ("b", None)], "g string, x double")
     plan = A.Plan(["g"], [A.Metric("m", "x", "median"), A.Metric("n", None, "count")])
-    small = values(A.aggregate(df, plan))
-    monkeypatch.setattr(A, "is_small", lambda _: False)
-    assert values(A.aggregate(df, plan)) == small
+    assert values(A.aggregate(df, plan)) == sorted([("a", 2.5, 2), (None, 2.0, 1), ("b", None, 1)], key=str)
 
 
 def test_single_value_deviation_is_zero(spark):
@@ -202,12 +222,10 @@ def test_guarded_drops(spark):
     assert C.drop_duplicates(df.select("x")).count() == 10
 
 
-def test_wide_duplicates_by_hashes_first(spark, monkeypatch):
+def test_wide_duplicates_by_hashes_first(spark):
     rows = [(i % 7, None if i % 3 else "x", i % 2 == 0, float(i % 5)) for i in range(300)] + [(99, "only", True, 1.0), (None, "x", True, None)]
     df = frame(spark, rows, "a int, b string, c boolean, d double")
-    plain = C.duplicate_share(df, df.columns).first()
-    monkeypatch.setattr(C, "is_small", lambda _: False)
-    assert C.duplicate_share(df, df.columns).first() == plain and plain["n_duplicates"] == len(rows) - len(set(rows))
+    assert C.duplicate_share(df, df.columns).first()["n_duplicates"] == len(rows) - len(set(rows))
     one = frame(spark, [(1, 2, 3, 4)], "a int, b int, c int, d int")
     assert C.duplicate_share(one, one.columns).first()["n_duplicates"] == 0
 
@@ -427,8 +445,46 @@ def test_highlights_skip_near_copies(spark):
 def test_search_finds_the_whole_query(spark):
     q = frame(spark, [(1, "red ring parts"), (2, "")], "qid int, q string")
     c = frame(spark, [(10, "we sell red ring parts today"), (11, "parts of a ring"), (12, "unrelated")], "cid int, t string")
-    got = K.keyword_search(q, c, "qid", "q", "cid", "t").collect()
-    assert {(r["cid"], round(r["score"], 4)) for r in got} == {(10, 1.0), (11, round(2 / 6, 4))}
+    got = K.keyword_search(q, c, "qid", "q", ["cid"], "t", carry=["t"]).collect()
+    assert {(r["cid"], round(r["score"], 4)) for r in got} == {(10, 1.0), (11, round(2 / 6, 4))} and {r["t"] for r in got} == {"we sell red ring parts today", "parts of a ring"}
+
+
+@pytest.mark.parametrize("top", [1, 5])
+def test_search_as_scoring_every_chunk(spark, top):
+    """Bounds drop no result: many ties, a word in nearly every chunk, queries of one word, phrases that cut words."""
+    rnd = random.Random(8)
+    common, rare = ["the", "of"], [f"w{i}" for i in range(30)] + ["a_b", "über"]
+    text = lambda n: " ".join(rnd.choice(common) if rnd.random() < 0.6 else rnd.choice(rare) for _ in range(n))
+    chunks = [(i // 3, i % 3, text(rnd.randint(0, 12))) for i in range(240)] + [(90, 0, None), (91, 0, "xxthe ofyy the of"), (92, 0, "THE   w1-w2")]
+    queries = [(i, text(rnd.randint(1, 14))) for i in range(40)] + [(50, "the"), (51, "of the"), (52, "w1-w2"), (53, None), (54, "..."), (55, "nowhere"), (56, "e of"), (57, "the w1 the w2 of nowhere a_b b")]
+    rows = spark.createDataFrame([(t,) for _, t in queries] + [(t,) for *_, t in chunks], "t string").select("t", K.words("t").alias("w")).collect()
+    tokens = {r["t"]: set(r["w"]) for r in rows}
+    want = []
+    for qid, q in queries:
+        scored = []
+        for d, n, t in chunks:
+            both = tokens[q] & tokens[t]
+            if both:
+                score = len(both) / max(6, len(tokens[q])) + (0.5 if q.lower() in t.lower() else 0)
+                scored += [(-score, d, n, len(both))] if score >= 0.1 else []
+        want += [(qid, rank, d, n, round(-s, 9), overlap) for rank, (s, d, n, overlap) in enumerate(sorted(scored)[:top], 1)]
+    got = K.keyword_search(frame(spark, queries, "qid int, q string"), frame(spark, chunks, "d int, n int, t string"), "qid", "q", ["d", "n"], "t", top=top).collect()
+    assert sorted((r["qid"], r["rank"], r["d"], r["n"], round(r["score"], 9), r["overlap"]) for r in got) == sorted(want)
+
+
+def test_frequent_words_bring_no_candidates(spark):
+    """5,000 chunks hold a stop word; only those with a rarer word of the query are ever scored."""
+    chunks = spark.range(5000).select("id", F.concat(F.lit("the common text "), F.when(F.col("id") % 500 == 0, "rare ring ").otherwise(F.lit("")), F.col("id").cast("string")).alias("t"))
+    q = frame(spark, [(1, "the rare ring of common text"), (2, "the ring of")], "qid int, q string")
+    seen = []
+    original = K.cut_lineage
+    try:
+        K.cut_lineage = lambda df: (seen.append((df.columns, df.count())), original(df))[1]
+        got = K.keyword_search(q, chunks, "qid", "q", ["id"], "t").collect()
+    finally:
+        K.cut_lineage = original
+    assert [r["id"] for r in sorted(got, key=lambda r: (r["qid"], r["rank"]))] == [0, 500, 1000, 1500, 2000] * 2
+    assert max(n for columns, n in seen if "q" in columns and "c" in columns) <= 30
 
 
 def test_fields_cross_lines_and_first_wins(spark):
@@ -494,18 +550,6 @@ def test_observed_rows(spark):
     assert seen.get["rows"] == 7
 
 
-def test_buckets_are_ordered_and_fine_at_every_size(spark):
-    xs = sorted([0.0, 5e-324, math.inf, -math.inf, *(s * f * 10.0 ** e for s in (1, -1) for e in (-300, -9, -6, 0, 9, 300) for f in (1, 1.001, 1.5, 3))])
-    got = [r[0] for r in frame(spark, [(x,) for x in xs], "v double").select(Q._bucket(F.col("v")).alias("b"), "v").orderBy("v").collect()]
-    assert got == sorted(got) and len(set(got)) == len(xs)
-
-
-def test_small_values_have_exact_quantiles_by_counting(spark):
-    xs = [k * 1e-9 for k in range(1, 202)]
-    got = Q._by_counting(frame(spark, [(x,) for x in xs], "x double"), [], ["x"], [0.0, 0.25, 0.5, 1.0]).first()["x"]
-    assert got == pytest.approx(np.quantile(xs, [0.0, 0.25, 0.5, 1.0]).tolist(), rel=1e-12)
-
-
 def test_no_cap_unless_asked_for(spark):
     groups = frame(spark, [(f"g{i % 25:02d}", float(i)) for i in range(200)], "g string, x double")
     assert N.box_stats(groups, "x", "g").count() == 25 and N.box_stats(groups, "x", "g", high=20).count() == 0
