@@ -7,9 +7,10 @@ as Parquet and read again as the next one's ``docs``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions.running import running
 from tabulon.llm import bpe, jaccard, mixing, quality, secrets
 from tabulon.llm.common import documents, fresh, new_path, ship, table
 from tabulon.llm.queries import vocabulary
@@ -22,20 +23,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by word 5-gram sets with a similarity of 0.8 and more, the document of the smallest doc_id.
+    """Of each group linked by word 5-gram sets with a similarity of 0.8 and more, one document stays, that of the smallest
+    doc_id (null last).
 
-    Of rows that repeat that doc_id one stays; documents without words are no group and all stay, as do those of null
-    doc_id that no document with one is like.
+    Different texts under one doc_id are judged apart, also those under null; of rows that repeat doc_id and text one
+    stays. Documents without words are no group and all stay.
     """
     ship(spark)
-    found = jaccard.similar_documents(docs, size=5, share=80, of=100)
-    (copy,) = fresh(docs, "copy")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(copy), (F.col("n_shingles") == 0).alias(f"{copy}_empty")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[copy]))
-    first = F.row_number().over(Window.partitionBy(docs["doc_id"]).orderBy(F.lit(1)))
-    (place,) = fresh(rows, "place")
-    once = rows.withColumn(place, first).where((F.col(place) == 1) | F.col(f"{copy}_empty") | F.col("doc_id").isNull())
-    return once.select(*docs.columns)
+    return jaccard.one_of_each(docs, size=5, share=80, of=100)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,19 +41,28 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, rounded to whole documents.
+    """Each document as many times as the mix takes it, in whole documents.
 
-    Sources weigh 3, 1, 2 in turn and share 150 % of all words; a source gives at most twice its words. Documents that
-    the mix doesn't take go, those without words stay once.
+    Sources weigh 3, 1, 2 in turn and share 150 % of all words; a source gives at most twice its words. What rounding to
+    whole documents leaves is carried to the next document of like size in the same source, so a source's words miss its
+    target by about its longest document, and long documents stay as often as short ones. Documents that the mix doesn't
+    take go, those without words stay once. Rows of one doc_id and source count alike.
     """
     ship(spark)
     _, accounts = mixing.mix(docs)
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    (copies,) = fresh(docs, "copies")
-    counted = accounts.groupBy("doc_id").agg(F.max(times).alias(copies)).where(F.col(copies) > 0).withColumnRenamed("doc_id", f"{copies}_id")
-    rows = docs.join(counted, docs["doc_id"].eqNullSafe(counted[f"{copies}_id"]))
+    taken = accounts.where("size > 0").withColumn("part", F.col("taken") / F.col("size")).withColumn("mark", F.xxhash64("doc_id"))
+    order = [F.col(c) for c in ("source", "size", "mark", "doc_id", "part")]
+    upto = running(taken, order, {"upto": "part"})
+    whole = lambda c: F.floor(F.round(c, 6) + 0.5)
+    times = (whole(F.col("upto")) - whole(F.col("upto") - F.col("part"))).cast("int")
+    counted = upto.select("doc_id", "source", times.alias("copies"))
+    counted = counted.unionByName(accounts.where("size = 0").select("doc_id", "source", F.lit(1).alias("copies")))
+    names = fresh(docs, "copies_id", "copies_source", "copies")
+    counted = counted.groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).where("copies > 0").toDF(*names)
+    same = docs["doc_id"].eqNullSafe(counted[names[0]]) & docs["source"].eqNullSafe(counted[names[1]])
+    rows = docs.join(counted, same)
     (copy,) = fresh(rows, "copy")
-    repeated = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    repeated = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names[2]))))
     return repeated.select(*docs.columns)
 
 

@@ -1,4 +1,9 @@
-"""Operator 6: approximate nearest neighbours by one small-world graph per shard."""
+"""Operator 6: approximate nearest neighbours by small-world graphs per shard.
+
+Largest inner products are nearest points once one more component makes all vectors equally long. That component must not
+outweigh the others, so the vectors of a shard are cut into bands of like length with a graph each; a query visits them
+from long to short and leaves those that even the best direction can't lift into its list.
+"""
 
 from __future__ import annotations
 
@@ -15,13 +20,14 @@ from tabulon.llm.topk import best, by_length
 
 #: Distinct vectors in a shard's graph; bounds memory and build time of a task.
 SHARD_ROWS = 16384
-QUERY_ROWS = 512
+QUERY_ROWS = 4096
 LINKS = 16
 BUILD_WIDTH = 80
 SEARCH_WIDTH = 100
-#: Vectors this many times longer than the shard's median are kept out of its graph and searched exactly.
-LONG = 8.0
-INDEX = "shard long, dim int, members array<array<long>>, vectors binary, levels binary, links binary, entry int"
+#: Longest over shortest vector of a band; vectors of bands with fewer rows are compared exactly.
+BAND_RATIO = 1.25
+LEAST_BAND = 128
+INDEX = "shard long, dim int, members array<array<long>>, vectors binary, bands array<struct<rows:long, levels:binary, links:binary, entry:int>>"
 
 
 class Graph:
@@ -184,12 +190,24 @@ def asked_point(vector: np.ndarray) -> np.ndarray:
     return np.append(vector / (math.sqrt(float(vector @ vector)) or 1.0), 0.0)
 
 
-def is_long(x: np.ndarray) -> np.ndarray:
-    """Which vectors are ``LONG`` times longer than the median; no square leaves the range of numbers."""
+def log_lengths(x: np.ndarray) -> np.ndarray:
+    """Binary logarithms of the vectors' lengths; no square leaves the range of numbers."""
     top = np.abs(x).max(axis=1, initial=0.0)
     safe = np.where(top > 0, top, 1.0)
-    lengths = top / (top.max(initial=0.0) or 1.0) * np.sqrt(np.einsum("ij,ij->i", x / safe[:, None], x / safe[:, None]))
-    return lengths > LONG * np.median(lengths)
+    inner = np.einsum("ij,ij->i", x / safe[:, None], x / safe[:, None])
+    return np.log2(safe) + 0.5 * np.log2(np.where(inner > 0, inner, 1.0))
+
+
+def bands(x: np.ndarray) -> list[np.ndarray]:
+    """Rows of each band of like length, long ones first; all rows that stand in no full band are the last list."""
+    lengths = log_lengths(x)
+    order = np.argsort(-lengths, kind="stable")
+    out, rest, at = [], [], 0
+    while at < len(order):
+        end = at + int(np.searchsorted(-lengths[order[at:]], -(lengths[order[at]] - math.log2(BAND_RATIO)), side="right"))
+        (out if end - at >= LEAST_BAND else rest).append(order[at:end])
+        at = end
+    return [*out, np.concatenate(rest).astype(np.int64) if rest else np.zeros(0, np.int64)]
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
@@ -200,9 +218,10 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 
 
 def build_index(rows: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, links: int = LINKS, ef: int = BUILD_WIDTH) -> DataFrame:
-    """One row per shard and vector length: a graph of flat arrays; every vector is in one of them.
+    """One row per shard and vector length; every vector is in one of its bands.
 
-    ``vectors`` and ``members`` begin with the nodes of the graph; those behind them are the long ones.
+    ``vectors`` and ``members`` lie band after band, each band has a graph of flat arrays; the last one, of vectors whose
+    length few others have, has none and is compared exactly.
     """
     nodes = cut_lineage(distinct_vectors(rows, k).withColumn("n", F.monotonically_increasing_id()))
     shards = max(1, math.ceil(nodes.count() / shard_rows))
@@ -212,22 +231,56 @@ def build_index(rows: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, link
         shard, dim = key[0].as_py(), key[1].as_py()
         ((_, x),) = by_length(group).values()
         order = np.argsort(group["id"].to_numpy(), kind="stable")
-        long = is_long(x)
-        back = np.argsort(long, kind="stable")
-        x = x[back]
-        members = group["members"].take(pa.array(order[back])).to_pylist()
-        graph = Graph.build(raised(x[: len(x) - int(long.sum())]), links, ef)
+        parts = bands(x)
+        back = np.concatenate(parts)
+        made = []
+        for part in parts[:-1]:
+            graph = Graph.build(raised(x[part]), links, ef)
+            made.append({"rows": len(part), "levels": graph.levels.astype("<i4").tobytes(), "links": graph.links.astype("<i4").tobytes(), "entry": graph.entry})
+        made.append({"rows": len(parts[-1]), "levels": b"", "links": b"", "entry": -1})
+        kind = pa.list_(pa.struct([("rows", pa.int64()), ("levels", pa.binary()), ("links", pa.binary()), ("entry", pa.int32())]))
         return pa.table({
             "shard": pa.array([shard], pa.int64()), "dim": pa.array([dim], pa.int32()),
-            "members": pa.array([members], pa.list_(pa.list_(pa.int64()))),
-            "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()),
-            "levels": pa.array([graph.levels.astype("<i4").tobytes()], pa.binary()),
-            "links": pa.array([graph.links.astype("<i4").tobytes()], pa.binary()), "entry": pa.array([graph.entry], pa.int32()),
+            "members": pa.array([group["members"].take(pa.array(order[back])).to_pylist()], pa.list_(pa.list_(pa.int64()))),
+            "vectors": pa.array([x[back].astype("<f8").tobytes()], pa.binary()), "bands": pa.array([made], kind),
         })
 
     return dealt.groupBy("shard", "dim").applyInArrow(run, INDEX)
 
 
+class Shard:
+    """A shard's index, ready for search."""
+
+    def __init__(self, row: dict, links: int):
+        self.x = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+        self.members = row["members"]
+        self.graphs, at = [], 0
+        for band in row["bands"]:
+            stop = at + band["rows"]
+            if band["levels"]:
+                graph = Graph(raised(self.x[at:stop]), np.frombuffer(band["levels"], "<i4"), np.frombuffer(band["links"], "<i4"), band["entry"], links)
+                self.graphs.append((at, graph, float(log_lengths(self.x[at:stop]).max())))
+            at = stop
+            self.alone = np.arange(at - band["rows"], at)  # the last band
+
+    def nearest(self, query: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes that can be among the ``k`` best besides one node of the query's own, with their inner products."""
+        near, scores = self.alone, exact(query, self.x[self.alone])
+        point, own = asked_point(query), float(log_lengths(query[None])[0])
+        for at, graph, longest in self.graphs:
+            if len(scores) > k:
+                least = np.partition(scores, -(k + 1))[-(k + 1)]
+                # no product is larger than that of the lengths; a little room covers rounding
+                if least > 0 and own + longest + 1e-9 < math.log2(least):
+                    break
+            found = graph.search(point, ef) + at
+            near, scores = np.concatenate([near, found]), np.concatenate([scores, exact(query, self.x[found])])
+        if len(near) > k + 1:
+            best_nodes = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
+            near, scores = near[best_nodes], scores[best_nodes]
+        return near, scores
+
+
 def exact(query: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products in double precision, added in the order of the components."""
     total = np.zeros(len(x))
@@ -242,8 +295,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = SEARCH_W
     Blocks of queries visit each shard; each visit returns k candidates per query with their inner product in double
     precision on the vectors as they are, and the lists are merged per query. ``ef`` nodes are kept open in a graph, at
     least 2k. Rows with the query's own id are no results; ties go to the smaller id. Equal vectors share a node, so many
-    copies neither crowd the graph nor get lost. Vectors much longer than others of their shard are all compared. Null, zero and non-finite vectors are to be left out by the caller
-    (``nonzero``). No rows in either input give no rows.
+    copies neither crowd the graph nor get lost. Vectors of a length that few others have are all compared. Null, zero and
+    non-finite vectors are to be left out by the caller (``nonzero``). No rows in either input give no rows.
     """
     ef = max(ef, 2 * k)
     stored = cut_lineage(index)
@@ -257,18 +310,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = SEARCH_W
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []
         if a.num_rows and b.num_rows:
-            row = b.slice(0, 1).to_pylist()[0]
-            x = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
-            levels = np.frombuffer(row["levels"], "<i4")
-            graph, long = Graph(raised(x[: len(levels)]), levels, np.frombuffer(row["links"], "<i4"), row["entry"], links), np.arange(len(levels), len(x))
+            shard = Shard(b.slice(0, 1).to_pylist()[0], links)
             ((ids, q),) = by_length(a).values()
             for me, vector in zip(ids.tolist(), q, strict=True):
-                near = np.concatenate([graph.search(asked_point(vector), ef), long])
-                scores = exact(vector, x[near])
-                if len(near) > k + 1:  # the nodes that can be among the k best besides the query's own
-                    best_nodes = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
-                    near, scores = near[best_nodes], scores[best_nodes]
-                pairs = [(-s, other) for s, node in zip(scores.tolist(), near.tolist(), strict=True) for other in row["members"][node] if other != me]
+                near, scores = shard.nearest(vector, k, ef)
+                pairs = [(-s, other) for s, node in zip(scores.tolist(), near.tolist(), strict=True) for other in shard.members[node] if other != me]
                 found += [(me, other, -s) for s, other in heapq.nsmallest(k, pairs)]
         columns = list(zip(*found, strict=True)) or [[], [], []]
         kinds = (pa.int64(), pa.int64(), pa.float64())

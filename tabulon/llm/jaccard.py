@@ -13,10 +13,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut_lineage, slices
+from tabulon.llm.common import cut_lineage, fresh, slices
 from tabulon.llm.components import components
 from tabulon.llm.counting import summed
 from tabulon.llm.words import shingles, words
@@ -40,8 +40,15 @@ def digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
+def content(text: Column) -> list[Column]:
+    """Two 64-bit hashes that stand for a whole text; null is the empty text."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(F.lit(seed), whole) for seed in (1, 2)]
+
+
 def narrow(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(df[key].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
+    first, second = content(df[text])
+    return df.select(df[key].cast("long").alias("doc_id"), df[text].cast("string").alias("text"), first.alias("content"), second.alias("content2"))
 
 
 def frequency_table(df: DataFrame, size: int) -> np.ndarray:
@@ -73,7 +80,7 @@ def prefix_length(n: np.ndarray | int, share: int, of: int):
 
 
 def sketches(df: DataFrame, table: np.ndarray, size: int, share: int, of: int) -> DataFrame:
-    """doc_id, n, digest, prefix (rare first), last (where the prefix ends in the order), parts (sizes of the set within
+    """doc_id, content hashes, n, digest, prefix (rare first), last (where the prefix ends in the order), parts (sizes of the set within
     equal parts of the hash range)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +96,11 @@ def sketches(df: DataFrame, table: np.ndarray, size: int, share: int, of: int) -
                     prefixes.append(own[order].view(np.int64))
                     lasts.append(bytes([rarity[order[-1]]]) + int(own[order[-1]]).to_bytes(8, "big") if n else b"")
                     parts.append(part_sizes(own))
-                arrays = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(lasts, pa.binary()), pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "prefix", "last", "parts"])
+                arrays = [batch.column(i).slice(a, b - a) for i in (0, 2, 3)]
+                arrays += [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(lasts, pa.binary()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "content", "content2", "n", "digest", "prefix", "last", "parts"])
 
-    return df.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, last binary, parts binary")
+    return df.mapInArrow(run, "doc_id long, content long, content2 long, n long, digest binary, prefix array<long>, last binary, parts binary")
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, share: int, of: int) -> DataFrame:
@@ -231,7 +239,7 @@ def remaining_pairs(shared: DataFrame, known: DataFrame, share: int, of: int) ->
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, share: int = 85, of: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``df``.
+    """doc_id, n_shingles, component_id for each row of ``df``; ``linked`` with the names of the query.
 
     Two documents link when ``of`` times the intersection of their sets is at least ``share`` times the union; the
     component is the smallest key reachable by links, the document's own included.
@@ -245,6 +253,35 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", si
     a shingle have their whole sequence as the only one. Null keys link as other rows, but name no component unless all
     of it are null; repeated rows stay. An empty table gives no rows. Texts are cut whole, however long.
     """
+    out = linked(df, key, text, size, share, of)
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, share: int = 80, of: int = 100) -> DataFrame:
+    """The rows of ``df`` without near copies: one text of each component, and all texts without words.
+
+    The text that stays is that of the smallest key (null last), of several under that key the one of the smallest content
+    hash, so reruns agree. Different texts under one key are judged apart. Of rows that repeat key and text one stays, the
+    smallest by a hash of its other columns. Rows are chosen by key and content hash; whole texts are joined once.
+    """
+    out = linked(df, key, text, size, share, of)
+    last = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "content", "content2")
+    best = out.where("n > 0").groupBy("component").agg(F.min(last).alias("w")).select("w.doc_id", "w.content", "w.content2", F.lit(False).alias("blank"))
+    blank = out.where("n = 0").select("doc_id", "content", "content2", F.lit(True).alias("blank")).distinct()
+    names = fresh(df, "kept_id", "kept_content", "kept_content2", "kept_blank", "own_content", "own_content2", "place")
+    kept = cut_lineage(best.unionByName(blank)).toDF(*names[:4])
+    first, second = content(df[text])
+    rows = df.withColumns({names[4]: first, names[5]: second})
+    same = rows[key].cast("long").eqNullSafe(kept[names[0]]) & (rows[names[4]] == kept[names[1]]) & (rows[names[5]] == kept[names[2]])
+    met = rows.join(kept, same)
+    order = Window.partitionBy(rows[key], rows[names[4]], rows[names[5]]).orderBy(F.xxhash64(*[df[c] for c in df.columns if c != text]))
+    once = met.where(~F.col(names[3])).withColumn(names[6], F.row_number().over(order)).where(F.col(names[6]) == 1)
+    return once.select(*df.columns).unionByName(met.where(names[3]).select(*df.columns))
+
+
+def linked(df: DataFrame, key: str, text: str, size: int, share: int, of: int) -> DataFrame:
+    """doc_id, content hashes, n (shingles), component (null without any) and component_id of each row of ``df``."""
     docs = narrow(df, key, text)
     found = cut_lineage(sketches(docs, frequency_table(docs, size), size, share, of))
     filled = found.where("n > 0")
@@ -259,7 +296,5 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", si
     named = classes.select("cid", "digest", "least").join(final.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.withColumn("component", F.coalesce("component", "cid"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_digest = named.join(names, "component").select("digest", "component_id")
-    out = found.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    by_digest = named.join(names, "component").select("digest", "component", "component_id")
+    return found.select("doc_id", "content", "content2", "n", "digest").join(by_digest, "digest", "left").drop("digest")

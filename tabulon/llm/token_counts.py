@@ -95,8 +95,9 @@ def token_counts(df: DataFrame, path: str, cache: str, key: str = "doc_id", text
 
     The content digest is SHA-256 of the text (null: the empty text, of 0 bytes and 0 tokens) in UTF-8, unchanged, since
     the vocabulary has no normaliser of its own that would make two texts one. Rows are joined to the counts stored in
-    the folder ``cache`` by content and tokenizer digest. Of each missing content one row is found on narrow rows, only
-    its text is read again, shuffled by content and key, and encoded; the new counts are appended to the cache.
+    the folder ``cache`` by content and tokenizer digest. Of each missing content one text goes on, whatever the keys of its
+    rows: each task drops its repeats before the shuffle. These texts are encoded, and the new counts are appended to the
+    cache, one row per content.
 
     Null keys and repeated rows are kept, each with its count; an empty table gives no rows and appends nothing. Two runs
     that miss the same content at the same time both append the same count, and reading takes one of them.
@@ -108,12 +109,9 @@ def token_counts(df: DataFrame, path: str, cache: str, key: str = "doc_id", text
     digest = F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256")
     rows = cut_lineage(named.select("key", digest, F.octet_length("text").cast("long").alias("n_bytes")))
     stored = open_cache(spark, cache).where(F.col("tokenizer_sha256") == version)
-    wanted = rows.groupBy("content_sha256").agg(F.min("key").alias("key"))
-    misses = cut_lineage(wanted.join(stored, "content_sha256", "left_anti"))
-    texts = named.select("key", "text", digest).alias("a")
-    chosen = misses.alias("b")
-    same = (F.col("a.content_sha256") == F.col("b.content_sha256")) & F.col("a.key").eqNullSafe(F.col("b.key"))
-    todo = texts.join(chosen, same, "left_semi").select("content_sha256", "text")
+    misses = cut_lineage(rows.select("content_sha256").distinct().join(stored, "content_sha256", "left_anti"))
+    texts = named.select(digest, "text").groupBy("content_sha256").agg(F.first("text").alias("text"))
+    todo = texts.join(misses, "content_sha256", "left_semi").select("content_sha256", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)

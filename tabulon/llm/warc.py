@@ -25,10 +25,11 @@ FIELDS = {
     "file": pa.string(), "offset": pa.int64(), "length": pa.int64(), "kind": pa.string(), "reason": pa.string(),
     "page_id": pa.int64(), "record_type": pa.string(), "refers_to": pa.int64(), "target": pa.string(),
     "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary(),
+    "inner_offset": pa.int64(), "inner_length": pa.int64(),
 }
 SCHEMA = (
     "file string, offset long, length long, kind string, reason string, page_id long, record_type string, refers_to long, "
-    "target string, payload_bytes long, payload_digest string, payload binary"
+    "target string, payload_bytes long, payload_digest string, payload binary, inner_offset long, inner_length long"
 )
 #: Decompressed bytes handled at a time while a member is checked.
 STEP = 1 << 20
@@ -117,18 +118,18 @@ def member(data: memoryview, start: int) -> tuple[bytes, int] | None:
     return None
 
 
-def fields(content: bytes) -> tuple[dict[str, str], int] | None:
-    """Header fields by lower-case name and where the block begins."""
-    end = content.find(b"\r\n\r\n")
-    if not content.startswith(VERSION) or end < 0:
+def fields(content: bytes, at: int = 0) -> tuple[dict[str, str], int] | None:
+    """Header fields by lower-case name and where the block begins, for a record at ``at``; a header may have any length."""
+    end = content.find(b"\r\n\r\n", at)
+    if not content.startswith(VERSION, at) or end < 0:
         return None
-    lines = content[:end].decode("utf-8", "replace").split("\r\n")[1:]
+    lines = content[at:end].decode("utf-8", "replace").split("\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, end + 4
 
 
-def whole(content: bytes) -> tuple[dict, int] | str:
-    """The checked record at the start of ``content`` with its length, or why it fails."""
-    found = fields(content)
+def whole(content: bytes, at: int = 0) -> tuple[dict, int] | str:
+    """The checked record at ``at`` and where it ends, or why it fails."""
+    found = fields(content, at)
     if found is None:
         return "no version line or header end"
     head, start = found
@@ -154,16 +155,42 @@ def whole(content: bytes) -> tuple[dict, int] | str:
     }, end + 4
 
 
+def plain_records(content: bytes, at: int = 0) -> Iterator[tuple[int, int, dict | str]]:
+    """(start, end, record) for each record from ``at`` on, and (start, end, reason) for what lies between them.
+
+    After a failure the search goes on at the next version line whose record passes all checks.
+    """
+    bad, why = None, ""
+    while at < len(content):
+        one = whole(content, at) if content.startswith(VERSION, at) else "no version line"
+        if isinstance(one, str):
+            if bad is None:
+                bad, why = at, one
+            later = content.find(VERSION, at + 1)
+            at = later if later >= 0 else len(content)
+            continue
+        if bad is not None:
+            yield bad, at, why
+            bad = None
+        yield at, one[1], one[0]
+        at = one[1]
+    if bad is not None:
+        yield bad, len(content), why
+
+
 def salvage(data: bytes, keep_payload: bool = True) -> Iterator[dict]:
     """Records of an archive, compressed by member or plain, and a ``gap`` for each stretch that no check lets through.
 
     After a failure the search goes on at the next gzip magic or version line behind the failed start; only a start
-    whose record passes all checks ends the gap, so a chance pattern inside damaged bytes does not.
+    whose record passes all checks ends the gap, so a chance pattern inside damaged bytes does not. A member that unpacks
+    whole but holds several records, some of them damaged, is searched the same way inside: its good records come out, and
+    a gap for each bad stretch. Rows from such a member have the member's offset and length, and their place in its
+    unpacked bytes as ``inner_offset`` and ``inner_length``, which are null for a plain record or a member of one record.
     """
     view, at, bad, why = memoryview(data), 0, None, ""
     starts = re.compile(re.escape(GZIP) + b"|" + re.escape(VERSION))
     while at < len(data):
-        found: list[tuple[dict, int]] | str = "neither a member nor a version line"
+        found: list[tuple[int, int, dict | str]] | str = "neither a member nor a version line"
         end = at
         if data.startswith(GZIP, at):
             unpacked = member(view, at)
@@ -171,24 +198,14 @@ def salvage(data: bytes, keep_payload: bool = True) -> Iterator[dict]:
                 found = "member is cut off or fails its checksum"
             else:
                 content, end = unpacked
-                found, inner = [], 0
-                while inner < len(content):
-                    one = whole(content[inner:] if inner else content)
-                    if isinstance(one, str):
-                        found = one
-                        break
-                    found.append(one)
-                    inner += one[1]
+                inside = list(plain_records(content))
+                found = inside if any(isinstance(one, dict) for *_, one in inside) or not inside else inside[0][2]
         elif data.startswith(VERSION, at):
-            # the next version line after a record end bounds the bytes to look at only if the length is wrong
-            head = fields(data[at : at + (1 << 16)])
-            size = head[0].get("content-length", "") if head else ""
-            reach = at + (head[1] if head else 0) + (int(size) if re.fullmatch(r"\d{1,18}", size) else 0) + 4
-            one = whole(data[at:reach])
+            one = whole(data, at)
             if isinstance(one, str):
                 found = one
             else:
-                found, end = [one], at + one[1]
+                found, end = [(0, one[1] - at, one[0])], one[1]
         if isinstance(found, str):
             if bad is None:
                 bad, why = at, found
@@ -198,10 +215,14 @@ def salvage(data: bytes, keep_payload: bool = True) -> Iterator[dict]:
         if bad is not None:
             yield {"kind": "gap", "offset": bad, "length": at - bad, "reason": why}
             bad = None
-        for one, _ in found:
-            if not keep_payload:
-                one = one | {"payload": None}
-            yield {"kind": "record", "offset": at, "length": end - at, "reason": None, **one}
+        for start, stop, one in found:
+            place = {"offset": at, "length": end - at}
+            if len(found) > 1:
+                place |= {"inner_offset": start, "inner_length": stop - start}
+            if isinstance(one, str):
+                yield {"kind": "gap", "reason": one, **place}
+            else:
+                yield {"kind": "record", "reason": None, **place, **(one if keep_payload else one | {"payload": None})}
         at = end
     if bad is not None:
         yield {"kind": "gap", "offset": bad, "length": len(data) - bad, "reason": why}
@@ -210,7 +231,8 @@ def salvage(data: bytes, keep_payload: bool = True) -> Iterator[dict]:
 def read(spark: SparkSession, folder: str, keep_payload: bool = True) -> DataFrame:
     """Rows of kind ``record`` and ``gap`` of all archives in ``folder``.
 
-    file, offset and length say where a record or gap lies; a gap has the reason of its first failure and nothing else.
+    file, offset and length say where a record or gap lies, inner_offset and inner_length where in a member of several
+    records; a gap has the reason of its first failure and nothing else.
     Revisits have the payload's length and digest from their head and no payload. Records of other writers have a null
     page_id. A folder without records gives no rows. Files are read whole, so they are best kept to some 100 MB.
     """

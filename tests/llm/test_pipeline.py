@@ -40,6 +40,35 @@ def test_stages_take_odd_tables(spark):
             assert len(out) == len(rows)
 
 
+def test_near_copies_of_one_id_are_judged_by_text(spark):
+    """Unlike texts under one id both stay, near copies under null ids leave one, the choice is the same in each order."""
+    first, second = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, first, 9), (1, second, 8), (2, first + " tail", 7), (None, second + " end", 6), (None, "x " + " ".join(f"c{i}" for i in range(60)), 5)]
+    rows += [(None, " ".join(f"c{i}" for i in range(60)) + " y", 4)] * 3 + [(3, "", 1), (3, None, 1)]
+    kept = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, n_chars long").repartition(3)
+        kept.append(sorted((r.doc_id or -1, r.text or "", r.n_chars) for r in corpus_pipeline.drop_near_copies(spark, df, FOLDER).collect()))
+    assert kept[0] == kept[1]
+    assert {(i, t) for i, t, _ in kept[0]} >= {(1, first), (1, second), (3, "")} and len(kept[0]) == 5
+    assert sum(i == -1 for i, *_ in kept[0]) == 1
+
+
+def test_mix_carries_what_rounding_leaves(spark):
+    """A source below half keeps its share of long documents, and its words come near the target."""
+    rows = [(i, "w " * (3000 if i % 10 == 0 else 40), "src0" if i % 9 == 0 else "src1") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    from tabulon.llm import mixing
+
+    _, accounts = mixing.mix(df)
+    goal = {r.source: r.target for r in accounts.collect()}
+    words: dict = {}
+    for r in corpus_pipeline.mix_sources(spark, df, FOLDER).collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    assert goal["src1"] < 0.9 * sum(len(t.split()) for _, t, s in rows if s == "src1")
+    assert all(abs(words[s] - goal[s]) <= 6000 for s in goal)
+
+
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in queries.QUERIES}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}

@@ -122,6 +122,16 @@ def test_token_cache_serves_known_contents(spark):
     assert token_counts.token_counts(first.limit(0), path, new_path(spark, "cache")).count() == 0
 
 
+def test_each_content_is_counted_once(spark):
+    """Equal rows, equal texts under many ids and null ids: the cache gets one row per content."""
+    rows = [(None, "same words here")] * 50 + [(7, "other words")] * 50 + [(i, "same words here") for i in range(100, 130)] + [(8, None), (9, "")]
+    path, cache = vocabulary("byte_bpe_50k.json"), new_path(spark, "cache")
+    got = token_counts.token_counts(docs(spark, rows).repartition(5), path, cache).collect()
+    assert len(got) == len(rows) and {r.n_tokens for r in got if r.doc_id == 7} == {2}
+    stored = spark.read.parquet(cache)
+    assert stored.count() == 3 and stored.select("content_sha256").distinct().count() == 3
+
+
 def mixed(spark, rows, **options):
     df = docs(spark, rows, extra=("size", "taken"))
     pieces, accounts = mixing.mix(df, **options)

@@ -94,6 +94,33 @@ def test_graph_search_beside_a_very_long_vector(spark, length):
     assert len(out) == 30 * 20 and hits / (30 * 20) >= 0.95
 
 
+@pytest.mark.parametrize("lengths", ["wide", "lognormal"])
+def test_recall_of_one_shard_with_unequal_lengths(lengths):
+    """10,000 vectors of lengths from 0.3 to 3 (or log-normal) in one graph shard, against brute force."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(50, 32))
+    x = centres[rng.integers(0, 50, 10_000)] + rng.normal(size=(10_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= (rng.uniform(0.3, 3.0, size=10_000) if lengths == "wide" else np.exp(0.25 * rng.normal(size=10_000)))[:, None]
+    parts = hnsw.bands(x)
+    back = np.concatenate(parts)
+    assert sorted(back.tolist()) == list(range(10_000)) and len(parts) > 4
+    made = []
+    for part in parts[:-1]:
+        graph = hnsw.Graph.build(hnsw.raised(x[part]))
+        made.append({"rows": len(part), "levels": graph.levels.astype("<i4").tobytes(), "links": graph.links.astype("<i4").tobytes(), "entry": graph.entry})
+    made.append({"rows": len(parts[-1]), "levels": b"", "links": b"", "entry": -1})
+    shard = hnsw.Shard({"vectors": x[back].astype("<f8").tobytes(), "dim": 32, "members": None, "bands": made}, hnsw.LINKS)
+    hits = 0
+    for q in range(0, 10_000, 50):
+        scores = x @ x[q]
+        best = [i for i in np.argsort(-scores, kind="stable").tolist() if i != q][:20]
+        near, found = shard.nearest(x[q], 20, hnsw.SEARCH_WIDTH)
+        assert np.allclose(found, scores[back[near]])
+        hits += len(set(best) & set(back[near].tolist()))
+    assert hits / (200 * 20) >= 0.95
+
+
 def test_graph_is_flat_and_linked():
     rng = np.random.default_rng(3)
     graph = hnsw.Graph.build(hnsw.raised(rng.normal(size=(500, 8))))
@@ -174,6 +201,32 @@ def test_salvage_recovers_later_records(packed):
     assert all(a + n == b for (a, n), (b, _) in zip(covered, covered[1:]))
 
 
+def test_salvage_inside_a_member_of_several_records():
+    """One damaged record of a member leaves a gap; the records before and behind it come out."""
+    records = [warc.record(i, f"http://x/{i}", f"page {i} ".encode() * 50, None, True) for i in range(5)]
+    broken = bytearray(b"".join(records))
+    starts = np.cumsum([0, *map(len, records)]).tolist()
+    broken[starts[2] + len(records[2]) // 2] ^= 0xFF
+    packed, after = gzip.compress(bytes(broken)), gzip.compress(records[0])
+    out = list(warc.salvage(packed + after))
+    assert [r["page_id"] for r in out if r["kind"] == "record"] == [0, 1, 3, 4, 0]
+    assert all((r["offset"], r["length"]) == (0, len(packed)) for r in out[:5])
+    assert [(r["inner_offset"], r["inner_length"]) for r in out[:5]] == [(a, len(r)) for a, r in zip(starts, records)]
+    gap = [r for r in out if r["kind"] == "gap"]
+    assert len(gap) == 1 and gap[0]["inner_offset"] == starts[2] and gap[0]["reason"] == "block digest differs"
+    assert "inner_offset" not in out[5] and out[5]["offset"] == len(packed)
+    # a member of which nothing passes is a gap of its own
+    out = list(warc.salvage(gzip.compress(b"WARC/1.1\r\nno record") + after))
+    assert [r["kind"] for r in out] == ["gap", "record"]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage_of_a_very_long_header(packed):
+    one = warc.record(1, "http://x", b"payload", None, True).replace(b"WARC-Date", b"X-Long: " + b"y" * 300_000 + b"\r\nWARC-Date")
+    out = list(warc.salvage((gzip.compress(one) if packed else one) * 2))
+    assert [(r["kind"], r["page_id"], r["payload"]) for r in out] == [("record", 1, b"payload")] * 2
+
+
 def test_salvage_of_random_damage():
     rnd = random.Random(8)
     whole = b"".join(archive(True, 20) + archive(False, 20))
