@@ -51,17 +51,28 @@ def _entry(spark: SparkSession, path: str) -> Row | None:
         return None
 
 
-def fit_once(spark: SparkSession, key: str, kind: type[Model], fit: Callable[[], tuple[Model, PipelineModel | None, DataFrame, dict]]) -> Stored:
-    """The stored model of this key, or the one that ``fit`` gives: model, stages, scored holdout and facts.
+def reread(model: Model, path: str) -> Model:
+    """The model as written to ``path`` and read again.
+
+    A fitted classifier keeps its training summary and through it the session, which can't be sent to tasks once the
+    session has made an observation; the model that is read has no summary.
+    """
+    model.write().save(path)
+    return type(model).load(path)
+
+
+def fit_once(spark: SparkSession, key: str, kind: type[Model], fit: Callable[[Callable[[Model], Model]], tuple[PipelineModel | None, DataFrame, dict]]) -> Stored:
+    """The stored model of this key, or the one that ``fit`` makes.
+
+    ``fit`` gets a function that keeps its model and returns it ready for use, and gives stages, scored holdout and facts.
 
     A fit is written to a folder of its own, and its name is appended to the key's list as the last step, so a fit that
     breaks off leaves nothing that would be read, and two at a time do no harm.
     """
     base = f"{shared_folder(spark).rstrip('/')}/models/{key}"
     if _entry(spark, f"{base}/list") is None:
-        model, stages, holdout, facts = fit()
         own = f"{base}/{uuid.uuid4().hex}"
-        model.write().save(f"{own}/model")
+        stages, holdout, facts = fit(lambda model: reread(model, f"{own}/model"))
         if stages is not None:
             stages.write().save(f"{own}/stages")
         holdout.write.parquet(f"{own}/holdout")

@@ -100,7 +100,7 @@ def fit_regression(df: DataFrame, target: str, split: DataFrame | None = None, c
     used = [c for c in df.columns if columns is None or c in (*columns, target, "is_train")]
     base = df.filter(y.isNotNull()).withColumn(target, y).select(*[F.col(f"`{c}`") for c in used]).persist()
     try:
-        def fit():
+        def fit(keep):
             spec = learn_features(base.drop("is_train"), target, columns, ids)
             stages = feature_stages(spark, spec)
             table = stages.transform(apply_features(dealt(base), spec)).select("features", target, "is_train").persist()
@@ -108,11 +108,11 @@ def fit_regression(df: DataFrame, target: str, split: DataFrame | None = None, c
                 sizes = table.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_train").alias("n_train")).first()
                 _ready(df, spec, sizes["n"])
                 forest = RandomForestRegressor(labelCol=target, featureSubsetStrategy="all", **forest_options(spec, trees, depth))
-                model = forest.fit(table.filter("is_train"))
+                model = keep(forest.fit(table.filter("is_train")))
                 scored = cut_lineage(model.transform(table.filter("not is_train")).select(F.col(target).alias("actual"), "prediction"))
             finally:
                 table.unpersist()
-            return model, stages, scored, {"spec": _spec_facts(spec), "n_train": sizes["n_train"]}
+            return stages, scored, {"spec": _spec_facts(spec), "n_train": sizes["n_train"]}
 
         key = digest(base, {"kind": "regression", "target": target, "columns": columns, "ids": ids, "trees": trees, "depth": depth})
         kept = fit_once(spark, key, RandomForestRegressionModel, fit)
@@ -136,7 +136,7 @@ def fit_classification(df: DataFrame, target: str, columns: list[str] | None = N
     used = [c for c in df.columns if columns is None or c in (*columns, target, "is_train")]
     base = rare_classes_merged(df, target).select(*[F.col(f"`{c}`") for c in used]).persist()
     try:
-        def fit():
+        def fit(keep):
             spec = learn_features(base.drop("is_train"), target, columns, ids)
             indexer = StringIndexer(inputCol=target, outputCol="__label", stringOrderType="frequencyDesc").fit(base)
             labels = indexer.labels
@@ -151,14 +151,14 @@ def fit_classification(df: DataFrame, target: str, columns: list[str] | None = N
                 for r in sizes:
                     weight = F.when(F.col("__label") == r["__label"], F.lit(total / (len(sizes) * r["n"]))).otherwise(weight)
                 forest = RandomForestClassifier(labelCol="__label", weightCol="__weight", **forest_options(spec, trees, depth))
-                model = forest.fit(table.filter("is_train").withColumn("__weight", weight))
+                model = keep(forest.fit(table.filter("is_train").withColumn("__weight", weight)))
                 names = F.array(*[F.lit(v) for v in labels])
                 scored = cut_lineage(model.transform(table.filter("not is_train")).select(
                     F.element_at(names, F.col("__label").cast("int") + 1).alias("actual"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
                 ))
             finally:
                 table.unpersist()
-            return model, stages, scored, {"spec": _spec_facts(spec), "labels": list(labels)}
+            return stages, scored, {"spec": _spec_facts(spec), "labels": list(labels)}
 
         key = digest(base, {"kind": "classification", "target": target, "columns": columns, "ids": ids, "trees": trees, "depth": depth})
         kept = fit_once(spark, key, RandomForestClassificationModel, fit)
@@ -234,11 +234,11 @@ def forecast(series: DataFrame, keys: list[str], grain: str, horizon: int, trees
         if not ready.filter("is_train").limit(1).count():
             raise ValueError(f"needs a series with at least {MIN_POINTS} points and {MIN_USABLE} usable rows")
 
-        def fit():
+        def fit(keep):
             rows = VectorAssembler(inputCols=names, outputCol="features").transform(ready).select(*keys, "y", "is_train", "features")
             forest = RandomForestRegressor(labelCol="y", featureSubsetStrategy="all", **forest_options(None, trees, depth))
-            model = forest.fit(rows.filter("is_train"))
-            return model, None, cut_lineage(model.transform(rows.filter("not is_train")).select(*keys, "y", "prediction")), {}
+            model = keep(forest.fit(rows.filter("is_train")))
+            return None, cut_lineage(model.transform(rows.filter("not is_train")).select(*keys, "y", "prediction")), {}
 
         key = digest(ready, {"kind": "forecast", "keys": keys, "trees": trees, "depth": depth})
         kept = fit_once(spark, key, RandomForestRegressionModel, fit)

@@ -56,6 +56,20 @@ def test_one_fit_serves_all_its_queries(spark, monkeypatch, tmp_path):
     assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
 
 
+def test_classes_are_scored_after_an_observation(spark, monkeypatch, tmp_path):
+    """An observation in the session makes the session unfit for tasks; the model must not bring it along."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation("seen")
+    spark.range(10).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 10
+    monkeypatch.setattr(modelstore, "shared_folder", lambda _: str(tmp_path))
+    df = spark.range(200).selectExpr("id % 7 AS a", "id % 5 AS b", "CASE WHEN id % 7 > 3 THEN 'x' ELSE 'y' END AS c", "id % 4 > 0 AS is_train")
+    fitted, confusion = predictive.fit_classification(df, "c", columns=["a", "b"], trees=5, depth=3)
+    assert fitted.metrics.first()["accuracy"] == 1.0 and confusion.count() == 4
+
+
 def test_flat_trees_give_what_the_model_gives(spark, monkeypatch, tmp_path):
     """Splits by threshold and by category; the mean over trees is the model's prediction."""
     from pyspark.ml.functions import vector_to_array

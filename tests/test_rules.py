@@ -12,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions.expressions import canonical, canonical_set
+from tabulon.functions.distinct import distinct_up_to, exact_distinct
 from tabulon.functions.numbers import correlations, number
+from tabulon.functions.running import running
 from tabulon.functions import quantiles as Q
 from tabulon.functions.quantiles import quantiles
 from tabulon.functions.text import WHITESPACE, content_words, number_free, strip, words
@@ -22,8 +24,8 @@ from tabulon.operators import columns as P
 from tabulon.operators import descriptive as N
 from tabulon.operators import diagnostic as G
 from tabulon.operators import features as M
+from tabulon.operators import modelstore, prescriptive
 from tabulon.operators import predictive as ML
-from tabulon.operators import prescriptive
 from tabulon.operators import reshape as U
 from tabulon.operators import series as W
 from tabulon.operators import textops as K
@@ -566,7 +568,8 @@ def test_no_cap_unless_asked_for(spark):
     assert K.distinct_snippets(texts, "s", "t", "score", ["i"], head=120).count() == 1
 
 
-def test_models_by_name_predict_numbers_and_classes(spark):
+def test_models_by_name_predict_numbers_and_classes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(modelstore, "shared_folder", lambda _: str(tmp_path))  # a store without models
     rows = [(i, float(i % 10), "red" if i % 3 else "blue", 5.0 * (i % 10) + (3.0 if i % 3 else 40.0), "big" if i % 10 > 4 else "small") for i in range(300)]
     df = frame(spark, rows, "no int, width double, colour string, weight double, size string").drop("no")
     small = {"trees": 8, "depth": 6}
@@ -583,3 +586,87 @@ def test_models_by_name_predict_numbers_and_classes(spark):
     fitted, _ = ML.fit_classification(M.hash_split(df, df.columns), "size", columns=["width", "colour"], **small)
     with pytest.raises(ValueError):
         prescriptive.evaluate_scenario(fitted, given)
+
+
+# --- one pass over many columns, running totals, bitmaps ---------------------------------------
+
+def test_distinct_values_by_sketch_and_fingerprint(spark):
+    df = spark.range(5000).selectExpr("id", "cast(id % 200 AS string) AS few", "cast(id % 201 AS string) AS one_more", "repeat(cast(id AS string), 300) AS text", "id % 2 = 0 AS flag", "cast(NULL AS string) AS none", "CASE WHEN id % 3 = 0 THEN 0.0 WHEN id % 3 = 1 THEN -0.0D END AS zero")
+    cols = {c: F.col(c) for c in df.columns}
+    assert distinct_up_to(df, cols, 200) == {"few": 200, "flag": 2, "none": 0, "zero": 1}
+    got = {r["column"]: (r["n_distinct"], r["n"]) for r in exact_distinct(df, cols).collect()}
+    assert got["text"] == (5000, 5000) and got["none"] == (0, 0) and got["one_more"] == (201, 5000) and got["zero"] == (1, 3334)
+    plan = A.distinct_counts(df, ["few", "text"])._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    assert exact_distinct(df.limit(0), {"few": F.col("few")}).first()["n_distinct"] == 0
+
+
+def test_duplicates_know_where_nulls_are(spark):
+    rows = [("a", None, 1, 1), (None, "a", 1, 1), ("a", None, 1, 1), (None, None, 1, 1)]
+    df = frame(spark, rows, "a string, b string, c int, d int")
+    assert C.duplicate_share(df, df.columns).first()["n_duplicates"] == 1 and C.duplicate_share(df, ["a", "b"]).first()["n_duplicates"] == 1
+
+
+def test_running_totals_over_many_ranges(spark):
+    """No task holds all rows: ranges of a hundred thousand rows, with ties in the values and nulls that count as zero."""
+    df = spark.range(100_000).selectExpr("id", "(id * 7919) % 100003 AS k", "CASE WHEN id % 10 = 0 THEN NULL ELSE cast(id % 13 AS double) END AS v")
+    out = running(df, [F.col("k")], {"total": "v"}, number="place")
+    rows = sorted((r["k"], r["v"] or 0.0, r["total"], r["place"]) for r in out.collect())
+    want = np.cumsum([r[1] for r in rows])
+    assert [r[3] for r in rows] == list(range(1, 100_001)) and np.allclose([r[2] for r in rows], want)
+    assert out.columns == ["id", "k", "v", "total", "place"] and running(df.limit(0), [F.col("k")], {"t": "v"}).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in plan
+
+
+def test_missing_ids_over_more_groups_than_one_bitmap(spark, monkeypatch):
+    groups = spark.range(40_000).select((F.col("id") + 1).alias("g"))
+    full = groups.select("g", F.lit("whole").alias("k"))
+    gaps = groups.filter("g not in (1, 8, 32768, 32769, 39999)").select("g", F.lit("gaps").alias("k"))
+    late = groups.filter("g > 32768 and g <= 39990").select("g", F.lit("late").alias("k"))
+    got = U.missing_ids(full.unionByName(gaps).unionByName(late).unionByName(gaps.limit(5)), "g", "k")
+    by = {r["k"]: r for r in got.groupBy("k").agg(F.count("g").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")).collect()}
+    assert sorted(r["g"] for r in got.filter("k = 'gaps'").collect()) == [1, 8, 32768, 32769, 39999]
+    assert (by["late"]["n"], by["late"]["lo"], by["late"]["hi"]) == (32_768 + 10, 1, 40_000) and "whole" not in by
+    few = frame(spark, [("a", 1), (None, 1), (None, 2), ("b", None)], "g string, k int")
+    assert values(U.missing_ids(few, "g", "k")) == sorted([("a", 2), ("b", 1), ("b", 2)], key=str)
+
+
+def test_named_dimensions_stay_whatever_their_levels(spark):
+    df = frame(spark, [(f"g{i % 40}", f"h{i % 5}", float(i % 7)) for i in range(400)], "g string, h string, y double")
+    out = G.variance_decomposition(df, "y", ["g", "h"])
+    assert {r["dimension"] for r in out.collect()} == {"g", "h"} and out.filter("dimension = 'g'").count() == 40
+    lifts = G.categorical_lifts(df, "y", ["g"], k=None, max_levels=None)
+    assert lifts.count() == 40
+    assert {r["dimension"] for r in G.variance_decomposition(df, "y").collect()} == {"h"}
+    with pytest.raises(ValueError, match="group by"):
+        G.variance_decomposition(df.select("y"), "y")
+
+
+def test_trend_statistics_of_groups_and_nothing(spark):
+    rows = [("a", 3, 1.0), ("a", 1, 5.0), (None, 2, 7.0), ("b", 1, None), ("a", None, 9.0)]
+    df = frame(spark, rows, "g string, d int, y double").withColumn("t", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(d)"))
+    got = {(r["scope"], r["series"]): r for r in W.trend_stats(df, "t", "y", ["g"]).collect()}
+    assert set(got) == {("global", "(all)"), ("group", "a"), ("group", "(missing)")}
+    a, whole = got["group", "a"], got["global", "(all)"]
+    assert (a["start"], a["end"], a["delta"], a["mean"], a["median"]) == (5.0, 1.0, -4.0, 3.0, 3.0)
+    assert whole["n_points"] == 3 and whole["start"] == 5.0 and whole["max"] == 7.0 and whole["median"] == 5.0
+    none = W.trend_stats(df.limit(0), "t", "y").first()
+    assert none["n_points"] == 0 and none["mean"] is None and none["median"] is None
+
+
+def test_closing_line_is_a_warning_or_a_follow_up(spark):
+    texts = frame(spark, [(1, "Most parts were late", ["Delays reach 9 days"]), (2, None, None), (3, "All fine", []), (4, "Sales rise", [])], "d int, summary string, chosen array<string>")
+    warnings = [(1, 0, "Duplicates were found"), (1, 1, "Delays reach 12 days"), (1, 2, "never seen"), (2, 0, "No summary, no warning"), (3, 0, " "), (4, 0, "Few rows in March")]
+    followups = [(1, 0, "Check this."), (1, 1, "Compare the two plants"), (2, 0, "Investigate it"), (3, 0, "all  FINE"), (3, 1, "look into it"), (4, 0, "Split by region")]
+    out = K.pick_closing(texts, frame(spark, warnings, "d int, p int, s string"), frame(spark, followups, "d int, p int, s string"), "d", "s", "p")
+    assert values(out) == sorted([(1, "followup", "Compare the two plants"), (2, "followup", "Investigate it"), (4, "warning", "Few rows in March")], key=str)
+
+
+def test_relationships_choose_a_view(spark):
+    df = frame(spark, [(float(i), float(i % 7), float(i * i), "ab"[i % 2], "xyz"[i % 3]) for i in range(60)], "p double, q double, r double, s string, t string")
+    run = lambda cols, **kw: ANALYSES["descriptive", "relationships"](df.select(*cols), **kw)
+    assert "n_pairs" in run(["p", "q"]).columns and run(["p", "q", "r"]).count() == 9 and "n_pairs" in run(["p", "q", "r"], mode="pair").columns
+    assert run(["s", "t"]).columns == ["a", "b", "n", "share"]
+    with pytest.raises(ValueError):
+        run(["p", "s"])
