@@ -12,7 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut_lineage
+from tabulon.llm.common import cut_lineage, new_path
+from tabulon.operators.modelstore import reread
 
 #: Findings that the forest is trained on at most, chosen by hash.
 TRAINING_FINDINGS = 20_000
@@ -124,13 +125,17 @@ def sampled(rows: DataFrame, most: int) -> DataFrame:
 
 
 def train(findings: DataFrame, most: int = TRAINING_FINDINGS) -> RandomForestClassificationModel | float:
-    """A forest from findings with ``FEATURES`` and ``label`` (1 secret, 0 not); without both labels the constant one."""
+    """A forest from findings with ``FEATURES`` and ``label`` (1 secret, 0 not); without both labels the constant one.
+
+    It is written and read again, since a fitted model brings along the session, which tasks may not be able to take.
+    """
     rows = cut_lineage(sampled(findings, most).select(*FEATURES, F.col("label").cast("double")).coalesce(4))
     kinds = [r["label"] for r in rows.select("label").distinct().collect()]
     if len(kinds) < 2:
         return kinds[0] if kinds else 0.0
     forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return forest.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(rows))
+    model = forest.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(rows))
+    return reread(model, new_path(findings.sparkSession, "finding-forest"))
 
 
 def scored(rows: DataFrame, model: RandomForestClassificationModel | float) -> DataFrame:
