@@ -47,6 +47,12 @@ def strip(c: Column | str) -> Column:
     return F.btrim(col_of(c), F.lit(WHITESPACE))
 
 
+def squeezed(c: Column | str) -> Column:
+    """The parts between whitespace of any kind, joined by single blanks."""
+    blanks = F.translate(col_of(c), WHITESPACE, " " * len(WHITESPACE))
+    return F.array_join(F.filter(F.split(blanks, " "), lambda part: part != ""), " ")
+
+
 def normal(c: Column | str) -> Column:
     """Strip and lower-case."""
     return F.lower(strip(c))
@@ -100,7 +106,7 @@ def short_number(c: Column | str) -> Column:
 
 def sorted_names(c: Column | str) -> Column:
     """Comma list to a sorted list of trimmed, lower-cased, non-empty names."""
-    parts = F.transform(F.split(F.lower(col_of(c)), ","), lambda x: strip(F.regexp_replace(x, r"\s+", " ")))
+    parts = F.transform(F.split(F.lower(col_of(c)), ","), lambda x: squeezed(x))
     return F.array_sort(F.filter(parts, lambda x: x != ""))
 
 
@@ -122,24 +128,42 @@ def unit_from_name(c: Column | str) -> Column:
     return out
 
 
+def _brackets(text: Column) -> tuple[Column, Column]:
+    """What stands before the first opening bracket, and the pieces that begin behind each of them."""
+    pieces = F.split(text, "\\(")
+    return pieces[0], F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+
+def _unit_remark(piece: Column) -> Column:
+    """Of a piece behind a bracket that reads ``in something)`` the something in lower case, else null."""
+    said = F.lower(squeezed(F.substring_index(piece, ")", 1)))
+    return F.when(F.contains(piece, F.lit(")")) & F.startswith(said, F.lit("in ")), F.substr(said, F.lit(4)))
+
+
 def unit_from_description(c: Column | str) -> Column:
-    """``(in days)`` or a unit word inside a description."""
-    text = F.lower(col_of(c))
-    quoted = F.regexp_extract(text, r"\(\s*in\s+([a-z ]+?)\s*\)", 1)
+    """The unit of a remark such as ``(in days)``, in letters; else the unit of a word inside the description."""
+    text = col_of(c)
+    _, pieces = _brackets(text)
+    remarks = F.filter(F.transform(pieces, _unit_remark), lambda unit: F.length(F.translate(unit, "abcdefghijklmnopqrstuvwxyz ", "")) == 0)
     out = F.lit(None).cast("string")
     for unit, parts in reversed(DESCRIPTION_UNITS):
         hit = F.lit(False)
         for part in parts:
-            hit = hit | F.contains(text, F.lit(part))
+            hit = hit | F.contains(F.lower(text), F.lit(part))
         out = F.when(hit, F.lit(unit)).otherwise(out)
-    return F.when(quoted != "", F.regexp_replace(strip(quoted), r"\s+", " ")).otherwise(out)
+    return F.coalesce(F.get(remarks, F.lit(0)), out)
 
 
 def label_from_description(c: Column | str) -> Column:
-    """The description without its unit remark and trailing bracket."""
-    text = strip(F.regexp_replace(col_of(c), r"(?i)\(\s*in\s+.+?\)", ""))
-    text = strip(F.regexp_replace(text, r"\s*\(.+?\)\s*$", ""))
-    return F.when(text != "", text)
+    """The description without its unit remarks; if it then ends in a bracket, only what stands before the first one."""
+    head, pieces = _brackets(col_of(c))
+    behind = lambda piece: F.substr(piece, F.locate(")", piece) + 1)
+    kept = F.transform(pieces, lambda piece: F.when(_unit_remark(piece).isNotNull(), behind(piece)).otherwise(F.concat(F.lit("("), piece)))
+    text = strip(F.concat(head, F.array_join(kept, "")))
+    opens = F.locate("(", text)
+    closed = F.endswith(text, F.lit(")")) & (opens > 0) & (F.length(text) - opens > 1)
+    label = F.when(closed, strip(F.substr(text, F.lit(1), opens - 1))).otherwise(text)
+    return F.when(label != "", label)
 
 
 def words(c: Column | str) -> Column:
@@ -166,18 +190,20 @@ def name_words(c: Column | str) -> Column:
     return F.array_distinct(F.concat(parts, runs))
 
 
+def _numbers_marked(c: Column | str) -> Column:
+    """Lower case, with ``#`` for each number: decimal digits of any script, with sign and fraction if they are there."""
+    return F.regexp_replace(F.lower(col_of(c)), r"[+-]?\p{Nd}+(?:[.]\p{Nd}+)?", "#")
+
+
 def number_free(c: Column | str) -> Column:
-    """K6: lower-case, numbers as ``#``, single blanks."""
-    text = F.regexp_replace(F.lower(col_of(c)), r"[-+]?\d+(\.\d+)?", "#")
-    return strip(F.regexp_replace(text, r"\s+", " "))
+    """K6: lower-case, numbers as ``#``, single blanks for whitespace of any kind."""
+    return squeezed(_numbers_marked(c))
 
 
 def content_words(c: Column | str) -> Column:
-    """K6: distinct letter tokens longer than two, without stop words."""
-    text = F.regexp_replace(F.lower(col_of(c)), r"[-+]?\d+(\.\d+)?", "#")
-    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit("([a-zA-Z#]+)"), 1))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.array_except(tokens, stop), lambda t: F.length(t) > 2)
+    """K6: distinct runs of Latin letters and number marks, longer than two, without stop words."""
+    runs = F.array_distinct(F.split(_numbers_marked(c), "[^a-z#]+"))
+    return F.filter(F.array_except(runs, F.array(*[F.lit(w) for w in STOP_WORDS])), lambda run: F.length(run) > 2)
 
 
 def is_garbled(c: Column | str, share: float = 0.02, min_chars: int = 20) -> Column:

@@ -17,6 +17,7 @@ from tabulon.functions.numbers import correlations, number
 from tabulon.functions.running import running
 from tabulon.functions import quantiles as Q
 from tabulon.functions.quantiles import quantiles
+from tabulon.functions import text as X
 from tabulon.functions.text import WHITESPACE, content_words, number_free, strip, words
 from tabulon.operators import aggregate as A
 from tabulon.operators import clean as C
@@ -670,3 +671,24 @@ def test_relationships_choose_a_view(spark):
     assert run(["s", "t"]).columns == ["a", "b", "n", "share"]
     with pytest.raises(ValueError):
         run(["p", "s"])
+
+
+@pytest.mark.parametrize("text, unit, label", [
+    ("Time spent (in  days )", "days", "Time spent"),
+    ("Time (IN working hours) per case", "working hours", "Time  per case"),
+    ("Waiting (at the gate) time (h)", None, "Waiting"),
+    ("Speed (in km/h)", None, "Speed"),
+    ("a minute of rest", "minutes", "a minute of rest"),
+    ("Share ()", None, "Share ()"),
+    ("(in days)", "days", None),
+    ("Length (in\u00a0days) of a (b) c", "days", "Length  of a (b) c"),
+    ("Lauf (in", None, "Lauf (in"),
+])
+def test_units_and_labels_of_descriptions(spark, text, unit, label):
+    row = frame(spark, [(text,)], "t string").select(X.unit_from_description("t").alias("u"), X.label_from_description("t").alias("l")).first()
+    assert (row["u"], row["l"]) == (unit, label)
+
+
+def test_spaces_and_digits_of_any_script(spark):
+    row = frame(spark, [("A\u00a0 b\u2003-3.5 \u0663\u0664 x1y",)], "t string").select(number_free("t").alias("n"), content_words("t").alias("w")).first()
+    assert row["n"] == "a b # # x#y" and row["w"] == ["x#y"]
