@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -72,3 +72,15 @@ def dealt(df: DataFrame) -> DataFrame:
     """A kept table of fewer partitions than cores, dealt out to all cores before many passes over it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Rows of a table that may be sent to all tasks of a join.
+SENT_ROWS = 50_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A table for one side of a join: sent to all tasks if it has at most ``SENT_ROWS`` rows, else joined by a shuffle.
+
+    It is counted first, so it should be kept already or cheap to make.
+    """
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
