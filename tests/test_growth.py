@@ -28,3 +28,12 @@ def test_near_duplicates_shuffle_no_whole_texts(spark):
     got = {(r["kind"], r["left_id"], r["right_id"]) for r in found.collect()}
     assert got == {("copy", 1, 3), ("words", 1, 4), ("similar", 1, 2), ("inside", 1, 4)}
     assert not re.search(r"hashpartitioning\((form|w|token|key)#", plan_of(found))
+
+
+def test_canonical_reads_its_text_once(spark):
+    from tabulon.functions.expressions import canonical
+
+    df = spark.createDataFrame([("Filter to: a is null & b at least 3 (optional: c) # d",), ("Optionally drop e. f > 2",), ("optionals > 1",)], "t string")
+    out = df.select(canonical("t").alias("c"))
+    assert [r["c"] for r in out.collect()] == ["b>=3&isna(a)", "f>2", "optionals>1"]
+    assert out._jdf.queryExecution().analyzed().toString().count("optional") <= 4
