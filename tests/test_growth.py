@@ -37,3 +37,14 @@ def test_canonical_reads_its_text_once(spark):
     out = df.select(canonical("t").alias("c"))
     assert [r["c"] for r in out.collect()] == ["b>=3&isna(a)", "f>2", "optionals>1"]
     assert out._jdf.queryExecution().analyzed().toString().count("optional") <= 4
+
+
+def test_pairs_are_normalised_once(spark):
+    from pyspark.sql import functions as F
+
+    from tabulon.operators.textops import too_similar
+
+    df = spark.createDataFrame([("Sales rose by 3 in May", "sales rose by 4 in may"), ("red green blue", "blue green red"), ("one thing", "another matter"), (None, "x"), ("", "")], "a string, b string")
+    out = df.select(too_similar(F.col("a"), F.col("b")).alias("s"))
+    assert [r["s"] for r in out.collect()] == [True, True, False, False, False]
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 4
