@@ -12,6 +12,7 @@ from tabulon.functions.quantiles import join_on_keys, quantiles
 from tabulon.functions.text import strip
 from tabulon.operators.aggregate import number_stats, top_groups_by_mean, value_counts
 from tabulon.operators.clean import text_columns
+from tabulon.session import cut_lineage, sent
 
 
 def fences(df: DataFrame, column: str, k: float = 1.5, min_n: int = 30, accuracy: int | None = None) -> DataFrame:
@@ -170,6 +171,7 @@ def box_stats(df: DataFrame, column: str, group: str, low: int = 2, high: int |
         "group", F.col("x")[0].alias("q1"), F.col("x")[1].alias("median"), F.col("x")[2].alias("q3")
     )
     levels = one_row(base.agg(F.count_distinct("group").alias("n")))["n"]
+    q = sent(cut_lineage(q))  # a row per group: sent to all tasks, since a shuffle by few groups puts most rows into one
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("x").between(F.col("q1") - reach, F.col("q3") + reach)
     return join_on_keys(base, q, ["group"]).filter((levels >= low) & (F.lit(True) if high is None else levels <= high)).groupBy("group").agg(

@@ -48,3 +48,11 @@ def test_pairs_are_normalised_once(spark):
     out = df.select(too_similar(F.col("a"), F.col("b")).alias("s"))
     assert [r["s"] for r in out.collect()] == [True, True, False, False, False]
     assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 4
+
+
+def test_box_stats_send_their_quartiles(spark, no_size_checks):
+    from tabulon.operators.descriptive import box_stats
+
+    out = box_stats(spark.range(200).selectExpr("concat('g', id % 2) AS g", "cast(id AS double) AS x"), "x", "g")
+    assert {(r["group"], r["n"], r["median"]) for r in out.collect()} == {("g0", 100, 99.0), ("g1", 100, 100.0)}
+    assert "BroadcastHashJoin" in plan_of(out) and "SortMergeJoin" not in plan_of(out)
