@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabulon.functions import roles
 from tabulon.functions.numbers import one_row
 from tabulon.operators.aggregate import number_stats
 from tabulon.operators.diagnostic import categorical_lifts, numeric_effects
 from tabulon.operators.features import candidate_list, scenario_rows
 from tabulon.operators.modelstore import array_mean, array_quantile, flat_trees, tree_values
 from tabulon.operators.predictive import Fitted
+from tabulon.session import cut_lineage
 
 
 def score_rows(fitted: Fitted, rows: DataFrame) -> DataFrame:
@@ -86,13 +88,24 @@ def decision_baseline(df: DataFrame, y: str) -> DataFrame:
 
 
 def decision_table(df: DataFrame, y: str, objective: str = "minimize", columns: list[str] | None = None, dims: list[str] | None = None, ids: list[str] | None = None, n_numeric: int | None = 6, n_labels: int | None = 8) -> DataFrame:
-    """The strongest numeric and label drivers (None: all) with a direction and a suggestion."""
-    num = numeric_effects(df, y, columns, ids, n_numeric).select(
-        F.lit("numeric").alias("kind"), "feature", F.lit(None).cast("string").alias("value"), "effect", F.col("n").cast("double").alias("n")
-    )
-    cat = categorical_lifts(df, y, dims, ids, n_labels).select(
-        F.lit("categorical").alias("kind"), "feature", "value", F.col("lift").alias("effect"), "n"
-    )
+    """The strongest numeric and label drivers (None: all) with a direction and a suggestion.
+
+    The columns that are looked at are kept for the passes over them, so what makes ``df`` runs once; both tables are made
+    when this is called.
+    """
+    if columns and dims:
+        used = {y, *columns, *dims, roles.support_column(df)}
+        df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in used])
+    df = df.persist()
+    try:
+        num = cut_lineage(numeric_effects(df, y, columns, ids, n_numeric).select(
+            F.lit("numeric").alias("kind"), "feature", F.lit(None).cast("string").alias("value"), "effect", F.col("n").cast("double").alias("n")
+        ))
+        cat = cut_lineage(categorical_lifts(df, y, dims, ids, n_labels).select(
+            F.lit("categorical").alias("kind"), "feature", "value", F.col("lift").alias("effect"), "n"
+        ))
+    finally:
+        df.unpersist()
     e = F.col("effect")
     direction = F.when(e > 0, F.lit("positive")).when(e < 0, F.lit("negative")).otherwise(F.lit("zero"))
     return num.unionByName(cat).withColumn("direction", direction).withColumn("suggested_change", suggestion(e, objective))

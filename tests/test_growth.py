@@ -56,3 +56,14 @@ def test_box_stats_send_their_quartiles(spark, no_size_checks):
     out = box_stats(spark.range(200).selectExpr("concat('g', id % 2) AS g", "cast(id AS double) AS x"), "x", "g")
     assert {(r["group"], r["n"], r["median"]) for r in out.collect()} == {("g0", 100, 99.0), ("g1", 100, 100.0)}
     assert "BroadcastHashJoin" in plan_of(out) and "SortMergeJoin" not in plan_of(out)
+
+
+def test_decision_table_makes_its_input_once(spark):
+    from tabulon.operators.prescriptive import decision_table
+
+    df = spark.range(400).selectExpr("cast(id % 40 AS double) AS y", "cast(id % 40 AS double) * 2 AS x", "concat('d', id % 4) AS d", "'unused' AS u")
+    out = decision_table(df, "y", columns=["x"], dims=["d"])
+    rows = out.collect()
+    assert [(r["kind"], r["feature"], r["n"]) for r in rows if r["kind"] == "numeric"] == [("numeric", "x", 400.0)] and len(rows) == 5
+    assert "Range" not in plan_of(out)
+    assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
