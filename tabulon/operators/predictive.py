@@ -223,7 +223,7 @@ def forecast(series: DataFrame, keys: list[str], grain: str, horizon: int, trees
     """
     horizon = max(1, horizon)
     spark = series.sparkSession
-    series = series.filter("y is not null")
+    series = cut_lineage(series.filter("y is not null"))  # its rows are read many times, what they are summed from once
     long_enough = F.count(F.lit(1)).over(Window.partitionBy(*keys)) >= MIN_POINTS
     series = series.withColumn("__ok", long_enough).filter("__ok").drop("__ok")
     table = chronological_split(supervised(series, keys), keys)

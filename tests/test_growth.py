@@ -67,3 +67,13 @@ def test_decision_table_makes_its_input_once(spark):
     assert [(r["kind"], r["feature"], r["n"]) for r in rows if r["kind"] == "numeric"] == [("numeric", "x", 400.0)] and len(rows) == 5
     assert "Range" not in plan_of(out)
     assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+
+def test_forecast_sums_its_series_once(spark, monkeypatch, tmp_path):
+    from tabulon.operators import modelstore, predictive
+
+    monkeypatch.setattr(modelstore, "shared_folder", lambda _: str(tmp_path))
+    raw = spark.range(400).selectExpr("'a' AS k", "timestamp'2020-01-06' + make_interval(0, 0, id % 80) AS t", "cast(id % 80 AS double) AS v")
+    series = raw.groupBy("k", "t").agg({"v": "sum"}).withColumnRenamed("sum(v)", "y")
+    out = predictive.forecast(series, ["k"], "week", 2, trees=3, depth=2)
+    assert out.points.count() == 2 and "Range" not in plan_of(out.points)
