@@ -77,3 +77,11 @@ def test_forecast_sums_its_series_once(spark, monkeypatch, tmp_path):
     series = raw.groupBy("k", "t").agg({"v": "sum"}).withColumnRenamed("sum(v)", "y")
     out = predictive.forecast(series, ["k"], "week", 2, trees=3, depth=2)
     assert out.points.count() == 2 and "Range" not in plan_of(out.points)
+
+
+def test_rare_classes_are_sent(spark, no_size_checks):
+    from tabulon.operators.features import rare_classes_merged
+
+    out = rare_classes_merged(spark.range(100).selectExpr("id", "CASE WHEN id < 3 THEN 'rare' WHEN id < 50 THEN 'a' END AS c"), "c")
+    assert {(r["c"], r["count"]) for r in out.groupBy("c").count().collect()} == {("(other)", 3), ("a", 47), ("(missing)", 50)}
+    assert "BroadcastHashJoin" in plan_of(out) and "hashpartitioning(c" not in plan_of(out)
