@@ -25,6 +25,8 @@ MIN_ROWS, MIN_FEATURES = 80, 2
 MIN_POINTS, MIN_USABLE = 30, 25
 #: Memory in MB for the statistics of the nodes that one pass over the rows splits.
 NODE_MEMORY = 512
+#: Rows that one task of a fit reads in each pass, of about 2 KB each for 400 trees.
+TASK_ROWS = 400_000
 
 
 @dataclass
@@ -55,11 +57,15 @@ def feature_stages(spark, spec: FeatureSpec) -> PipelineModel:
 
 
 def forest_options(spec: FeatureSpec | None, trees: int, depth: int) -> dict:
-    """Options common to all forests; as many bins as the column of most levels needs."""
+    """Options common to all forests; as many bins as the column of most levels needs.
+
+    The node that a row has reached in each tree is found anew in each pass: kept, it would double what is stored per row
+    and be written to the checkpoint folder.
+    """
     levels = max((len(v) for v in spec.levels.values()), default=0) if spec else 0
     return {
         "numTrees": trees, "minInstancesPerNode": MIN_LEAF, "maxDepth": depth, "seed": SEED,
-        "maxBins": max(32, levels + 2), "maxMemoryInMB": NODE_MEMORY, "cacheNodeIds": True,
+        "maxBins": max(32, levels + 2), "maxMemoryInMB": NODE_MEMORY, "cacheNodeIds": False,
     }
 
 
@@ -103,7 +109,7 @@ def fit_regression(df: DataFrame, target: str, split: DataFrame | None = None, c
         def fit(keep):
             spec = learn_features(base.drop("is_train"), target, columns, ids)
             stages = feature_stages(spark, spec)
-            table = stages.transform(apply_features(dealt(base), spec)).select("features", target, "is_train").persist()
+            table = stages.transform(apply_features(dealt(base, TASK_ROWS), spec)).select("features", target, "is_train").persist()
             try:
                 sizes = table.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_train").alias("n_train")).first()
                 _ready(df, spec, sizes["n"])
@@ -143,7 +149,7 @@ def fit_classification(df: DataFrame, target: str, columns: list[str] | None = N
             if not 2 <= len(labels) <= MAX_CLASSES:
                 raise ValueError(f"{target} needs 2 to {MAX_CLASSES} stable classes, has {len(labels)}")
             stages = feature_stages(spark, spec)
-            table = stages.transform(apply_features(indexer.transform(dealt(base)), spec)).select("features", "__label", "is_train").persist()
+            table = stages.transform(apply_features(indexer.transform(dealt(base, TASK_ROWS)), spec)).select("features", "__label", "is_train").persist()
             try:
                 sizes = table.filter("is_train").groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
                 total = sum(r["n"] for r in sizes)

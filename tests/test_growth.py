@@ -85,3 +85,11 @@ def test_rare_classes_are_sent(spark, no_size_checks):
     out = rare_classes_merged(spark.range(100).selectExpr("id", "CASE WHEN id < 3 THEN 'rare' WHEN id < 50 THEN 'a' END AS c"), "c")
     assert {(r["c"], r["count"]) for r in out.groupBy("c").count().collect()} == {("(other)", 3), ("a", 47), ("(missing)", 50)}
     assert "BroadcastHashJoin" in plan_of(out) and "hashpartitioning(c" not in plan_of(out)
+
+
+def test_a_fit_keeps_no_nodes_per_row_and_bounds_its_tasks(spark):
+    from tabulon.operators.predictive import forest_options
+    from tabulon.session import dealt
+
+    assert not forest_options(None, 400, 10)["cacheNodeIds"]
+    assert dealt(spark.range(0, 1000, 1, 8), 10).rdd.getNumPartitions() == 100
