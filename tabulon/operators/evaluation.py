@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabulon.functions.expressions import canonical, canonical_set
 from tabulon.functions.numbers import correlations, paired_corr
 from tabulon.operators.clean import first_per_key
-from tabulon.session import spread
+from tabulon.session import keyed, spread
 from tabulon.operators.reshape import join_baseline, pivot_mean, row_min, same_set, subset
 
+#: Variant rows that one task joins and averages, of a few hundred bytes each.
+TASK_ROWS = 1_000_000
 LIST_FIELDS = ("filters", "columns", "prepare", "aggregate")
 
 
 def component_matches(variants: DataFrame, base: DataFrame, keys: list[str], components: list[str]) -> DataFrame:
     """Per variant row 1/0 for each component and for all of them; null equals null."""
-    both = join_baseline(variants, base, keys, components)
+    both = join_baseline(keyed(variants, keys, TASK_ROWS), base, keys, components)
     hits = {f"match_{c}": F.col(c).eqNullSafe(F.col(f"{c}_base")).cast("double") for c in components}
     both = both.withColumns(hits)
     return both.withColumn("match_all", row_min(list(hits)))

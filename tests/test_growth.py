@@ -93,3 +93,12 @@ def test_a_fit_keeps_no_nodes_per_row_and_bounds_its_tasks(spark):
 
     assert not forest_options(None, 400, 10)["cacheNodeIds"]
     assert dealt(spark.range(0, 1000, 1, 8), 10).rdd.getNumPartitions() == 100
+
+
+def test_variants_of_a_task_are_bounded(spark, monkeypatch):
+    from tabulon.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "TASK_ROWS", 10, raising=False)
+    variants = spark.range(500).selectExpr("id % 100 AS k", "id % 3 AS c")
+    out = evaluation.component_matches(variants, spark.range(100).selectExpr("id AS k", "id % 3 AS c"), ["k"], ["c"])
+    assert out.count() == 500 and "REPARTITION_BY_NUM" in plan_of(out)
