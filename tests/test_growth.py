@@ -79,12 +79,15 @@ def test_forecast_sums_its_series_once(spark, monkeypatch, tmp_path):
     assert out.points.count() == 2 and "Range" not in plan_of(out.points)
 
 
-def test_rare_classes_are_sent(spark, no_size_checks):
-    from tabulon.operators.features import rare_classes_merged
+def test_rows_of_few_classes_are_dealt_out(spark):
+    """All rows of a class meet in one partition after a join by class."""
+    from tabulon.session import dealt
 
-    out = rare_classes_merged(spark.range(100).selectExpr("id", "CASE WHEN id < 3 THEN 'rare' WHEN id < 50 THEN 'a' END AS c"), "c")
-    assert {(r["c"], r["count"]) for r in out.groupBy("c").count().collect()} == {("(other)", 3), ("a", 47), ("(missing)", 50)}
-    assert "BroadcastHashJoin" in plan_of(out) and "hashpartitioning(c" not in plan_of(out)
+    met = spark.range(0, 4000, 1, 8).repartition(20, "id").selectExpr("id % 2 AS c").repartition(20, "c").persist()
+    sizes = [n for n in dealt(met, 500).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 600
+    assert dealt(met, 4000).rdd.getNumPartitions() == 20
+    met.unpersist()
 
 
 def test_a_fit_keeps_no_nodes_per_row_and_bounds_its_tasks(spark):
