@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.session import cut_lineage, new_path, table
+from tabulon.session import BATCH_BYTES, BATCH_ROWS, cut_lineage, new_path, ship, table
 
-__all__ = ["cut_lineage", "documents", "fresh", "new_path", "ship", "slices", "table", "word_count"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "cut_lineage", "documents", "fresh", "new_path", "ship", "slices", "table", "word_count"]
 
 #: Bytes 0x20 and 0x09-0x0D separate words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -62,30 +58,3 @@ def slices(column: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, i
             start, held = i, 0
         held += int(n)
     yield start, len(lengths)
-
-
-#: Rows and bytes of one Arrow batch between the JVM and a Python worker, at most (a longer row is a batch of its own).
-BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, for clusters whose nodes don't have it installed.
-
-    Arrow batches of the session are made small: rows hold whole texts or sets, and the default of 10,000 rows would put
-    hundreds of MB of them into each worker.
-    """
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(name, None) or "-1"
-        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(name, str(most))
-    context = spark.sparkContext
-    if getattr(context, "_tabulon_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    fd, path = tempfile.mkstemp(prefix="tabulon-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(path, "w") as z:
-        for file in sorted(root.rglob("*.py")):
-            z.write(file, Path(root.name) / file.relative_to(root))
-    context.addPyFile(path)  # Spark serves it from the driver
-    context._tabulon_shipped = True

@@ -17,7 +17,7 @@ from tabulon.functions.distinct import fingerprint
 from tabulon.session import shared_folder
 
 #: Part of every key; another layout or another way to fit gets another number.
-FORMAT = 1
+FORMAT = 2
 
 
 @dataclass
@@ -55,10 +55,10 @@ def reread(model: Model, path: str) -> Model:
     """The model as written to ``path`` and read again.
 
     A fitted classifier keeps its training summary and through it the session, which can't be sent to tasks once the
-    session has made an observation; the model that is read has no summary.
+    session has made an observation; the model that is read has no summary. One that was read before is only written.
     """
     model.write().save(path)
-    return type(model).load(path)
+    return model if getattr(model, "was_read", False) else type(model).load(path)
 
 
 def fit_once(spark: SparkSession, key: str, kind: type[Model], fit: Callable[[Callable[[Model], Model]], tuple[PipelineModel | None, DataFrame, dict]]) -> Stored:
@@ -70,9 +70,15 @@ def fit_once(spark: SparkSession, key: str, kind: type[Model], fit: Callable[[Ca
     breaks off leaves nothing that would be read, and two at a time do no harm.
     """
     base = f"{shared_folder(spark).rstrip('/')}/models/{key}"
+    fitted: dict[str, Model] = {}
     if _entry(spark, f"{base}/list") is None:
         own = f"{base}/{uuid.uuid4().hex}"
-        stages, holdout, facts = fit(lambda model: reread(model, f"{own}/model"))
+
+        def keep(model: Model) -> Model:
+            fitted[own] = reread(model, f"{own}/model")
+            return fitted[own]
+
+        stages, holdout, facts = fit(keep)
         if stages is not None:
             stages.write().save(f"{own}/stages")
         holdout.write.parquet(f"{own}/holdout")
@@ -81,7 +87,7 @@ def fit_once(spark: SparkSession, key: str, kind: type[Model], fit: Callable[[Ca
     entry = _entry(spark, f"{base}/list")
     own = f"{base}/{entry['name']}"
     return Stored(
-        kind.load(f"{own}/model"), PipelineModel.load(f"{own}/stages") if entry["staged"] else None,
+        fitted.get(own) or kind.load(f"{own}/model"), PipelineModel.load(f"{own}/stages") if entry["staged"] else None,
         spark.read.parquet(f"{own}/holdout"), spark.read.parquet(f"{own}/model/data").select("treeID", "nodeData.*"), json.loads(entry["facts"]),
     )
 

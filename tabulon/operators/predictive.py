@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.functions.numbers import at_most, number, one_row, ratio
 from tabulon.operators.features import OTHER, FeatureSpec, apply_features, learn_features, rare_classes_merged
+from tabulon.operators.forest import RandomForestClassifier, RandomForestRegressor
 from tabulon.operators.modelstore import array_mean, digest, fit_once, flat_trees, tree_values
 from tabulon.operators.series import (
     LAGS, WINDOWS, _step, chronological_split, feature_names, recent_slope, supervised,
