@@ -30,6 +30,27 @@ def test_near_duplicates_shuffle_no_whole_texts(spark):
     assert not re.search(r"hashpartitioning\((form|w|token|key)#", plan_of(found))
 
 
+def test_near_duplicates_by_shuffle_and_by_sent_ids_are_the_same(spark, monkeypatch):
+    """Only forms in a pair meet; beyond the limits of what is sent, and with parts that say nothing, rows stay the same."""
+    from tabulon.operators import textops
+
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)]
+    texts = [(i, " ".join(words[:50 + i % 3] + words[60 + i:62 + i])) for i in range(20)] + [(30, "so " + " ".join(words[10:40]) + " on"), (31, " ".join(words[5:45])), (32, "wab"), (33, "WAB"), (34, " ".join(words[:9])), (35, None)]
+    df = spark.createDataFrame(texts, "id int, t string")
+
+    def found():
+        return sorted(tuple(r) for r in textops.near_duplicates(df, "id", "t").collect())
+
+    met = []
+    original = textops._texts_met
+    monkeypatch.setattr(textops, "_texts_met", lambda pairs, forms: (met.append(pairs.count()), original(pairs, forms))[1])
+    want = found()
+    assert {r[0] for r in want} == {"copy", "similar", "inside"} and len(want) > 100 and max(met) < 400
+    monkeypatch.setattr(textops, "SENT_IDS", 0)
+    monkeypatch.setattr(textops, "MOST_IN_PART", 1)
+    assert found() == want
+
+
 def test_canonical_reads_its_text_once(spark):
     from tabulon.functions.expressions import canonical
 
